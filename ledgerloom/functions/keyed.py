@@ -1,0 +1,52 @@
+"""Repeatable draws: a value derived from a row's key instead of a random source.
+
+A recomputed task gives the same answer, and so does any other engine that has MD5.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+from fractions import Fraction
+from math import ceil
+from typing import Any
+
+from pyspark.sql import Column, functions as F
+
+DRAW_RANGE = 2**32
+
+
+def draw(key: str | Column, purpose: str | None = None) -> Column:
+    """Integer in ``[0, 2^32)`` from the key; ``purpose`` makes draws independent."""
+    text = F.col(key) if isinstance(key, str) else key
+    text = text.cast("string")
+    if purpose is not None:
+        text = F.concat(text, F.lit(":" + purpose))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def below(drawn: Column, probability: Column) -> Column:
+    """True for the given share of draws."""
+    return drawn / F.lit(float(DRAW_RANGE)) < probability
+
+
+def between(drawn: Column, low: Column, high: Column) -> Column:
+    """Whole number in ``[low, high]``, evenly spread, in integer arithmetic."""
+    return low + F.call_function("div", drawn * (high - low + 1), F.lit(DRAW_RANGE))
+
+
+def weighted_choice(drawn: Column, weights: Mapping[Any, str | int | float]) -> Column:
+    """Pick a label with probability proportional to its weight.
+
+    Weights are normalised to sum 1 and turned into cumulative draw limits, which
+    become one CASE expression: no join and no shuffle.
+    """
+    shares = {label: Fraction(str(w)) for label, w in weights.items()}
+    whole = sum(shares.values())
+    if not shares or whole <= 0 or min(shares.values()) < 0:
+        raise ValueError("weights must be non-negative and not all zero")
+    choice = F.when(drawn.isNull(), F.lit(None))
+    running = Fraction(0)
+    for label, share in shares.items():
+        running += share / whole
+        choice = choice.when(drawn < ceil(running * DRAW_RANGE), F.lit(label))
+    return choice
