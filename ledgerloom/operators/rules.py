@@ -227,6 +227,10 @@ def bundle_expansion(
         ),
     )
 
+    def for_companion(value: Column) -> Column:
+        """Null, and not worked out at all, on the original rows."""
+        return F.when(F.col("_extra"), value)
+
     product = F.col("_companion")
     quantity = (
         F.when(
@@ -251,7 +255,9 @@ def bundle_expansion(
         _region(F.col("region"), product.isin(*book.TECHNOLOGY_PRODUCTS)),
         _segment(F.col("customer_segment")),
     )
-    unfolded = unfolded.withColumns({"_quantity": quantity, "_unit_price": unit_price})
+    unfolded = unfolded.withColumns(
+        {"_quantity": for_companion(quantity), "_unit_price": for_companion(unit_price)}
+    )
 
     low, high = _discount_range(F.col("sales_channel"), F.col("_quantity"))
     given_share = F.when(
@@ -264,7 +270,7 @@ def bundle_expansion(
     discount = F.when(
         below(drawn("discounted"), given_share), F.round(points * factor, 2)
     ).otherwise(F.lit(0)).cast("decimal(5,2)")
-    unfolded = unfolded.withColumn("_discount", discount)
+    unfolded = unfolded.withColumn("_discount", for_companion(discount))
 
     companion_values = {
         "transaction_id": F.concat("transaction_id", F.lit("-bundle")),

@@ -25,6 +25,7 @@ from ledgerloom.sources.schema import documented
 from ledgerloom.sources.star import customers, sales_view, salespeople
 
 ACCOUNTS = 7
+REFERENCE_DAY = "2000-12-31"
 
 
 def rule(
@@ -193,7 +194,7 @@ accounts AS (
 
 
 def performer_frame(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.performer_label(salespeople(spark, folder)).drop("supplier_key")
+    return rules.performer_label(salespeople(spark, folder))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -319,12 +320,12 @@ FROM (SELECT s_name AS salesperson, CASE WHEN s_acctbal >= 8000 THEN 'top_perfor
     ),
     rule(
         "history_window",
-        rules.history_window,
+        lambda sales: rules.history_window(sales, as_of=REFERENCE_DAY),
         "transaction_id date window_start in_window",
         f"""
-SELECT transaction_id, date, last - {book.HISTORY_DAYS} AS window_start,
-  date BETWEEN last - {book.HISTORY_DAYS} AND last AS in_window
-FROM translated, (SELECT MAX(date) AS last FROM translated)""",
+SELECT transaction_id, date, DATE '{REFERENCE_DAY}' - {book.HISTORY_DAYS} AS window_start,
+  date BETWEEN DATE '{REFERENCE_DAY}' - {book.HISTORY_DAYS} AND DATE '{REFERENCE_DAY}' AS in_window
+FROM translated""",
         "transaction_id date",
     ),
     on_sales(

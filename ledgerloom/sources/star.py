@@ -6,20 +6,20 @@ left out without changing the result: ``sales_view(..., columns=...)`` plans onl
 the joins the requested columns come from.  Predicates that reject nulls turn the
 left joins into inner ones, and Catalyst pushes them into the dimension scans.
 
-Join shape: orders are joined to their customers first, then line items to that,
-so the customer shuffle moves orders rather than the larger line items.  No join
-carries a hint: small dimensions are broadcast when their size is below the session
-limit, larger ones are shuffled, and adaptive execution splits skewed partitions of
-the left (fact) side.
+Join shape: orders take their customer's attributes first, then line items take
+theirs, so the customer shuffle moves orders rather than the more numerous line
+items.  No join carries a hint: a dimension is broadcast when its size is below the
+session limit, a larger one is shuffled, and adaptive execution splits skewed
+partitions of the left (fact) side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.sources.schema import EXACT_TYPES, SALES_COLUMNS
+from ledgerloom.sources.schema import SALES_COLUMNS
 
 # The table layouts. Naming them skips the schema-inference job.
 TABLES = {
@@ -35,11 +35,42 @@ TABLES = {
     "l_shipdate timestamp_ntz",
 }
 
-LINE_COLUMNS = {"transaction_id", "quantity", "unit_price", "discount_percent", "total_amount"}
-CUSTOMER_COLUMNS = {"customer_name", "customer_email", "customer_segment", "region"}
-ORDER_COLUMNS = {"date", "customer_id", "sales_channel"} | CUSTOMER_COLUMNS
-PART_COLUMNS = {"product"}
-SUPPLIER_COLUMNS = {"salesperson", "salesperson_tier"}
+# Sales columns by the table they come from.
+#
+# Measures are worked out on the line items before any join, so a join shuffles
+# finished 8-byte values.  Stored prices are whole cents and stored discounts whole
+# per cent, both held as double: they are taken to the nearest whole number once and
+# all further arithmetic is on integers, many times cheaper per row than decimal.
+QUANTITY = "cast(l_quantity as bigint)"
+LINE_CENTS = "floor(l_extendedprice * 100 + 0.5D)"
+PERCENT = "floor(l_discount * 100 + 0.5D)"
+PRICE_CENTS = f"((2 * {LINE_CENTS} + {QUANTITY}) div nullif(2 * {QUANTITY}, 0))"
+TOTAL_CENTS = f"(({QUANTITY} * {PRICE_CENTS} * (100 - {PERCENT}) + 50) div 100)"
+LINE_COLUMNS = {
+    "transaction_id": "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)",
+    "quantity": QUANTITY,
+    "unit_price": f"cast(cast({PRICE_CENTS} as decimal(12,0)) * 0.01BD as decimal(12,2))",
+    "discount_percent": f"cast({PERCENT} as decimal(5,2))",
+    "total_amount": f"cast(cast({TOTAL_CENTS} as decimal(14,0)) * 0.01BD as decimal(14,2))",
+}
+ORDER_COLUMNS = {
+    "date": "cast(o_orderdate as date)",
+    "customer_id": "cast(o_custkey as string)",
+    "sales_channel": "o_orderpriority",
+}
+CUSTOMER_COLUMNS = {
+    "customer_name": "c_name",
+    "customer_email": "concat(lower(replace(c_name, '#', '')), '@example.com')",
+    "customer_segment": "c_mktsegment",
+}
+REGION_COLUMNS = {"region": "r_name"}
+PART_COLUMNS = {"product": "p_brand"}
+SUPPLIER_COLUMNS = {
+    "salesperson": "s_name",
+    "salesperson_tier": "case when s_acctbal >= 8000 then 'top_performer' "
+    "when s_acctbal >= 6000 then 'high_performer' "
+    "when s_acctbal >= 1000 then 'average_performer' else 'low_performer' end",
+}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,95 +84,46 @@ def sales_view(
     wanted = set(columns)
     if unknown := wanted - set(SALES_COLUMNS):
         raise ValueError(f"not sales columns: {sorted(unknown)}")
-    sales = _line_items(spark, folder)
-    if wanted & ORDER_COLUMNS:
-        orders = _orders(spark, folder, with_customer=bool(wanted & CUSTOMER_COLUMNS))
-        sales = sales.join(orders, "order_key", "left")
-    if wanted & PART_COLUMNS:
-        sales = sales.join(_parts(spark, folder), "part_key", "left")
-    if wanted & SUPPLIER_COLUMNS:
-        sales = sales.join(salespeople(spark, folder), "supplier_key", "left")
+
+    def pick(source: dict[str, str], *keys: str) -> list[str]:
+        return [*keys, *(f"{sql} as {name}" for name, sql in source.items() if name in wanted)]
+
+    def join(fact: DataFrame, name: str, fact_key: str, key: str, picked: list[str]) -> DataFrame:
+        dimension = table(spark, folder, name).selectExpr(picked)
+        return fact.join(dimension, fact[fact_key] == dimension[key], "left")
+
+    from_region = wanted & REGION_COLUMNS.keys()
+    from_customer = from_region or wanted & CUSTOMER_COLUMNS.keys()
+    from_order = from_customer or wanted & ORDER_COLUMNS.keys()
+
+    line_keys = ["l_orderkey"] if from_order else []
+    line_keys += ["l_partkey"] if wanted & PART_COLUMNS.keys() else []
+    line_keys += ["l_suppkey"] if wanted & SUPPLIER_COLUMNS.keys() else []
+    sales = table(spark, folder, "lineitem").selectExpr(pick(LINE_COLUMNS, *line_keys))
+    if from_order:
+        order_keys = ["o_orderkey", "o_custkey"] if from_customer else ["o_orderkey"]
+        orders = table(spark, folder, "orders").selectExpr(pick(ORDER_COLUMNS, *order_keys))
+        if from_customer:
+            customer_keys = ["c_custkey", "c_nationkey"] if from_region else ["c_custkey"]
+            orders = join(orders, "customer", "o_custkey", "c_custkey", pick(CUSTOMER_COLUMNS, *customer_keys))
+        if from_region:
+            orders = join(orders, "nation", "c_nationkey", "n_nationkey", ["n_nationkey", "n_regionkey"])
+            orders = join(orders, "region", "n_regionkey", "r_regionkey", pick(REGION_COLUMNS, "r_regionkey"))
+        sales = sales.join(orders, sales["l_orderkey"] == orders["o_orderkey"], "left")
+    if wanted & PART_COLUMNS.keys():
+        sales = join(sales, "part", "l_partkey", "p_partkey", pick(PART_COLUMNS, "p_partkey"))
+    if wanted & SUPPLIER_COLUMNS.keys():
+        sales = join(sales, "supplier", "l_suppkey", "s_suppkey", pick(SUPPLIER_COLUMNS, "s_suppkey"))
     return sales.select(*[name for name in SALES_COLUMNS if name in wanted])
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per customer."""
-    region = table(spark, folder, "nation").join(
-        table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
-    )
-    return (
-        table(spark, folder, "customer")
-        .join(region, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        .select(
-            F.col("c_custkey").alias("customer_key"),
-            F.col("c_name").alias("customer_name"),
-            F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit(""))), F.lit("@example.com")).alias(
-                "customer_email"
-            ),
-            F.col("c_mktsegment").alias("customer_segment"),
-            F.col("r_name").alias("region"),
-        )
-    )
+    """Customer ids, numeric, in the order accounts are dealt out."""
+    return table(spark, folder, "customer").selectExpr("c_custkey as customer_key")
 
 
 def salespeople(spark: SparkSession, folder: str) -> DataFrame:
     """One row per salesperson, tiered by account balance."""
-    balance = F.col("s_acctbal")
-    return table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("supplier_key"),
-        F.col("s_name").alias("salesperson"),
-        F.when(balance >= 8000, "top_performer")
-        .when(balance >= 6000, "high_performer")
-        .when(balance >= 1000, "average_performer")
-        .otherwise("low_performer")
-        .alias("salesperson_tier"),
-    )
-
-
-def _line_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Measures are computed here, before any join, so a join shuffles finished
-    8-byte values.  All arithmetic is on whole cents and hundredths of a percent."""
-    quantity = F.col("l_quantity").cast("bigint")
-    line_cents = (F.col("l_extendedprice").cast("decimal(12,2)") * 100).cast("bigint")
-    discount = F.col("l_discount").cast("decimal(4,2)")
-    discount_points = (discount * 10000).cast("bigint")
-    price_cents = F.call_function(
-        "div", 2 * line_cents + quantity, F.nullif(2 * quantity, F.lit(0))
+    return table(spark, folder, "supplier").selectExpr(
+        *(f"{sql} as {name}" for name, sql in SUPPLIER_COLUMNS.items())
     )
-    total_cents = F.call_function(
-        "div", quantity * price_cents * (10000 - discount_points) + 5000, F.lit(10000)
-    )
-    return table(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias("order_key"),
-        F.col("l_partkey").alias("part_key"),
-        F.col("l_suppkey").alias("supplier_key"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("transaction_id"),
-        quantity.alias("quantity"),
-        _money(price_cents, "unit_price"),
-        (discount * 100).cast(EXACT_TYPES["discount_percent"]).alias("discount_percent"),
-        _money(total_cents, "total_amount"),
-    )
-
-
-def _orders(spark: SparkSession, folder: str, with_customer: bool) -> DataFrame:
-    orders = table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("order_key"),
-        F.col("o_custkey").alias("customer_key"),
-        F.col("o_orderdate").cast("date").alias("date"),
-        F.col("o_custkey").cast("string").alias("customer_id"),
-        F.col("o_orderpriority").alias("sales_channel"),
-    )
-    if with_customer:
-        orders = orders.join(customers(spark, folder), "customer_key", "left")
-    return orders.drop("customer_key")
-
-
-def _parts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "part").select(
-        F.col("p_partkey").alias("part_key"), F.col("p_brand").alias("product")
-    )
-
-
-def _money(cents: Column, column: str) -> Column:
-    hundredth = F.lit("0.01").cast("decimal(2,2)")
-    return (cents.cast("decimal(14,0)") * hundredth).cast(EXACT_TYPES[column]).alias(column)
