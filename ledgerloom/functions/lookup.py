@@ -6,26 +6,32 @@ looking a label up needs no join, no broadcast job and no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from itertools import chain
-from typing import Any
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
 MAX_ENTRIES = 200
 
+Value = str | int | float | Sequence[str]
 
-def lookup(table: Mapping[str, Any], key: str | Column, value_type: str) -> Column:
+
+def lookup(table: Mapping[str, Value], key: str | Column, value_type: str) -> Column:
     """Value for the key, or null when the key is null or not in the table."""
     if len(table) > MAX_ENTRIES:
         raise ValueError(f"{len(table)} entries: join a dimension table instead")
-    if not table:
-        return F.lit(None).cast(value_type)
-    entries = chain.from_iterable(
-        (F.lit(label), _literal(value).cast(value_type)) for label, value in table.items()
-    )
-    return F.try_element_at(F.create_map(*entries), F.col(key) if isinstance(key, str) else key)
+    entries = ", ".join(f"{_quoted(label)}, {_sql(value)}" for label, value in table.items())
+    literal = F.expr(f"cast(map({entries}) as map<string, {value_type}>)")
+    return F.try_element_at(literal, F.col(key) if isinstance(key, str) else key)
+
+
+def _sql(value: Value) -> str:
+    if isinstance(value, str):
+        return _quoted(value)
+    if isinstance(value, Sequence):
+        return f"array({', '.join(_sql(item) for item in value)})"
+    return repr(value)
 
 
-def _literal(value: Any) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
+def _quoted(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"

@@ -46,8 +46,7 @@ def rounded_mean(column: str) -> Column:
     decision is taken on whole cents: quotient, remainder, and the remainder
     compared with half the count.
     """
-    exact_sum = F.sum(F.col(column).cast("decimal(24,2)"))
-    cents = (exact_sum * F.lit(100)).cast("decimal(36,0)")
+    cents = (F.sum(column).cast("decimal(34,2)") * F.lit(100)).cast("decimal(36,0)")
     size = F.abs(cents)
     n = F.nullif(F.count(column), F.lit(0))
     quotient = F.call_function("div", size, n)

@@ -66,3 +66,17 @@ def top_product_rows(sales: DataFrame, k: int = 5) -> DataFrame:
     and the sales rows are not shuffled for the membership test.
     """
     return sales.join(top_product_names(sales, k), "product", "left_semi").select(*sales.columns)
+
+
+def column_labels(sales: DataFrame, column: str) -> list[str]:
+    """The distinct labels that become the columns of a matrix, in order.
+
+    Result columns must be known when a plan is built, so this runs a job when the
+    caller does not name them.  It refuses, as Spark's own pivot does and at the same
+    limit, instead of collecting without bound.
+    """
+    most = int(sales.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    found = sales.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} values of {column}: name the matrix columns")
+    return sorted(row[0] for row in found)

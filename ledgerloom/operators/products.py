@@ -22,7 +22,7 @@ from ledgerloom.functions.measures import (
 )
 from ledgerloom.functions.ordering import ascending, largest_first, last_of_largest_first
 from ledgerloom.functions.text import dollars, grouped_text, percent, plain_text
-from ledgerloom.operators.filters import filtered_sales
+from ledgerloom.operators.filters import column_labels, filtered_sales
 from ledgerloom.sources.schema import EXACT_TYPES
 
 # --- whole-table analyses ---------------------------------------------------
@@ -300,8 +300,7 @@ def _top_product_matrix(sales: DataFrame, k: int, regions: Sequence[str] | None)
     """
     pairs = sales.groupBy("product", "region").agg(F.sum("total_amount").alias("total"))
     if not regions:
-        found = sales.select("region").where(F.col("region").isNotNull()).distinct()
-        regions = sorted(row.region for row in found.collect())
+        regions = column_labels(sales, "region")
     cells = [
         F.coalesce(
             F.sum(F.when(F.col("region") == name, F.col("total"))).cast("double"), F.lit(0.0)

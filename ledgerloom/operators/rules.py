@@ -17,7 +17,7 @@ from ledgerloom.functions.lookup import lookup
 from ledgerloom.functions.measures import net_of_discount
 from ledgerloom.functions.position import with_position
 from ledgerloom.operators import rulebook as book
-from ledgerloom.sources.schema import EXACT_TYPES, SALES_COLUMNS
+from ledgerloom.sources.schema import SALES_COLUMNS
 
 FACTOR = "decimal(6,4)"
 
@@ -194,23 +194,15 @@ def bundle_expansion(
     companion's regional rule; the discount is the usual one times the bundle factor.
 
     Each row unfolds into one or two in place, so the input is read once; a union of
-    the sales with a second pass over them would read it twice.
+    the sales with a second pass over them would read it twice.  Columns keep the types
+    of the input.
     """
     companions = bundles or book.BUNDLES
 
     def drawn(purpose: str) -> Column:
         return draw("transaction_id", purpose)
 
-    options = F.try_element_at(
-        F.create_map(
-            *[
-                part
-                for anchor, names in companions.items()
-                for part in (F.lit(anchor), F.array(*[F.lit(name) for name in names]))
-            ]
-        ),
-        F.col("product"),
-    )
+    options = lookup(companions, "product", "array<string>")
     companion = F.get(options, (drawn("companion") % F.array_size(options)).cast("int"))
     share = F.coalesce(
         lookup(book.BUNDLE_SHARES, "customer_segment", "double"), F.lit(book.OTHER_BUNDLE_SHARE)
@@ -284,9 +276,8 @@ def bundle_expansion(
     }
     return unfolded.select(
         *[
-            F.when(F.col("_extra"), companion_values[name])
+            F.when(F.col("_extra"), companion_values[name].cast(sales.schema[name].dataType))
             .otherwise(F.col(name))
-            .cast(EXACT_TYPES[name])
             .alias(name)
             if name in companion_values
             else F.col(name)

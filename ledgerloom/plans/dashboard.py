@@ -60,6 +60,7 @@ def variants(
     columns: str,
     cases: dict = BOTH,
     ctes: str = "",
+    exact: bool = True,
 ) -> list[Query]:
     """One query per filter case; ``sql`` reads the CTE ``chosen``."""
     made = []
@@ -71,6 +72,7 @@ def variants(
                 lambda sales, arguments=arguments: operator(sales, **arguments),
                 with_sales(sql, *([chosen, ctes] if ctes else [chosen])),
                 f"{columns} {filter_columns}",
+                exact,
             )
         )
     return made
@@ -84,10 +86,11 @@ FROM chosen"""
 QUERIES: list[Query] = [
     *variants(
         "filtered_sales",
-        lambda sales, **arguments: documented(filters.filtered_sales(sales, **arguments)),
+        filters.filtered_sales,
         f"SELECT {DOCUMENTED} FROM chosen",
         " ".join(SALES_COLUMNS),
         EVERY,
+        exact=False,
     ),
     on_sales(
         "filter_regions",

@@ -23,12 +23,14 @@ def on_sales(
     operator: Callable[[DataFrame], DataFrame],
     sql: str | None,
     columns: str | Iterable[str] = SALES_COLUMNS,
+    exact: bool = True,
 ) -> Query:
     """A query that applies an operator to the sales view.  ``columns`` (names, or one
-    space-separated text) decides which dimension joins are planned."""
+    space-separated text) decides which dimension joins are planned; ``exact=False`` is
+    for operators that list rows and sum nothing."""
     wanted = columns.split() if isinstance(columns, str) else tuple(columns)
 
     def build(spark: SparkSession, folder: str) -> DataFrame:
-        return operator(sales_view(spark, folder, wanted))
+        return operator(sales_view(spark, folder, wanted, exact))
 
     return Query(name, build, sql)

@@ -53,6 +53,12 @@ LINE_COLUMNS = {
     "discount_percent": f"cast({PERCENT} as decimal(5,2))",
     "total_amount": f"cast(cast({TOTAL_CENTS} as decimal(14,0)) * 0.01BD as decimal(14,2))",
 }
+# The same three as double, for results that list rows and sum nothing.
+LINE_COLUMNS_AS_DOUBLE = LINE_COLUMNS | {
+    "unit_price": f"{PRICE_CENTS} / 100D",
+    "discount_percent": f"cast({PERCENT} as double)",
+    "total_amount": f"{TOTAL_CENTS} / 100D",
+}
 ORDER_COLUMNS = {
     "date": "cast(o_orderdate as date)",
     "customer_id": "cast(o_custkey as string)",
@@ -78,9 +84,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def sales_view(
-    spark: SparkSession, folder: str, columns: Iterable[str] = SALES_COLUMNS
+    spark: SparkSession,
+    folder: str,
+    columns: Iterable[str] = SALES_COLUMNS,
+    exact: bool = True,
 ) -> DataFrame:
-    """The sales table, limited to ``columns``, in documented column order."""
+    """The sales table, limited to ``columns``, in documented column order.
+
+    Money is decimal, or with ``exact=False`` the double it is documented as.
+    """
     wanted = set(columns)
     if unknown := wanted - set(SALES_COLUMNS):
         raise ValueError(f"not sales columns: {sorted(unknown)}")
@@ -99,7 +111,8 @@ def sales_view(
     line_keys = ["l_orderkey"] if from_order else []
     line_keys += ["l_partkey"] if wanted & PART_COLUMNS.keys() else []
     line_keys += ["l_suppkey"] if wanted & SUPPLIER_COLUMNS.keys() else []
-    sales = table(spark, folder, "lineitem").selectExpr(pick(LINE_COLUMNS, *line_keys))
+    measures = LINE_COLUMNS if exact else LINE_COLUMNS_AS_DOUBLE
+    sales = table(spark, folder, "lineitem").selectExpr(pick(measures, *line_keys))
     if from_order:
         order_keys = ["o_orderkey", "o_custkey"] if from_customer else ["o_orderkey"]
         orders = table(spark, folder, "orders").selectExpr(pick(ORDER_COLUMNS, *order_keys))

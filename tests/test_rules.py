@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.keyed import between, draw, weighted_choice
+from ledgerloom.functions.lookup import lookup
 from ledgerloom.functions.position import KEYS_PER_SPLIT, RANGES, with_position
 from ledgerloom.operators import rulebook as book
 from ledgerloom.operators import rules
@@ -266,3 +267,21 @@ def test_own_bundle_table(make_sales):
     sales = make_sales(*[{"product": "Anchor", "customer_segment": "Enterprise"} for _ in range(40)])
     out = rules.bundle_expansion(sales, {"Anchor": ("Mouse",)})
     assert {r["product"] for r in out.collect()} == {"Anchor", "Mouse"}
+
+
+# --- lookups ---------------------------------------------------------------------
+
+
+def test_lookup_quotes_labels_and_leaves_unknown_ones_null(spark, rows):
+    table = {"it's": "1.5", "back\\slash": "2", "": "3"}
+    keys = spark.createDataFrame([("it's",), ("back\\slash",), ("",), ("other",), (None,)], "k string")
+    found = rows(keys.select(lookup(table, "k", "decimal(3,1)")))
+    assert [r[0] for r in found] == [Decimal("1.5"), Decimal("2"), Decimal("3"), None, None]
+
+
+def test_lookup_of_lists_and_its_limit(spark, rows):
+    frame = spark.createDataFrame([("a",)], "k string")
+    assert rows(frame.select(lookup({"a": ("x", "y")}, "k", "array<string>"))) == [(["x", "y"],)]
+    assert rows(frame.select(lookup({}, "k", "string"))) == [(None,)]
+    with pytest.raises(ValueError, match="dimension table"):
+        lookup({str(i): i for i in range(201)}, "k", "int")

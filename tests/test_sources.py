@@ -6,10 +6,11 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.filters import filtered_sales
+from ledgerloom.operators.filters import column_labels, filtered_sales
 from ledgerloom.plans.query import on_sales
 from ledgerloom.plans.rulequeries import shared_folder
 from ledgerloom.sources import star, tables
+from ledgerloom.sources.session import settings_for
 from ledgerloom.sources.schema import DOCUMENTED_TYPES, SALES_COLUMNS, conform, documented
 
 FOLDER = "/root/testdata/sf0.001"
@@ -162,3 +163,33 @@ def test_conform_keeps_other_columns(make_sales):
 
 def test_dates_are_dates(make_sales, rows):
     assert rows(make_sales({"date": "2024-02-29"}), "date") == [(datetime.date(2024, 2, 29),)]
+
+
+def test_settings_follow_the_size_of_the_data():
+    small = settings_for(10 * 2**20, 8)
+    assert small["spark.sql.shuffle.partitions"] == "8"
+    assert small["spark.sql.files.maxPartitionBytes"] == str(4 * 2**20)
+    large = settings_for(100 * 10**12, 8000)
+    assert int(large["spark.sql.shuffle.partitions"]) * 128 * 2**20 >= 20 * 10**12
+    assert int(settings_for(10**18, 8000)["spark.sql.shuffle.partitions"]) == 200_000
+    assert large["spark.sql.files.maxPartitionBytes"] == str(256 * 2**20)
+
+
+def test_matrix_columns_are_not_collected_without_bound(spark, make_sales):
+    sales = make_sales({"region": "A"}, {"region": "B"}, {"region": None})
+    assert column_labels(sales, "region") == ["A", "B"]
+    spark.conf.set("spark.sql.pivotMaxValues", "1")
+    try:
+        with pytest.raises(ValueError, match="name the matrix columns"):
+            column_labels(sales, "region")
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
+
+
+@pytest.mark.parametrize("column", ["unit_price", "discount_percent", "total_amount"])
+def test_double_view_equals_the_decimal_view(spark, column):
+    ids = ["transaction_id", column]
+    double = star.sales_view(spark, FOLDER, ids, exact=False)
+    decimal = documented(star.sales_view(spark, FOLDER, ids))
+    assert dict(double.dtypes)[column] == "double"
+    assert double.exceptAll(decimal).count() == 0 and decimal.exceptAll(double).count() == 0
