@@ -56,10 +56,12 @@ def with_position(frame: DataFrame, key: str, column: str) -> DataFrame:
     starts = sizes.select(
         "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
     )
+    # Every range has a start; the join is a left one so that no "range is known"
+    # predicate is inferred, which would run the search a second time in the scan.
     inside = Window.partitionBy("_range").orderBy(F.asc_nulls_last(key))
     return (
         ranged.withColumn("_place", F.row_number().over(inside))
-        .join(F.broadcast(starts), "_range")
+        .join(F.broadcast(starts), "_range", "left")
         .withColumn(column, (F.col("_start") + F.col("_place")).cast("bigint"))
         .drop("_range", "_place", "_start")
     )
