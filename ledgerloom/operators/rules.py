@@ -115,7 +115,9 @@ def weighted_assignment(
     frame: DataFrame, key: str, weights: Mapping[Any, str | float], column: str, purpose: str | None = None
 ) -> DataFrame:
     """Add a category drawn from the row's key in proportion to the weights."""
-    return frame.withColumn(column, weighted_choice(draw(key, purpose), weights))
+    # The draw is a column of its own, so it is worked out once, not once per limit.
+    drawn = frame.withColumn("_draw", draw(key, purpose))
+    return drawn.withColumn(column, weighted_choice(F.col("_draw"), weights)).drop("_draw")
 
 
 def account_assignment(customers: DataFrame, accounts: int, key: str = "customer_id") -> DataFrame:
@@ -223,17 +225,17 @@ def bundle_expansion(
         """Null, and not worked out at all, on the original rows."""
         return F.when(F.col("_extra"), value)
 
-    product = F.col("_companion")
+    unfolded = unfolded.withColumn("_quantity_draw", for_companion(drawn("quantity")))
+    product, quantity_draw = F.col("_companion"), F.col("_quantity_draw")
     quantity = (
         F.when(
-            product.isin(*book.COMPUTERS),
-            weighted_choice(drawn("quantity"), book.COMPUTER_QUANTITIES),
+            product.isin(*book.COMPUTERS), weighted_choice(quantity_draw, book.COMPUTER_QUANTITIES)
         )
         .when(
             product.isin(*book.DESK_DEVICES),
-            weighted_choice(drawn("quantity"), book.DESK_DEVICE_QUANTITIES),
+            weighted_choice(quantity_draw, book.DESK_DEVICE_QUANTITIES),
         )
-        .otherwise(weighted_choice(drawn("quantity"), book.ACCESSORY_QUANTITIES))
+        .otherwise(weighted_choice(quantity_draw, book.ACCESSORY_QUANTITIES))
         .cast("bigint")
     )
     list_cents = between(

@@ -33,4 +33,7 @@ def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Off: recording the caller's line for every column expression costs more than
+        # building the plan does.  Takes effect when the session is created.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
