@@ -4,25 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-SEARCH_STEPS = tuple(2**i for i in reversed(range(10)))
-RANGES = 2 * SEARCH_STEPS[0]
+RANGES = 1024
 KEYS_PER_SPLIT = 4
 
 
-def with_position(frame: DataFrame, key: str, column: str) -> DataFrame:
-    """Add the 1-based position of each row in ascending order of a unique ``key``.
+def with_position(frame: DataFrame, key: str, column: str, ranges: int = RANGES) -> DataFrame:
+    """Add the 1-based position of each row in ascending order of a unique ``key``; a null
+    key comes last.
 
     A window without a partition would sort everything in one task.  Instead the
-    rows are cut into up to 1,024 key ranges, numbered inside their range, and
-    shifted by the size of the ranges before it.
+    rows are cut into up to ``ranges`` key ranges (a job with more tasks than that asks
+    for more), numbered inside their range, and shifted by the size of the ranges before it.
 
     The range limits come from the rows with the smallest key hashes, so they are
     an even sample of the keys that is the same in every evaluation and after a
     lost executor.  They only steer the balance: the position is exact for any
-    limits.  What is gathered in one place is bounded: 4,092 sampled keys and one
+    limits.  What is gathered in one place is bounded: four sampled keys and one
     count per range.
     """
-    n_splits = RANGES - 1
+    n_splits = max(1, ranges - 1)
+    steps = [2**i for i in reversed(range(n_splits.bit_length()))]
     sample = (
         frame.select(key)
         .where(F.col(key).isNotNull())
@@ -36,20 +37,21 @@ def with_position(frame: DataFrame, key: str, column: str) -> DataFrame:
     splits = sample.agg(every_nth.alias("_splits")).scalar()
 
     # Binary search: the number of limits that are <= the key.  Reading past the
-    # end of a short array gives null, which counts as "greater".
+    # end of a short array gives null, which counts as "greater".  Null keys get the
+    # range behind all others.
     ranged = frame.withColumn("_splits", splits).withColumn(
         "_range",
-        F.aggregate(
-            F.array(*[F.lit(s) for s in SEARCH_STEPS]),
+        F.when(F.col(key).isNull(), F.lit(n_splits + 1)).otherwise(F.aggregate(
+            F.array(*[F.lit(s) for s in steps]),
             F.lit(0),
             lambda at, step: F.when(
                 F.get(F.col("_splits"), at + step - 1) <= F.col(key), at + step
             ).otherwise(at),
-        ),
+        )),
     ).drop("_splits")
 
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
-    # One row per range (at most RANGES), so this window is small by construction.
+    # One row per range (at most ``ranges`` + 1), so this window is small by construction.
     before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
     )
