@@ -6,7 +6,10 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CHUNK_CHARS = 4_000_000
@@ -68,23 +71,23 @@ def over_texts(
 
     ``make()`` is called once per task and returns a function from a list of texts (str,
     or UTF-8 bytes if ``raw``; null stays None) to one list per column of ``schema``.  It
-    gets at most about ``CHUNK_CHARS`` at a time, one text at least, which bounds memory
-    whatever the batch size.  The carried columns come through unchanged, in front.
+    gets about ``CHUNK_CHARS`` at a time, one text at least, which bounds memory whatever
+    the batch size.  The carried columns come through unchanged, in front; their names must
+    differ from those of ``schema``.
     """
-    kept = frame.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("__text"))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    names = [part.split()[0].strip("`") for part in schema.split(",")]
-    out_types = [part.split()[1] for part in schema.split(",")]
-    arrow = {"bigint": pa.int64(), "long": pa.int64(), "string": pa.string(), "double": pa.float64(),
-             "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary()}
+    apart = [] if text in carried else [F.col(f"`{text}`").alias("__text")]
+    kept = frame.select(*[F.col(f"`{c}`") for c in carried], *apart)
+    at = len(carried) if apart else list(carried).index(text)
+    added = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
+            column = batch.column(at)
+            lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
             if raw:
                 column = column.cast(pa.binary())
-            lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
             start = 0
             while start < batch.num_rows:
                 stop, chars = start + 1, lengths[start]
@@ -95,9 +98,9 @@ def over_texts(
                 piece = batch.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(i) for i in range(len(carried))]
-                    + [pa.array(v, arrow[t]) for v, t in zip(found, out_types, strict=True)],
-                    [*carried, *names],
+                    + [pa.array(v, field.type) for v, field in zip(found, arrow, strict=True)],
+                    [*carried, *added.names],
                 )
                 start = stop
 
-    return kept.mapInArrow(run, f"{types}, {schema}" if carried else schema)
+    return kept.mapInArrow(run, StructType([*kept.schema.fields[: len(carried)], *added.fields]))

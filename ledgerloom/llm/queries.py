@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chat, mixing, urls
+from ledgerloom.llm import benchmarks, chat, language, licenses, mixing, personal, simhash, urls
 from ledgerloom.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    return licenses.scanned(table(spark, folder, "documents"), ["doc_id"])
+
+
+def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item found in a document, with its place and similarity."""
+    return benchmarks.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
+
+
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language.identified(table(spark, folder, "documents"))
+
+
 def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation, and one made of the template's control strings, formatted and
     read back from the formatted text and its loss mask."""
@@ -61,14 +76,31 @@ def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate group of every document."""
+    groups = simhash.near_duplicates(table(spark, folder, "documents"), ["doc_id"])
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every page's URL by the longest rule, else by the language models."""
     return urls.judged(table(spark, folder, "pages"))
 
 
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data found in every document."""
+    found = personal.found(table(spark, folder, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 BUILDERS = {
+    "op1_license_scan": op1_license_scan,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_language_id": op3_language_id,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_source_mixing": op6_source_mixing,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_url_filter": op8_url_filter,
+    "op10_personal_data": op10_personal_data,
 }
 SQL = {"op5_chat_formatting": OP5_SQL}
