@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import benchmarks, chat, language, licenses, mixing, personal, simhash, urls
+from ledgerloom.llm import benchmarks, chat, language, licenses, mixing, personal, simhash, urls, vectors, warc
 from ledgerloom.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identified(table(spark, folder, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and near-duplicate group of every vector."""
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation, and one made of the template's control strings, formatted and
     read back from the formatted text and its loss mask."""
@@ -87,6 +92,29 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judged(table(spark, folder, "pages"))
 
 
+def op9_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to WARC archives and read back through their index."""
+    return warc.archived(table(spark, folder, "pages")).drop("url")
+
+
+OP9_SQL = """
+WITH hashed AS (
+    SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages
+), firsts AS (
+    SELECT *, min(page_id) OVER (PARTITION BY sha) AS first FROM hashed
+), digests AS (
+    SELECT page_id, octet_length(encode(html)) AS payload_bytes, first,
+        list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + CAST('0b' || substr(bits, 1 + 5 * i, 5) AS INTEGER), 1)), lambda a, b: a || b) AS payload_digest
+    FROM (SELECT *, CAST(CAST(unhex(sha) AS BIT) AS VARCHAR) AS bits FROM firsts)
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM digests
+"""
+
+
 def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data found in every document."""
     found = personal.found(table(spark, folder, "documents"), ["doc_id"])
@@ -97,10 +125,12 @@ BUILDERS = {
     "op1_license_scan": op1_license_scan,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_language_id": op3_language_id,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_source_mixing": op6_source_mixing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_url_filter": op8_url_filter,
+    "op9_warc_archive": op9_warc_archive,
     "op10_personal_data": op10_personal_data,
 }
-SQL = {"op5_chat_formatting": OP5_SQL}
+SQL = {"op5_chat_formatting": OP5_SQL, "op9_warc_archive": OP9_SQL}
