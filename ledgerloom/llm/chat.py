@@ -54,33 +54,42 @@ def formatted_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
     )
     known = nodes.select(F.col("tree").alias("k_tree"), F.col("node").alias("k_node"))
     met = F.col("tree").eqNullSafe(F.col("k_tree")) & (F.col("parent") == F.col("k_node"))
-    step = staged(
+    step = first = staged(
         nodes.join(known, met, "left").select("tree", "node", F.col("k_node").alias("above"), F.col("score").alias("total")),
         "chat-step",
     )
-    # steps[k]: for each message the one 2^k replies above it, and the scores passed.
-    steps = [step]
+    # steps[k]: each message with the one 2^k replies above it and the scores passed.  Messages
+    # that have none so far above are at their root; they wait in ``done`` with their sums.
+    steps, done = [], []
     longest = nodes.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    while 2 ** (len(steps) - 1) < longest and not step.where(F.col("above").isNotNull()).isEmpty():
-        upper = step.select(
+    while True:
+        done.append(step.where(F.col("above").isNull()))
+        step = step.where(F.col("above").isNotNull())
+        if 2 ** len(steps) > longest or step.isEmpty():
+            break
+        steps.append(step)
+        upper = step
+        for part in done:
+            upper = upper.union(part)
+        upper = upper.select(
             F.col("tree").alias("u_tree"), F.col("node").alias("u_node"), F.col("above").alias("u_above"), F.col("total").alias("u_total")
         )
         met = F.col("tree").eqNullSafe(F.col("u_tree")) & (F.col("above") == F.col("u_node"))
         step = staged(
-            step.join(upper, met, "left").select(
-                "tree", "node", F.col("u_above").alias("above"), (F.col("total") + F.coalesce("u_total", F.lit(0.0))).alias("total")
+            step.join(upper, met).select(
+                "tree", "node", F.col("u_above").alias("above"), (F.col("total") + F.col("u_total")).alias("total")
             ),
             "chat-step",
         )
-        steps.append(step)
+    finished = done[0]
+    for part in done[1:]:
+        finished = finished.union(part)
 
-    replied = steps[0].select(F.col("tree").alias("r_tree"), F.col("above").alias("r_node")).where(F.col("r_node").isNotNull())
+    replied = first.select(F.col("tree").alias("r_tree"), F.col("above").alias("r_node")).where(F.col("r_node").isNotNull())
     leaf = F.col("tree").eqNullSafe(F.col("r_tree")) & (F.col("node") == F.col("r_node"))
     best_first = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     chosen = (
-        step.where(F.col("above").isNull())
-        .join(replied, leaf, "left_anti")
-        .withColumn("path_rank", F.row_number().over(best_first))
+        finished.join(replied, leaf, "left_anti").withColumn("path_rank", F.row_number().over(best_first))
         .where(F.col("path_rank") <= paths_per_tree)
         .select("tree", F.col("node").alias("leaf"), "path_rank", F.col("total").alias("path_score"), "node", F.lit(0).cast("bigint").alias("up"))
     )
@@ -90,7 +99,7 @@ def formatted_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
         both = F.when(
             F.col("u_above").isNull(), F.array(F.struct("node", "up"))
         ).otherwise(F.array(F.struct("node", "up"), F.struct(F.col("u_above").alias("node"), (F.col("up") + 2**k).alias("up"))))
-        chosen = chosen.join(upper, met).select("tree", "leaf", "path_rank", "path_score", F.inline(both))
+        chosen = chosen.join(upper, met, "left").select("tree", "leaf", "path_rank", "path_score", F.inline(both))
 
     body = messages.select(F.col("tree").alias("m_tree"), F.col("node").alias("m_node"), "role", "text")
     met = F.col("tree").eqNullSafe(F.col("m_tree")) & (F.col("node") == F.col("m_node"))
