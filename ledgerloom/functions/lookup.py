@@ -1,35 +1,41 @@
-"""Small fixed tables as literal maps.
+"""Lookups: fixed tables as literal maps, a caller's table as a join.
 
-A table of a few dozen entries folds into a map literal inside the expression, so
-looking a label up needs no join, no broadcast job and no shuffle.
+A fixed table of a few dozen entries folds into a map literal inside the expression, so
+looking a label up needs no join, no broadcast job and no shuffle.  A table that a caller
+brings as a DataFrame may have any size: it is left-joined on its unique key, and Spark
+decides by its size how.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_ENTRIES = 200
-
-Value = str | int | float | Sequence[str]
+Value = str | int | float
 
 
 def lookup(table: Mapping[str, Value], key: str | Column, value_type: str) -> Column:
     """Value for the key, or null when the key is null or not in the table."""
-    if len(table) > MAX_ENTRIES:
-        raise ValueError(f"{len(table)} entries: join a dimension table instead")
     entries = ", ".join(f"{_quoted(label)}, {_sql(value)}" for label, value in table.items())
     literal = F.expr(f"cast(map({entries}) as map<string, {value_type}>)")
     return F.try_element_at(literal, F.col(key) if isinstance(key, str) else key)
 
 
+def with_value(
+    frame: DataFrame, table: Mapping[str, Value] | DataFrame, key: str, value_type: str, column: str
+) -> DataFrame:
+    """Add the value for the row's key, null when the table does not hold it.  A DataFrame's
+    first column is its unique key, the second the value."""
+    if not isinstance(table, DataFrame):
+        return frame.withColumn(column, lookup(table, key, value_type))
+    known, value = table.columns[:2]
+    entries = table.select(F.col(known).alias("_key"), F.col(value).cast(value_type).alias(column))
+    return frame.join(entries, frame[key] == entries["_key"], "left").drop("_key")
+
+
 def _sql(value: Value) -> str:
-    if isinstance(value, str):
-        return _quoted(value)
-    if isinstance(value, Sequence):
-        return f"array({', '.join(_sql(item) for item in value)})"
-    return repr(value)
+    return _quoted(value) if isinstance(value, str) else repr(value)
 
 
 def _quoted(text: str) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.functions.dates import as_date, month_number
 from ledgerloom.functions.ordering import largest_first
+from ledgerloom.sources.schema import FOLDER_COLUMNS
 
 DateRange = tuple[date | str, date | str]
 
@@ -27,10 +28,11 @@ def filtered_sales(
     if date_range:
         start, end = (as_date(day) for day in date_range)
         sales = sales.where(F.col("date").between(start, end))
-        if {"year", "month"} <= set(sales.columns):
-            # Same range on the partition columns of a written table, so whole
+        if set(FOLDER_COLUMNS) <= set(sales.columns):
+            # Same range on the folder columns of a table that write_sales wrote, so whole
             # month folders are skipped before any file is opened.
-            month = F.col("year") * 12 + F.col("month")
+            year, month = map(F.col, FOLDER_COLUMNS)
+            month = year * 12 + month
             sales = sales.where(month.between(month_number(start), month_number(end)))
     if regions:
         sales = sales.where(F.col("region").isin(*regions))
@@ -66,17 +68,3 @@ def top_product_rows(sales: DataFrame, k: int = 5) -> DataFrame:
     and the sales rows are not shuffled for the membership test.
     """
     return sales.join(top_product_names(sales, k), "product", "left_semi").select(*sales.columns)
-
-
-def column_labels(sales: DataFrame, column: str) -> list[str]:
-    """The distinct labels that become the columns of a matrix, in order.
-
-    Result columns must be known when a plan is built, so this runs a job when the
-    caller does not name them.  It refuses, as Spark's own pivot does and at the same
-    limit, instead of collecting without bound.
-    """
-    most = int(sales.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    found = sales.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"more than {most} values of {column}: name the matrix columns")
-    return sorted(row[0] for row in found)

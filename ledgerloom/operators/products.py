@@ -21,8 +21,9 @@ from ledgerloom.functions.measures import (
     total_or_zero,
 )
 from ledgerloom.functions.ordering import ascending, largest_first, last_of_largest_first
+from ledgerloom.functions.position import with_position
 from ledgerloom.functions.text import dollars, grouped_text, percent, plain_text
-from ledgerloom.operators.filters import column_labels, filtered_sales
+from ledgerloom.operators.filters import filtered_sales
 from ledgerloom.sources.schema import EXACT_TYPES
 
 # --- whole-table analyses ---------------------------------------------------
@@ -128,14 +129,14 @@ def product_summary(sales: DataFrame) -> DataFrame:
     rank = F.struct(
         F.col("total").isNull(), -F.col("total"), F.col("product").isNull(), F.col("product")
     )
+    totals = _totals(sales)
     return (
-        _totals(sales)
-        .agg(
+        totals.agg(
             F.count("*").alias("n_products"),
             F.min_by(F.struct("product", "total"), rank).alias("top"),
             mean("total").alias("avg_product_sales"),
-            F.median(F.col("total").cast("double")).alias("median_product_sales"),
         )
+        .withColumn("median_product_sales", _median(totals).scalar())
         .select(
             "n_products",
             F.col("top.product").alias("top_product"),
@@ -154,7 +155,9 @@ def product_summary_text(sales: DataFrame) -> DataFrame:
 
     return product_summary(sales).select(
         F.col("n_products").cast("string").alias("n_products"),
-        F.concat("top_product", F.lit(" ("), amount("top_product_sales"), F.lit(")")).alias("top_product"),
+        F.concat(
+            F.coalesce("top_product", F.lit("")), F.lit(" ("), amount("top_product_sales"), F.lit(")")
+        ).alias("top_product"),
         amount("avg_product_sales").alias("avg_product_sales"),
         amount("median_product_sales").alias("median_product_sales"),
     )
@@ -178,6 +181,13 @@ def top_bottom_products(sales: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
+def top_bottom_products_text(sales: DataFrame, k: int = 5) -> DataFrame:
+    """:func:`top_bottom_products` as display text."""
+    return top_bottom_products(sales, k).select(
+        "side", "rank", "product", dollars(grouped_text(F.col("total_sales"), 2)).alias("total_sales")
+    )
+
+
 def revenue_concentration(sales: DataFrame, k: int = 10) -> DataFrame:
     """Share of the revenue held by the ``k`` top products, in per cent."""
     totals = _totals(sales)
@@ -300,7 +310,7 @@ def _top_product_matrix(sales: DataFrame, k: int, regions: Sequence[str] | None)
     """
     pairs = sales.groupBy("product", "region").agg(F.sum("total_amount").alias("total"))
     if not regions:
-        regions = column_labels(sales, "region")
+        pairs, regions = _kept_pairs(pairs, k)
     cells = [
         F.coalesce(
             F.sum(F.when(F.col("region") == name, F.col("total"))).cast("double"), F.lit(0.0)
@@ -322,6 +332,40 @@ def _top_product_matrix(sales: DataFrame, k: int, regions: Sequence[str] | None)
     )
 
 
+def _kept_pairs(pairs: DataFrame, k: int) -> tuple[DataFrame, list[str]]:
+    """The pairs of the ``k`` top products and their regions, found in one read of the sales.
+
+    Result columns must be known when a plan is built, so a matrix whose columns are not
+    named costs this job.  It gathers at most ``k`` products' pairs and refuses more regions
+    than Spark's own pivot does.
+    """
+    most = int(pairs.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    top = (
+        pairs.groupBy("product")
+        .agg(F.sum("total").alias("_whole"), F.slice(F.collect_list(F.struct("region", "total")), 1, most + 2).alias("cells"))
+        .orderBy(*largest_first("_whole", "product"))
+        .limit(k)
+        .select("product", F.inline("cells"))
+    )
+    found = top.collect()
+    regions = sorted({row["region"] for row in found} - {None})
+    if len(regions) > most:
+        raise ValueError(f"more than {most} values of region: name the matrix columns")
+    return pairs.sparkSession.createDataFrame(found, top.schema), regions
+
+
+def _median(totals: DataFrame) -> DataFrame:
+    """Median of the totals that are not null, as one row.
+
+    The totals are ranked by key ranges and the one or two in the middle are picked, so no
+    task gathers them all, as an exact percentile would.
+    """
+    known = totals.where(F.col("total").isNotNull()).select(F.struct("total", "product").alias("_key"))
+    n = known.agg(F.count("*")).scalar()
+    middle = with_position(known, "_key", "_at").where((F.col("_at") * 2).between(n, n + 2))
+    return middle.agg(F.avg(F.col("_key.total").cast("double")).alias("median"))
+
+
 def _by_known_product(sales: DataFrame, filters: dict):
     rows = filtered_sales(sales, **filters).where(F.col("product").isNotNull())
     return rows.groupBy("product")

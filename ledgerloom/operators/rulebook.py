@@ -1,45 +1,29 @@
-"""Fixed values of the pricing, discount and bundling rules.
+"""Fixed values of the pricing, discount and assignment rules.
 
 Every rule takes its table as an argument and uses these as the default.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-
-@dataclass(frozen=True)
-class Product:
-    price_low: int
-    price_high: int
-    weight: str
-    seasonal: str
-
-
-# Product -> price range, market weight, seasonal factor.
-CATALOGUE = {
-    "Laptop": Product(800, 2500, "0.15", "1.2"),
-    "Desktop": Product(600, 1800, "0.08", "1.0"),
-    "Monitor": Product(200, 800, "0.12", "1.1"),
-    "Keyboard": Product(30, 200, "0.18", "1.0"),
-    "Mouse": Product(20, 150, "0.19", "1.0"),
-    "Headphones": Product(50, 400, "0.15", "1.3"),
-    "Tablet": Product(300, 1200, "0.10", "1.4"),
-    "Smartphone": Product(400, 1500, "0.12", "1.5"),
-    "Printer": Product(150, 600, "0.06", "0.9"),
-    "Webcam": Product(40, 250, "0.08", "1.2"),
-    "Speaker": Product(80, 500, "0.10", "1.1"),
-    "Router": Product(100, 400, "0.05", "1.0"),
+# Product -> seasonal factor.
+SEASONAL_FACTORS = {
+    "Laptop": "1.2",
+    "Desktop": "1.0",
+    "Monitor": "1.1",
+    "Keyboard": "1.0",
+    "Mouse": "1.0",
+    "Headphones": "1.3",
+    "Tablet": "1.4",
+    "Smartphone": "1.5",
+    "Printer": "0.9",
+    "Webcam": "1.2",
+    "Speaker": "1.1",
+    "Router": "1.0",
 }
-PRODUCT_WEIGHTS = {name: product.weight for name, product in CATALOGUE.items()}
 
 # Months of raised demand -> multiplier.
 SEASONS = {(11, 12): "1.5", (8, 9): "1.2"}
 
-# Channel and segment weights.
-CHANNEL_WEIGHTS = {"Online": "0.45", "Retail": "0.30", "Partner": "0.15", "Direct": "0.10"}
-SEGMENT_WEIGHTS = {"Enterprise": "0.15", "SMB": "0.35", "Consumer": "0.40", "Education": "0.10"}
-
 # Customer segment -> price multiplier.
 SEGMENT_MULTIPLIERS = {"Enterprise": "2.5", "SMB": "1.5", "Consumer": "1.0", "Education": "1.2"}
 
@@ -55,11 +39,6 @@ OTHER_CHANNEL_DISCOUNT = CHANNEL_DISCOUNTS["Retail"]
 # Least quantity -> tier name and added discount range, largest first.
 VOLUME_TIERS = {5: ("bulk", (3, 8)), 3: ("multi", (1, 5)), 0: ("single", (0, 0))}
 
-# Share of sales of a product that carry a discount.
-RARELY_DISCOUNTED = ("Laptop", "Desktop", "Smartphone")
-RARE_DISCOUNT_SHARE = 0.3
-USUAL_DISCOUNT_SHARE = 0.6
-
 # Performance tier -> multiplier, and name suffix.
 TIER_MULTIPLIERS = {
     "top_performer": "1.8",
@@ -71,26 +50,5 @@ TIER_SUFFIXES = {"top_performer": " (Top)", "high_performer": " (High)", "low_pe
 GOOD_TIER_DISCOUNT = "0.8"
 POOR_TIER_DISCOUNT = "1.3"
 
-# Anchor product -> products bought with it.
-BUNDLES = {
-    "Laptop": ("Mouse", "Keyboard", "Headphones"),
-    "Desktop": ("Monitor", "Keyboard", "Mouse"),
-    "Smartphone": ("Headphones", "Speaker"),
-    "Tablet": ("Keyboard", "Headphones"),
-    "Webcam": ("Headphones", "Speaker"),
-}
-# Customer segment -> share of anchor sales that become a bundle.
-BUNDLE_SHARES = {"Enterprise": 0.4, "SMB": 0.3, "Consumer": 0.15, "Education": 0.35}
-OTHER_BUNDLE_SHARE = 0.1
-BUNDLE_DISCOUNT = "1.2"
-
-# Quantity -> weight, for computers and phones, for desk devices, and
-# for accessories (every other product).
-COMPUTERS = ("Laptop", "Desktop", "Tablet", "Smartphone")
-COMPUTER_QUANTITIES = {1: "0.8", 2: "0.15", 3: "0.05"}
-DESK_DEVICES = ("Monitor", "Printer")
-DESK_DEVICE_QUANTITIES = {1: "0.7", 2: "0.2", 3: "0.08", 4: "0.02"}
-ACCESSORY_QUANTITIES = {1: "0.4", 2: "0.3", 3: "0.15", 4: "0.08", 5: "0.05", 6: "0.02"}
-
 # Days of history before the reference day.
 HISTORY_DAYS = 730

@@ -1,7 +1,8 @@
-"""Pricing, discount, bundling and assignment rules as table transformations.
+"""Pricing, discount and assignment rules as table transformations.
 
-All rules work row by row on literal lookups, so none of them shuffles the sales
-(account positions, the one exception, are computed over distinct customers).  A
+All rules work row by row on literal lookups, so none of them shuffles the sales (account
+positions, the one exception, are computed over distinct customers).  Every rule takes its
+table as an argument, a mapping or a DataFrame of key and value; a DataFrame is joined.  A
 label that a rule's table does not know leaves the value as it is.
 """
 
@@ -12,14 +13,13 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.functions.keyed import below, between, draw, weighted_choice
-from ledgerloom.functions.lookup import lookup
+from ledgerloom.functions.lookup import lookup, with_value
 from ledgerloom.functions.measures import net_of_discount
 from ledgerloom.functions.position import with_position
 from ledgerloom.operators import rulebook as book
-from ledgerloom.sources.schema import SALES_COLUMNS
 
 FACTOR = "decimal(6,4)"
+Table = Mapping[str, Any] | DataFrame
 
 
 # --- pricing -----------------------------------------------------------------
@@ -40,86 +40,114 @@ def net_amount(sales: DataFrame) -> DataFrame:
     )
 
 
-def seasonal_factor(sales: DataFrame, factors: Mapping[str, str] | None = None) -> DataFrame:
+def seasonal_factor(
+    sales: DataFrame,
+    factors: Table = book.SEASONAL_FACTORS,
+    seasons: Mapping[Sequence[int], str] = book.SEASONS,
+) -> DataFrame:
     """Add the product's demand factor, raised in the high-season months."""
-    return sales.withColumn("seasonal_factor", _season(F.col("product"), F.col("date"), factors))
+    known = with_value(sales, factors, "product", "decimal(4,2)", "_base")
+    season = None
+    for months, multiplier in seasons.items():
+        in_season, value = F.month("date").isin(*months), F.lit(multiplier)
+        season = season.when(in_season, value) if season is not None else F.when(in_season, value)
+    season = F.lit("1") if season is None else season.otherwise(F.lit("1"))
+    base = F.coalesce("_base", F.lit(1).cast("decimal(4,2)"))
+    return known.withColumn("seasonal_factor", (base * season.cast("decimal(2,1)")).cast(FACTOR)).drop("_base")
 
 
-def regional_factor(sales: DataFrame) -> DataFrame:
+def regional_factor(
+    sales: DataFrame,
+    strength: Table = book.REGION_STRENGTH,
+    adoption: Table = book.REGION_ADOPTION,
+    technology: Sequence[str] = book.TECHNOLOGY_PRODUCTS,
+) -> DataFrame:
     """Add the region's price factor: economic strength, averaged with technology
     adoption for technology products."""
-    technology = F.col("product").isin(*book.TECHNOLOGY_PRODUCTS)
-    return sales.withColumn("regional_factor", _region(F.col("region"), technology))
+    known = with_value(sales, strength, "region", "decimal(3,2)", "_strength")
+    known = with_value(known, adoption, "region", "decimal(3,2)", "_adoption")
+    one, half = F.lit(1).cast("decimal(3,2)"), F.lit("0.5").cast("decimal(1,1)")
+    strong, adopted = F.coalesce("_strength", one), F.coalesce("_adoption", one)
+    factor = F.when(F.col("product").isin(*technology), (strong + adopted) * half).otherwise(strong)
+    return known.withColumn("regional_factor", factor.cast(FACTOR)).drop("_strength", "_adoption")
 
 
-def segment_factor(sales: DataFrame) -> DataFrame:
+def segment_factor(sales: DataFrame, multipliers: Table = book.SEGMENT_MULTIPLIERS) -> DataFrame:
     """Add the segment's price multiplier and the unit price under it."""
-    factor = _segment(F.col("customer_segment"))
-    return sales.withColumns(
+    known = with_value(sales, multipliers, "customer_segment", "decimal(3,1)", "_multiplier")
+    factor = F.coalesce("_multiplier", F.lit(1).cast("decimal(3,1)")).cast("decimal(3,1)")
+    return known.withColumns(
         {"segment_factor": factor, "segment_price": _price(F.col("unit_price") * factor)}
-    )
+    ).drop("_multiplier")
 
 
-def adjusted_price(sales: DataFrame) -> DataFrame:
+def adjusted_price(
+    sales: DataFrame,
+    factors: Table = book.SEASONAL_FACTORS,
+    strength: Table = book.REGION_STRENGTH,
+    adoption: Table = book.REGION_ADOPTION,
+    multipliers: Table = book.SEGMENT_MULTIPLIERS,
+) -> DataFrame:
     """Add the unit price after season, region and segment, in that order."""
-    technology = F.col("product").isin(*book.TECHNOLOGY_PRODUCTS)
-    price = _adjust(
-        F.col("unit_price"),
-        _season(F.col("product"), F.col("date")),
-        _region(F.col("region"), technology),
-        _segment(F.col("customer_segment")),
-    )
-    return sales.withColumn("adjusted_price", price)
+    known = segment_factor(regional_factor(seasonal_factor(sales, factors), strength, adoption), multipliers)
+    price = F.col("unit_price") * F.col("seasonal_factor") * F.col("regional_factor") * F.col("segment_factor")
+    return known.withColumn("adjusted_price", _price(price)).select(*sales.columns, "adjusted_price")
 
 
 # --- discounts ---------------------------------------------------------------
 
 
-def discount_bounds(sales: DataFrame) -> DataFrame:
+def discount_bounds(
+    sales: DataFrame,
+    channels: Mapping[str, tuple[int, int]] = book.CHANNEL_DISCOUNTS,
+    other: tuple[int, int] = book.OTHER_CHANNEL_DISCOUNT,
+    tiers: Mapping[int, tuple[str, tuple[int, int]]] = book.VOLUME_TIERS,
+) -> DataFrame:
     """Add the allowed discount range and whether the stored discount keeps to it.
 
     The range is the channel's plus the volume tier's; no discount at all is always
-    allowed.
+    allowed.  A quantity below every tier's least one (a return) is in the lowest tier.
     """
-    low, high = _discount_range(F.col("sales_channel"), F.col("quantity"))
+
+    def bound(end: int) -> Column:
+        base = F.coalesce(
+            lookup({name: ends[end] for name, ends in channels.items()}, "sales_channel", "decimal(5,2)"),
+            F.lit(other[end]).cast("decimal(5,2)"),
+        )
+        added = _by_volume(F.col("quantity"), tiers, lambda _, ends: ends[end]).cast("decimal(5,2)")
+        return (base + added).cast("decimal(5,2)")
+
+    low, high = bound(0), bound(1)
     given = F.col("discount_percent")
     return sales.withColumns(
         {
             "min_pct": low,
             "max_pct": high,
-            "volume_tier": _by_volume(F.col("quantity"), lambda tier, _: tier),
+            "volume_tier": _by_volume(F.col("quantity"), tiers, lambda tier, _: tier),
             "in_bounds": (given == 0) | given.between(low, high),
         }
     )
 
 
-def tier_adjusted_discount(sales: DataFrame) -> DataFrame:
+def tier_adjusted_discount(sales: DataFrame, multipliers: Table = book.TIER_MULTIPLIERS) -> DataFrame:
     """Add the discount after the salesperson's tier: strong tiers give less, weak more."""
-    tier = lookup(book.TIER_MULTIPLIERS, "salesperson_tier", FACTOR)
+    known = with_value(sales, multipliers, "salesperson_tier", FACTOR, "_tier")
+    tier = F.col("_tier")
     change = (
         F.when(tier > 1, F.lit(book.GOOD_TIER_DISCOUNT))
         .when(tier < 1, F.lit(book.POOR_TIER_DISCOUNT))
         .otherwise(F.lit("1"))
         .cast("decimal(2,1)")
     )
-    return sales.withColumn(
+    return known.withColumn(
         "adjusted_discount",
         F.round(F.col("discount_percent").cast("decimal(5,2)") * change, 2).cast("decimal(6,2)"),
-    )
+    ).drop("_tier")
 
 
 # --- assignment --------------------------------------------------------------
 
 
-def weighted_assignment(
-    frame: DataFrame, key: str, weights: Mapping[Any, str | float], column: str, purpose: str | None = None
-) -> DataFrame:
-    """Add a category drawn from the row's key in proportion to the weights."""
-    # The draw is a column of its own, so it is worked out once, not once per limit.
-    drawn = frame.withColumn("_draw", draw(key, purpose))
-    return drawn.withColumn(column, weighted_choice(F.col("_draw"), weights)).drop("_draw")
-
-
 def account_assignment(customers: DataFrame, accounts: int, key: str = "customer_id") -> DataFrame:
     """Split the distinct customers, in key order, into ``accounts`` contiguous blocks of
     ``floor(n / accounts)``; the last block takes the remainder.
@@ -165,10 +193,11 @@ def account_sales(sales: DataFrame, assignment: DataFrame, key: str = "customer_
     )
 
 
-def performer_label(frame: DataFrame) -> DataFrame:
+def performer_label(frame: DataFrame, suffixes: Table = book.TIER_SUFFIXES) -> DataFrame:
     """Add the salesperson's name with the tier suffix."""
-    suffix = F.coalesce(lookup(book.TIER_SUFFIXES, "salesperson_tier", "string"), F.lit(""))
-    return frame.withColumn("performer_label", F.concat("salesperson", suffix))
+    known = with_value(frame, suffixes, "salesperson_tier", "string", "_suffix")
+    label = F.concat("salesperson", F.coalesce("_suffix", F.lit("")))
+    return known.withColumn("performer_label", label).drop("_suffix")
 
 
 def history_window(sales: DataFrame, days: int = book.HISTORY_DAYS, as_of: Any = None) -> DataFrame:
@@ -182,165 +211,16 @@ def history_window(sales: DataFrame, days: int = book.HISTORY_DAYS, as_of: Any =
     )
 
 
-# --- bundles -----------------------------------------------------------------
-
-
-def bundle_expansion(
-    sales: DataFrame, bundles: Mapping[str, Sequence[str]] | None = None
-) -> DataFrame:
-    """The sales and, for a share of anchor products' sales, a companion sale.
-
-    The companion keeps customer, date, region, channel and salesperson.  Which
-    sales get one, which product it is, and its quantity, list price and discount are
-    drawn from the transaction id.  Price uses the anchor's season and the
-    companion's regional rule; the discount is the usual one times the bundle factor.
-
-    Each row unfolds into one or two in place, so the input is read once; a union of
-    the sales with a second pass over them would read it twice.  Columns keep the types
-    of the input.
-    """
-    companions = bundles or book.BUNDLES
-
-    def drawn(purpose: str) -> Column:
-        return draw("transaction_id", purpose)
-
-    options = lookup(companions, "product", "array<string>")
-    companion = F.get(options, (drawn("companion") % F.array_size(options)).cast("int"))
-    share = F.coalesce(
-        lookup(book.BUNDLE_SHARES, "customer_segment", "double"), F.lit(book.OTHER_BUNDLE_SHARE)
-    )
-    is_anchor = F.col("product").isin(*companions)
-    unfolded = sales.withColumn(
-        "_companion", F.when(is_anchor & below(drawn("bundle"), share), companion)
-    ).withColumn(
-        "_extra",
-        F.explode(
-            F.when(F.col("_companion").isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(
-                F.array(F.lit(False))
-            )
-        ),
-    )
-
-    def for_companion(value: Column) -> Column:
-        """Null, and not worked out at all, on the original rows."""
-        return F.when(F.col("_extra"), value)
-
-    unfolded = unfolded.withColumn("_quantity_draw", for_companion(drawn("quantity")))
-    product, quantity_draw = F.col("_companion"), F.col("_quantity_draw")
-    quantity = (
-        F.when(
-            product.isin(*book.COMPUTERS), weighted_choice(quantity_draw, book.COMPUTER_QUANTITIES)
-        )
-        .when(
-            product.isin(*book.DESK_DEVICES),
-            weighted_choice(quantity_draw, book.DESK_DEVICE_QUANTITIES),
-        )
-        .otherwise(weighted_choice(quantity_draw, book.ACCESSORY_QUANTITIES))
-        .cast("bigint")
-    )
-    list_cents = between(
-        drawn("price"),
-        lookup({n: p.price_low * 100 for n, p in book.CATALOGUE.items()}, product, "bigint"),
-        lookup({n: p.price_high * 100 for n, p in book.CATALOGUE.items()}, product, "bigint"),
-    )
-    unit_price = _adjust(
-        (list_cents.cast("decimal(14,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(12,2)"),
-        _season(F.col("product"), F.col("date")),
-        _region(F.col("region"), product.isin(*book.TECHNOLOGY_PRODUCTS)),
-        _segment(F.col("customer_segment")),
-    )
-    unfolded = unfolded.withColumns(
-        {"_quantity": for_companion(quantity), "_unit_price": for_companion(unit_price)}
-    )
-
-    low, high = _discount_range(F.col("sales_channel"), F.col("_quantity"))
-    given_share = F.when(
-        product.isin(*book.RARELY_DISCOUNTED), book.RARE_DISCOUNT_SHARE
-    ).otherwise(book.USUAL_DISCOUNT_SHARE)
-    points = between(
-        drawn("discount"), (low * 100).cast("bigint"), (high * 100).cast("bigint")
-    ).cast("decimal(8,0)")
-    factor = F.lit(book.BUNDLE_DISCOUNT).cast("decimal(2,1)") * F.lit("0.01").cast("decimal(2,2)")
-    discount = F.when(
-        below(drawn("discounted"), given_share), F.round(points * factor, 2)
-    ).otherwise(F.lit(0)).cast("decimal(5,2)")
-    unfolded = unfolded.withColumn("_discount", for_companion(discount))
-
-    companion_values = {
-        "transaction_id": F.concat("transaction_id", F.lit("-bundle")),
-        "product": F.col("_companion"),
-        "quantity": F.col("_quantity"),
-        "unit_price": F.col("_unit_price"),
-        "discount_percent": F.col("_discount"),
-        "total_amount": net_of_discount(
-            F.col("_quantity"), F.col("_unit_price"), F.col("_discount")
-        ),
-    }
-    return unfolded.select(
-        *[
-            F.when(F.col("_extra"), companion_values[name].cast(sales.schema[name].dataType))
-            .otherwise(F.col(name))
-            .alias(name)
-            if name in companion_values
-            else F.col(name)
-            for name in SALES_COLUMNS
-        ]
-    )
-
-
 # --- shared steps ------------------------------------------------------------
 
 
-def _season(product: Column, day: Column, factors: Mapping[str, str] | None = None) -> Column:
-    known = factors or {name: entry.seasonal for name, entry in book.CATALOGUE.items()}
-    season = None
-    for months, multiplier in book.SEASONS.items():
-        in_season, value = F.month(day).isin(*months), F.lit(multiplier)
-        season = season.when(in_season, value) if season is not None else F.when(in_season, value)
-    season = season.otherwise(F.lit("1")).cast("decimal(2,1)")
-    base = F.coalesce(lookup(known, product, "decimal(4,2)"), F.lit(1).cast("decimal(4,2)"))
-    return (base * season).cast(FACTOR)
-
-
-def _region(region: Column, technology: Column) -> Column:
-    one = F.lit(1).cast("decimal(3,2)")
-    strength = F.coalesce(lookup(book.REGION_STRENGTH, region, "decimal(3,2)"), one)
-    adoption = F.coalesce(lookup(book.REGION_ADOPTION, region, "decimal(3,2)"), one)
-    half = F.lit("0.5").cast("decimal(1,1)")
-    return F.when(technology, (strength + adoption) * half).otherwise(strength).cast(FACTOR)
-
-
-def _segment(segment: Column) -> Column:
-    return F.coalesce(
-        lookup(book.SEGMENT_MULTIPLIERS, segment, "decimal(3,1)"), F.lit(1).cast("decimal(3,1)")
-    ).cast("decimal(3,1)")
-
-
-def _adjust(price: Column, *factors: Column) -> Column:
-    for factor in factors:
-        price = price * factor
-    return _price(price)
-
-
 def _price(price: Column) -> Column:
     return F.round(price, 2).cast("decimal(14,2)")
 
 
-def _discount_range(channel: Column, quantity: Column) -> tuple[Column, Column]:
-    def bound(end: int) -> Column:
-        base = F.coalesce(
-            lookup({name: ends[end] for name, ends in book.CHANNEL_DISCOUNTS.items()}, channel, "decimal(5,2)"),
-            F.lit(book.OTHER_CHANNEL_DISCOUNT[end]).cast("decimal(5,2)"),
-        )
-        added = _by_volume(quantity, lambda _, ends: ends[end]).cast("decimal(5,2)")
-        return (base + added).cast("decimal(5,2)")
-
-    return bound(0), bound(1)
-
-
-def _by_volume(quantity: Column, value) -> Column:
-    chosen = None
-    for least, (tier, ends) in book.VOLUME_TIERS.items():
-        reached, result = quantity >= least, F.lit(value(tier, ends))
+def _by_volume(quantity: Column, tiers: Mapping[int, tuple[str, tuple[int, int]]], value) -> Column:
+    chosen, lowest = None, min(tiers)
+    for least in sorted(tiers, reverse=True):
+        reached, result = quantity >= least, F.lit(value(*tiers[least]))
         chosen = chosen.when(reached, result) if chosen is not None else F.when(reached, result)
-    return chosen
+    return chosen.otherwise(F.lit(value(*tiers[lowest])))

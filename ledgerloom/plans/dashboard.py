@@ -1,8 +1,7 @@
 """Filter choices and analyses of the filtered sales.
 
-Each filtered analysis is registered on the whole table and under all three
-filters; the row filter and the headline figures also under each filter alone and
-under a filter nothing passes.
+Each filtered analysis is registered on the whole table, under all three filters, under
+each filter alone and under a filter nothing passes.
 """
 
 from __future__ import annotations
@@ -49,28 +48,28 @@ EACH_FILTER = {
     "_by_product": ({"products": SOME_PRODUCTS}, AMONG_PRODUCTS, "product"),
     "_none_match": ({"regions": NOWHERE}, f"region IN ({quoted(NOWHERE)})", "region"),
 }
-BOTH = UNFILTERED | ALL_FILTERS
-EVERY = BOTH | EACH_FILTER
+EVERY = UNFILTERED | ALL_FILTERS | EACH_FILTER
 
 
 def variants(
     name: str,
     operator: Callable[..., DataFrame],
-    sql: str,
+    sql: str | Callable[[dict], str],
     columns: str,
-    cases: dict = BOTH,
     ctes: str = "",
     exact: bool = True,
 ) -> list[Query]:
-    """One query per filter case; ``sql`` reads the CTE ``chosen``."""
+    """One query per filter case; ``sql``, which may depend on the filter, reads the CTE
+    ``chosen``."""
     made = []
-    for suffix, (arguments, predicate, filter_columns) in cases.items():
+    for suffix, (arguments, predicate, filter_columns) in EVERY.items():
+        body = sql if isinstance(sql, str) else sql(arguments)
         chosen = f"chosen AS (SELECT * FROM sales WHERE {predicate})"
         made.append(
             on_sales(
                 name + suffix,
                 lambda sales, arguments=arguments: operator(sales, **arguments),
-                with_sales(sql, *([chosen, ctes] if ctes else [chosen])),
+                with_sales(body, *([chosen, ctes] if ctes else [chosen])),
                 f"{columns} {filter_columns}",
                 exact,
             )
@@ -78,6 +77,11 @@ def variants(
     return made
 
 
+def shown(arguments: dict):
+    """Columns of the matrix: the regions that the filter lets through."""
+    return arguments.get("regions", REGIONS)
+
+
 KPI = f"""
 SELECT {total_or_zero('total_amount')} AS total_sales, COUNT(*) AS total_transactions,
   {mean('total_amount')} AS avg_transaction, COUNT(DISTINCT customer_id) AS unique_customers
@@ -89,7 +93,6 @@ QUERIES: list[Query] = [
         filters.filtered_sales,
         f"SELECT {DOCUMENTED} FROM chosen",
         " ".join(SALES_COLUMNS),
-        EVERY,
         exact=False,
     ),
     on_sales(
@@ -118,7 +121,7 @@ QUERIES: list[Query] = [
             PRODUCT_TOTALS,
         ),
     ),
-    *variants("kpi_values", headline.kpi_values, KPI, "total_amount customer_id", EVERY),
+    *variants("kpi_values", headline.kpi_values, KPI, "total_amount customer_id"),
     *variants(
         "kpi_text",
         headline.kpi_text,
@@ -130,7 +133,6 @@ SELECT CASE WHEN total_transactions = 0 THEN '$0' ELSE '$' || format('{{:,.0f}}'
   format('{{:,}}', unique_customers) AS unique_customers
 FROM ({KPI})""",
         "total_amount customer_id",
-        EVERY,
     ),
     *variants(
         "dash_region_bar",
@@ -180,8 +182,8 @@ ORDER BY revenue_per_unit DESC NULLS LAST, product LIMIT 15""",
     ),
     *variants(
         "dash_product_region_matrix",
-        lambda sales, **arguments: products.product_region_matrix(sales, 15, REGIONS, **arguments),
-        matrix_cells("chosen SEMI JOIN best USING (product)"),
+        lambda sales, **arguments: products.product_region_matrix(sales, 15, shown(arguments), **arguments),
+        lambda arguments: matrix_cells("chosen SEMI JOIN best USING (product)", shown(arguments)),
         "product region total_amount",
         ctes="""best AS (SELECT product FROM chosen WHERE product IS NOT NULL GROUP BY product
   ORDER BY SUM(total_amount) DESC NULLS LAST, product LIMIT 15)""",

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.functions.lookup import lookup
-from ledgerloom.operators.rulebook import CATALOGUE
+from ledgerloom.operators.rulebook import SEASONAL_FACTORS
 
 BRANDS = 24
-PRODUCT_LABELS = {f"Brand#{n}": list(CATALOGUE)[(n - 1) % len(CATALOGUE)] for n in range(1, BRANDS + 1)}
+PRODUCT_LABELS = {f"Brand#{n}": list(SEASONAL_FACTORS)[(n - 1) % len(SEASONAL_FACTORS)] for n in range(1, BRANDS + 1)}
 REGION_LABELS = {
     "AFRICA": "South",
     "AMERICA": "West",

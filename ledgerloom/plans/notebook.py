@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.operators import products, regions
+from ledgerloom.operators.filters import filtered_sales
 from ledgerloom.plans.query import Query, on_sales
 from ledgerloom.plans.sqltext import DOCUMENTED, mean, rounded_mean, total, whole, with_sales
 from ledgerloom.sources import tables
-from ledgerloom.sources.schema import SALES_COLUMNS
+from ledgerloom.sources.schema import SALES_COLUMNS, documented
 from ledgerloom.sources.star import sales_view
 
-# A window of the data with months some region has no sale in.
-PIVOT_MONTHS = [f"2000-{m:02d}" for m in range(9, 13)] + [f"2001-{m:02d}" for m in range(1, 9)]
+# All months of the data, 1995-01 to 2001-08; in some of them some region has no sale.
+PIVOT_MONTHS = [f"{year}-{month:02d}" for year in range(1995, 2002) for month in range(1, 13)][:80]
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 REGION_MONTHS = """
@@ -53,10 +54,10 @@ WHERE place = 1""",
     )
 
 
-def matrix_cells(rows: str) -> str:
+def matrix_cells(rows: str, shown=REGIONS) -> str:
     cells = ", ".join(
         f"COALESCE(CAST(SUM(total_amount) FILTER (WHERE region = '{name}') AS DOUBLE), 0.0) AS \"{name}\""
-        for name in REGIONS
+        for name in shown
     )
     return f"""SELECT product, {cells} FROM {rows} WHERE product IS NOT NULL
 GROUP BY product HAVING COUNT(region) > 0"""
@@ -72,7 +73,49 @@ def first_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = sales_view(spark, folder, exact=False).join(ids, "transaction_id", "left_semi")
     return tables.preview(rows, 5, PREVIEW_ORDER)
 
+
+VIEW = "ledgerloom_sales"
+
+
+def listed_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and revenue of the sales registered under a name, found in the list of tables."""
+    sales_view(spark, folder, ["total_amount"]).createOrReplaceTempView(VIEW)
+    found = [name for name in tables.list_tables(spark) if name == VIEW]
+    sales = tables.sales_table(spark, found[0])
+    return sales.agg(F.count("*").alias("n"), F.sum("total_amount").cast("double").alias("total_sales")).select(
+        F.lit(found[0]).alias("table_name"), "n", "total_sales"
+    )
+
+
+def client_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The first five sales, fetched and made into a table again."""
+    return documented(tables.rows_to_sales(spark, (r.asDict() for r in first_rows(spark, folder).collect())))
+
+
+def appended_sales(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales by region of two disjoint region choices, appended: the same as of the whole."""
+    sales = sales_view(spark, folder, ["region", "total_amount"])
+    some = REGIONS[:2]
+    rest = sales.where(~F.col("region").isin(*some) | F.col("region").isNull())
+    return regions.region_sales(tables.append_sales(filtered_sales(sales, regions=some), rest))
+
+
+REGION_SALES = f"""
+SELECT region, {total('total_amount')} AS total_sales, {mean('total_amount')} AS avg_sales,
+  COUNT(*) AS transaction_count, {mean('total_amount')} AS avg_transaction_value
+FROM sales GROUP BY region"""
+FIRST_ROWS = with_sales(
+    f"SELECT {DOCUMENTED} FROM sales ORDER BY {', '.join('sales.' + c for c in PREVIEW_ORDER)} LIMIT 5"
+)
+
 QUERIES: list[Query] = [
+    Query(
+        "listed_tables",
+        listed_tables,
+        with_sales(f"SELECT '{VIEW}' AS table_name, COUNT(*) AS n, {total('total_amount')} AS total_sales FROM sales"),
+    ),
+    Query("client_rows", client_rows, FIRST_ROWS),
+    Query("appended_sales", appended_sales, with_sales(REGION_SALES)),
     on_sales(
         "sales_row_count", tables.row_count, with_sales("SELECT COUNT(*) AS n FROM sales"), "transaction_id"
     ),
@@ -89,19 +132,12 @@ FROM sales"""
     Query(
         "sales_preview",
         first_rows,
-        with_sales(
-            f"SELECT {DOCUMENTED} FROM sales ORDER BY {', '.join('sales.' + c for c in PREVIEW_ORDER)} LIMIT 5"
-        ),
+        FIRST_ROWS,
     ),
     on_sales(
         "region_sales",
         regions.region_sales,
-        with_sales(
-            f"""
-SELECT region, {total('total_amount')} AS total_sales, {mean('total_amount')} AS avg_sales,
-  COUNT(*) AS transaction_count, {mean('total_amount')} AS avg_transaction_value
-FROM sales GROUP BY region"""
-        ),
+        with_sales(REGION_SALES),
         "region total_amount",
     ),
     on_sales(
@@ -149,8 +185,7 @@ FROM months""",
                 f"CAST(SUM(total) FILTER (WHERE strftime(date, '%Y-%m') = '{m}') AS DOUBLE) AS \"{m}\""
                 for m in PIVOT_MONTHS
             )
-            + f" FROM months WHERE region IS NOT NULL AND date BETWEEN DATE '{PIVOT_MONTHS[0]}-01'"
-            f" AND DATE '{PIVOT_MONTHS[-1]}-01' GROUP BY region",
+            + " FROM months WHERE region IS NOT NULL GROUP BY region",
             REGION_MONTHS,
         ),
         "region date total_amount",
@@ -315,6 +350,19 @@ FROM ranked WHERE place > n - 5""",
         ),
         "product total_amount",
     ),
+    on_sales(
+        "top_bottom_products_text",
+        products.top_bottom_products_text,
+        with_sales(
+            """
+SELECT side, rank, product, '$' || format('{:,.2f}', CAST(total AS DOUBLE)) AS total_sales
+FROM (SELECT 'top' AS side, CAST(place AS INTEGER) AS rank, product, total FROM ranked WHERE place <= 5
+  UNION ALL SELECT 'bottom', CAST(place - greatest(n - 5, 0) AS INTEGER), product, total
+  FROM ranked WHERE place > n - 5)""",
+            PRODUCT_TOTALS,
+        ),
+        "product total_amount",
+    ),
     on_sales(
         "revenue_concentration",
         products.revenue_concentration,

@@ -1,9 +1,8 @@
-"""The pricing, discount, bundling and assignment rules over the translated sales."""
+"""The pricing, discount and assignment rules over the translated sales."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,15 +11,9 @@ from ledgerloom.operators import rulebook as book
 from ledgerloom.operators import rules
 from ledgerloom.plans.labels import translated
 from ledgerloom.plans.query import Query, on_sales
-from ledgerloom.plans.sqltext import (
-    DOCUMENTED,
-    choose,
-    draw,
-    quoted,
-    translated_sales,
-    with_sales,
-)
+from ledgerloom.plans.sqltext import choose, quoted, translated_sales, with_sales
 from ledgerloom.sources import tables
+from ledgerloom.sources.schema import FOLDER_COLUMNS
 from ledgerloom.sources.star import customers, sales_view, salespeople
 
 ACCOUNTS = 7
@@ -45,7 +38,7 @@ def rule(
 
 
 def season_sql(product: str = "product") -> str:
-    base = choose({n: f"CAST({p.seasonal} AS DECIMAL(4,2))" for n, p in book.CATALOGUE.items()}, product, "1.00")
+    base = choose({n: f"CAST({f} AS DECIMAL(4,2))" for n, f in book.SEASONAL_FACTORS.items()}, product, "1.00")
     season = " ".join(
         f"WHEN month(date) IN ({', '.join(map(str, months))}) THEN {value}"
         for months, value in book.SEASONS.items()
@@ -76,102 +69,8 @@ def bound_sql(end: int, quantity: str) -> str:
     added = " ".join(
         f"WHEN {quantity} >= {least} THEN {ends[end]}" for least, (_, ends) in book.VOLUME_TIERS.items()
     )
-    return f"({base} + CASE {added} END)"
-
-
-def weighted_sql(weights: dict, key: str, column: str) -> str:
-    """Cumulative weight ranges joined to the draw."""
-    values = ", ".join(f"({i}, '{label}', {w})" for i, (label, w) in enumerate(weights.items()))
-    ranges = f"""
-ranges AS (
-  SELECT label, COALESCE(SUM(w) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-      / SUM(CAST(w AS DOUBLE)) OVER () AS low,
-    SUM(w) OVER (ORDER BY nth) / SUM(CAST(w AS DOUBLE)) OVER () AS high
-  FROM (VALUES {values}) AS t(nth, label, w))"""
-    return with_sales(
-        f"""
-SELECT transaction_id, label AS {column}
-FROM (SELECT transaction_id, {draw(key)} / 4294967296.0 AS u FROM sales)
-JOIN ranges ON u >= low AND u < high""",
-        ranges,
-    )
-
-
-def weighted(name: str, weights: dict, column: str) -> Query:
-    return on_sales(
-        name,
-        lambda sales: rules.weighted_assignment(sales, "transaction_id", weights, column),
-        weighted_sql(weights, "transaction_id", column),
-        "transaction_id",
-    )
-
-
-def quantity_sql() -> str:
-    """Quantity of a companion sale from its draw ``hq``."""
-
-    def ladder(weights: dict) -> str:
-        running, branches = 0, []
-        for value, weight in weights.items():
-            running += round(float(weight) * 100)
-            branches.append(f"WHEN hq < {running} / 100.0 * 4294967296 THEN {value}")
-        return f"CASE {' '.join(branches)} END"
-
-    return (
-        f"CASE WHEN companion IN ({quoted(book.COMPUTERS)}) THEN {ladder(book.COMPUTER_QUANTITIES)}"
-        f" WHEN companion IN ({quoted(book.DESK_DEVICES)}) THEN {ladder(book.DESK_DEVICE_QUANTITIES)}"
-        f" ELSE {ladder(book.ACCESSORY_QUANTITIES)} END"
-    )
-
-
-def bundle_ctes() -> list[str]:
-    pairs = ", ".join(
-        f"('{anchor}', {at}, '{name}', {len(names)})"
-        for anchor, names in book.BUNDLES.items()
-        for at, name in enumerate(names)
-    )
-    prices = ", ".join(
-        f"('{name}', {p.price_low * 100}, {p.price_high * 100})" for name, p in book.CATALOGUE.items()
-    )
-    share = choose(
-        {k: str(v) for k, v in book.BUNDLE_SHARES.items()}, "customer_segment", str(book.OTHER_BUNDLE_SHARE)
-    )
-    return [
-        translated_sales(),
-        f"pairs(anchor, nth, companion, options) AS (VALUES {pairs})",
-        f"prices(name, low, high) AS (VALUES {prices})",
-        f"""
-drawn AS (
-  SELECT *, {draw('transaction_id', 'bundle')} AS hb, {draw('transaction_id', 'companion')} AS hc,
-    {draw('transaction_id', 'quantity')} AS hq, {draw('transaction_id', 'price')} AS hp,
-    {draw('transaction_id', 'discount')} AS hd, {draw('transaction_id', 'discounted')} AS hg
-  FROM translated)""",
-        f"""
-hits AS (
-  SELECT drawn.*, companion, low + (hp * (high - low + 1)) // 4294967296 AS list_cents,
-    {quantity_sql()} AS new_quantity
-  FROM drawn JOIN pairs ON product = anchor AND nth = hc % options JOIN prices ON companion = name
-  WHERE hb / 4294967296.0 < {share})""",
-        f"""
-repriced AS (
-  SELECT *, CAST(round(CAST(list_cents * 0.01 AS DECIMAL(12,2)) * {season_sql()} * {region_sql('companion')}
-      * {SEGMENT_SQL}, 2) AS DECIMAL(12,2)) AS new_price,
-    CASE WHEN hg / 4294967296.0 < CASE WHEN companion IN ({quoted(book.RARELY_DISCOUNTED)})
-        THEN {book.RARE_DISCOUNT_SHARE} ELSE {book.USUAL_DISCOUNT_SHARE} END
-      THEN CAST(round((100 * {bound_sql(0, 'new_quantity')} + (hd * (100 * ({bound_sql(1, 'new_quantity')}
-        - {bound_sql(0, 'new_quantity')}) + 1)) // 4294967296) * CAST({book.BUNDLE_DISCOUNT} AS DECIMAL(2,1))
-        * 0.01, 2) AS DECIMAL(5,2)) ELSE 0 END AS new_discount
-  FROM hits)""",
-        """
-expanded AS (
-  SELECT * FROM translated
-  UNION ALL BY NAME
-  SELECT transaction_id || '-bundle' AS transaction_id, date, companion AS product, new_quantity AS quantity,
-    new_price AS unit_price, customer_id, customer_name, customer_email, customer_segment, region,
-    sales_channel, salesperson, salesperson_tier, CAST(new_discount AS DECIMAL(5,2)) AS discount_percent,
-    CAST(round(CAST(new_quantity AS DECIMAL(10,0)) * new_price * (100 - CAST(new_discount AS DECIMAL(5,2)))
-      * 0.01, 2) AS DECIMAL(14,2)) AS total_amount
-  FROM repriced)""",
-    ]
+    lowest = book.VOLUME_TIERS[min(book.VOLUME_TIERS)][1][end]
+    return f"({base} + CASE {added} ELSE {lowest} END)"
 
 
 def account_frame(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,24 +95,19 @@ def performer_frame(spark: SparkSession, folder: str) -> DataFrame:
     return rules.performer_label(salespeople(spark, folder))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the session's checkpoint folder, which every executor sees.
-    Only a local session without that setting may use a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="ledgerloom-")
-    return f"{base.rstrip('/')}/sales-{uuid.uuid4().hex}"
-
-
 def written_months_frame(spark: SparkSession, folder: str) -> DataFrame:
-    """Write the sales by month, read them back, and total them on the folder columns."""
-    path = shared_folder(spark)
-    tables.write_sales(sales_view(spark, folder, exact=False), path)
+    """Write the sales by month, read them back, and total them on the folder columns.
+
+    The copy lies below the session's warehouse, in one folder per application and input
+    that a rerun replaces.
+    """
+    base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    path = f"{base}/written-months-{spark.sparkContext.applicationId}-{zlib.crc32(folder.encode()):08x}"
+    tables.write_sales(sales_view(spark, folder, exact=False), path, "overwrite")
+    year, month = FOLDER_COLUMNS
     return (
         tables.read_sales(spark, path)
-        .groupBy("year", "month")
+        .groupBy(F.col(year).alias("year"), F.col(month).alias("month"))
         .agg(F.count("*").alias("transaction_count"), F.sum("total_amount").cast("double").alias("total_sales"))
     )
 
@@ -227,8 +121,9 @@ QUERIES: list[Query] = [
 SELECT transaction_id, quantity, CAST(unit_price AS DOUBLE) AS unit_price,
   CAST(discount_percent AS DOUBLE) AS discount_percent, CAST(quantity * unit_price AS DOUBLE) AS subtotal,
   CAST(quantity * unit_price * discount_percent * 0.01 AS DOUBLE) AS discount_amount,
-  CAST(total_amount AS DOUBLE) AS net_amount, TRUE AS total_matches
-FROM translated""",
+  CAST(net AS DOUBLE) AS net_amount, net = total_amount AS total_matches
+FROM (SELECT *, CAST((quantity * CAST(unit_price * 100 AS BIGINT) * (100 - CAST(discount_percent AS BIGINT)) + 50) // 100
+  AS DECIMAL(14,0)) * 0.01 AS net FROM translated)""",
         "transaction_id quantity unit_price discount_percent total_amount",
     ),
     rule(
@@ -288,9 +183,6 @@ SELECT transaction_id, salesperson_tier, CAST(discount_percent AS DOUBLE) AS dis
 FROM translated""",
         "transaction_id salesperson_tier discount_percent",
     ),
-    weighted("weighted_channel", book.CHANNEL_WEIGHTS, "assigned_channel"),
-    weighted("weighted_segment", book.SEGMENT_WEIGHTS, "assigned_segment"),
-    weighted("weighted_product", book.PRODUCT_WEIGHTS, "assigned_product"),
     Query(
         "account_assignment",
         account_frame,
@@ -327,12 +219,6 @@ SELECT transaction_id, date, DATE '{REFERENCE_DAY}' - {book.HISTORY_DAYS} AS win
 FROM translated""",
         "transaction_id date",
     ),
-    on_sales(
-        "bundle_expansion",
-        lambda sales: rules.bundle_expansion(translated(sales)),
-        with_sales(f"SELECT {DOCUMENTED} FROM expanded", *bundle_ctes()),
-        exact=False,
-    ),
     Query(
         "written_months",
         written_months_frame,

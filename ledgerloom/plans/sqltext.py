@@ -64,11 +64,6 @@ def rounded_mean(column: str) -> str:
     return f"CAST({s} // {n} + CASE WHEN {up} THEN 1 ELSE 0 END AS DOUBLE) / 100.0"
 
 
-def draw(key: str, purpose: str | None = None) -> str:
-    text = f"CAST({key} AS VARCHAR)" + (f" || ':{purpose}'" if purpose else "")
-    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
-
-
 def choose(table: Mapping[str, object], key: str, other: str) -> str:
     """CASE from a label table; values are SQL text."""
     branches = " ".join(f"WHEN '{label}' THEN {value}" for label, value in table.items())

@@ -32,6 +32,10 @@ EXACT_TYPES = DOCUMENTED_TYPES | {
 
 SALES_COLUMNS = tuple(DOCUMENTED_TYPES)
 
+# Folder columns of written tables: a year and month of the sale date under names that no
+# caller's own column is likely to have.
+FOLDER_COLUMNS = ("_sale_year", "_sale_month")
+
 SALES_SCHEMA = ", ".join(f"`{name}` {type_}" for name, type_ in DOCUMENTED_TYPES.items())
 
 

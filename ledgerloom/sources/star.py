@@ -4,11 +4,11 @@ One sale per line item.  Dimensions are looked up with left joins on their prima
 keys, so every line item stays exactly one sale and a lookup nobody reads can be
 left out without changing the result: ``sales_view(..., columns=...)`` plans only
 the joins the requested columns come from.  Predicates that reject nulls turn the
-left joins into inner ones, and Catalyst pushes them into the dimension scans.
+left joins on their way into inner ones, and Catalyst pushes them into the dimension scans.
 
-Join shape: orders take their customer's attributes first, then line items take
-theirs, so the customer shuffle moves orders rather than the more numerous line
-items.  No join carries a hint: a dimension is broadcast when its size is below the
+Join shape: customers take their region first, orders then take their customer's attributes,
+and line items take theirs last.  So a region filter reaches the customers before anything
+is shuffled, and the customer shuffle moves orders rather than the more numerous line items.  No join carries a hint: a dimension is broadcast when its size is below the
 session limit, a larger one is shuffled, and adaptive execution splits skewed
 partitions of the left (fact) side.
 """
@@ -118,10 +118,11 @@ def sales_view(
         orders = table(spark, folder, "orders").selectExpr(pick(ORDER_COLUMNS, *order_keys))
         if from_customer:
             customer_keys = ["c_custkey", "c_nationkey"] if from_region else ["c_custkey"]
-            orders = join(orders, "customer", "o_custkey", "c_custkey", pick(CUSTOMER_COLUMNS, *customer_keys))
-        if from_region:
-            orders = join(orders, "nation", "c_nationkey", "n_nationkey", ["n_nationkey", "n_regionkey"])
-            orders = join(orders, "region", "n_regionkey", "r_regionkey", pick(REGION_COLUMNS, "r_regionkey"))
+            buyers = table(spark, folder, "customer").selectExpr(pick(CUSTOMER_COLUMNS, *customer_keys))
+            if from_region:
+                buyers = join(buyers, "nation", "c_nationkey", "n_nationkey", ["n_nationkey", "n_regionkey"])
+                buyers = join(buyers, "region", "n_regionkey", "r_regionkey", pick(REGION_COLUMNS, "r_regionkey"))
+            orders = orders.join(buyers, orders["o_custkey"] == buyers["c_custkey"], "left")
         sales = sales.join(orders, sales["l_orderkey"] == orders["o_orderkey"], "left")
     if wanted & PART_COLUMNS.keys():
         sales = join(sales, "part", "l_partkey", "p_partkey", pick(PART_COLUMNS, "p_partkey"))

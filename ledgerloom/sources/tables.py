@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions.ordering import ascending
-from ledgerloom.sources.schema import SALES_SCHEMA, conform
+from ledgerloom.sources.schema import FOLDER_COLUMNS, SALES_SCHEMA, conform
 
 
 def use_namespace(spark: SparkSession, catalog: str | None = None, schema: str | None = None) -> None:
@@ -45,17 +45,18 @@ def append_sales(sales: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def write_sales(sales: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Snappy Parquet, partitioned by year and month of the sale date.
+    """Snappy Parquet, partitioned by year and month of the sale date (FOLDER_COLUMNS).
 
     The rebalance step sends a month's rows to as few tasks as make well-sized
     files, and lets adaptive execution cut a large month into several tasks, so
     neither thousands of tiny files nor one huge task arises.
     """
+    year, month = FOLDER_COLUMNS
     (
-        sales.withColumns({"year": F.year("date"), "month": F.month("date")})
-        .hint("rebalance", "year", "month")
+        sales.withColumns({year: F.year("date"), month: F.month("date")})
+        .hint("rebalance", year, month)
         .write.mode(mode)
-        .partitionBy("year", "month")
+        .partitionBy(year, month)
         .option("compression", "snappy")
         .parquet(path)
     )

@@ -7,12 +7,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
 from ledgerloom.operators import filters, headline, products, regions, rules
+from ledgerloom.plans.registry import builders
 from ledgerloom.sources import star
 
 FOLDER = "/root/testdata/sf0.001"
-LAZY = [name for name in contract.queries() if name != "written_months"]
+EAGER = {"written_months", "client_rows"}
+LAZY = [name for name in builders() if name not in EAGER]
 
 
 def final_plan(frame) -> str:
@@ -23,7 +24,7 @@ def final_plan(frame) -> str:
 
 @pytest.mark.parametrize("name", LAZY)
 def test_every_plan_is_built_in_partitioned_and_free_of_cross_joins(spark, plan_of, name):
-    plan = plan_of(contract.queries()[name](spark, FOLDER))
+    plan = plan_of(builders()[name](spark, FOLDER))
     for word in ("Python", "ArrowEval", "CartesianProduct", "BroadcastNestedLoopJoin", "MapInPandas"):
         assert word not in plan
     for window in re.findall(r"windowspecdefinition\((.*?),", plan):
@@ -54,17 +55,17 @@ def columns_read(plan: str, table: str) -> set[str]:
     ],
 )
 def test_only_needed_tables_are_read(spark, plan_of, name, tables):
-    assert scanned(plan_of(contract.queries()[name](spark, FOLDER))) == tables
+    assert scanned(plan_of(builders()[name](spark, FOLDER))) == tables
 
 
 def test_only_needed_columns_are_read(spark, plan_of):
-    plan = plan_of(contract.queries()["product_quantity_vs_revenue"](spark, FOLDER))
+    plan = plan_of(builders()["product_quantity_vs_revenue"](spark, FOLDER))
     assert columns_read(plan, "lineitem") == {"l_partkey", "l_quantity", "l_extendedprice", "l_discount"}
     assert columns_read(plan, "part") == {"p_partkey", "p_brand"}
 
 
 def test_all_filters_reach_the_scans(spark, plan_of):
-    plan = plan_of(contract.queries()["kpi_values_filtered"](spark, FOLDER))
+    plan = plan_of(builders()["kpi_values_filtered"](spark, FOLDER))
     assert "GreaterThanOrEqual(o_orderdate,1997-01-01T00:00)" in plan
     assert "LessThan(o_orderdate,2000-01-01T00:00)" in plan
     assert "In(r_name, [ASIA,EUROPE,MIDDLE EAST])" in plan
@@ -75,7 +76,7 @@ def test_all_filters_reach_the_scans(spark, plan_of):
 
 @pytest.mark.parametrize("name", ["filter_top_products", "top_products", "dash_product_table"])
 def test_top_k_does_not_sort_everything(spark, plan_of, name):
-    plan = plan_of(contract.queries()[name](spark, FOLDER))
+    plan = plan_of(builders()[name](spark, FOLDER))
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
 
 
@@ -113,8 +114,6 @@ def test_membership_in_a_top_k_set_does_not_shuffle_the_sales(spark):
         rules.discount_bounds,
         rules.tier_adjusted_discount,
         rules.performer_label,
-        rules.bundle_expansion,
-        lambda sales: rules.weighted_assignment(sales, "transaction_id", {"a": 1, "b": 2}, "label"),
     ],
 )
 def test_row_rules_move_no_rows(make_sales, plan_of, rule):
@@ -122,9 +121,16 @@ def test_row_rules_move_no_rows(make_sales, plan_of, rule):
     assert "Exchange" not in plan and "Join" not in plan
 
 
-def test_bundles_read_the_sales_once(spark, plan_of):
-    plan = plan_of(contract.queries()["bundle_expansion"](spark, FOLDER))
-    assert plan.count("lineitem.parquet") == 1 and "Generate" in plan and "Union" not in plan
+@pytest.mark.parametrize("name", ["kpi_values_by_region", "kpi_values_filtered", "dash_region_bar_by_region"])
+def test_a_region_filter_reaches_the_customers(spark, plan_of, name):
+    plan = plan_of(builders()[name](spark, FOLDER))
+    assert "LeftOuter" not in plan.split("o_custkey", 1)[1].split("l_orderkey")[0]
+    assert not re.search(r"Left keys \[1\]: \[o_custkey[^\]]*\]\s*Right keys[^\n]*\s*Join type: LeftOuter", plan)
+
+
+def test_the_median_is_distributed(spark, plan_of):
+    plan = plan_of(builders()["product_summary"](spark, FOLDER))
+    assert "percentile" not in plan and "median(" not in plan
 
 
 # --- skew ------------------------------------------------------------------------

@@ -136,3 +136,25 @@ def test_table_is_rounded_and_cut(make_sales, rows):
         {"product": None, "total_amount": 100.0},
     )
     assert rows(products.product_table(sales, 1)) == [("A", 20.0, 2, 0.12, 0.12, 1)]
+
+
+@pytest.mark.parametrize(
+    "totals, median",
+    [([3, 1, 2], 2.0), ([4, 1, 2, 3], 2.5), ([5, 5, 5, 1], 5.0), ([None, 2, 8], 5.0), ([None], None), ([7], 7.0)],
+)
+def test_median_of_odd_even_tied_and_null_totals(make_sales, rows, totals, median):
+    sales = make_sales(*[{"product": f"p{i}", "total_amount": None if t is None else float(t)} for i, t in enumerate(totals)])
+    assert rows(products.product_summary(sales), "median_product_sales") == [(median,)]
+
+
+def test_text_of_best_and_worst(make_sales, rows):
+    assert rows(products.top_bottom_products_text(make_sales(*RANKED), 1)) == [
+        ("top", 1, "D", "$40.00"), ("bottom", 1, "A", "$10.00"),
+    ]
+
+
+def test_unnamed_matrix_columns_follow_the_kept_products(make_sales):
+    matrix = products.product_region_matrix(make_sales(*MATRIX), 1)
+    assert matrix.columns == ["product", "North"]
+    filtered = products.product_region_matrix(make_sales(*MATRIX), 5, regions=["North"])
+    assert filtered.columns == ["product", "North"]

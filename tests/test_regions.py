@@ -132,3 +132,14 @@ def test_dashboard_drops_the_null_region_and_sums_nulls_to_zero(make_sales, rows
 def test_table_means_round_half_even(make_sales, rows, amounts, mean):
     sales = make_sales(*[{"total_amount": amount} for amount in amounts])
     assert rows(regions.region_table(sales), "avg_transaction") == [(mean,)]
+
+
+def test_the_month_matrix_holds_all_revenue(spark):
+    from ledgerloom.plans.registry import builders
+
+    folder = "/root/testdata/sf0.001"
+    matrix = builders()["region_month_pivot"](spark, folder)
+    assert len(matrix.columns) == 81
+    cells = sum(v or 0.0 for row in matrix.collect() for v in row[1:])
+    whole = sum(row["total_sales"] for row in builders()["region_sales"](spark, folder).collect())
+    assert cells == pytest.approx(whole, rel=1e-12)

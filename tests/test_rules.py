@@ -1,25 +1,17 @@
 from __future__ import annotations
 
 import datetime
-import hashlib
-from collections import Counter
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.keyed import between, draw, weighted_choice
 from ledgerloom.functions.lookup import lookup
 from ledgerloom.functions.position import KEYS_PER_SPLIT, RANGES, with_position
 from ledgerloom.operators import rulebook as book
 from ledgerloom.operators import rules
 
 
-def python_draw(key: str, purpose: str | None = None) -> int:
-    text = key if purpose is None else f"{key}:{purpose}"
-    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
-
-
 def test_net_amount_rounds_half_up_and_checks_the_stored_total(make_sales, rows):
     sales = make_sales(
         {"quantity": 3, "unit_price": 10.0, "discount_percent": 10.0, "total_amount": 27.0},
@@ -84,6 +76,7 @@ def test_segment_and_the_whole_price_chain(make_sales, rows):
         ("Online", 5, 18.01, (3, 18, "bulk", False)),
         ("Elsewhere", 2, 8.0, (0, 8, "single", True)),
         ("Direct", 9, 0.0, (11, 28, "bulk", True)),
+        ("Partner", -2, 5.0, (5, 15, "single", True)),
     ],
 )
 def test_discount_bounds(make_sales, rows, channel, quantity, discount, expected):
@@ -116,42 +109,6 @@ def test_history_window_includes_both_ends(make_sales, rows):
     assert rows(found, "in_window") == [(False,), (True,), (True,)]
 
 
-# --- draws ---------------------------------------------------------------------
-
-
-def test_draw_is_the_head_of_the_md5(spark, rows):
-    frame = spark.range(50).select(F.col("id").cast("string").alias("k"))
-    assert rows(frame.select("k", draw("k"), draw("k", "x"))) == [
-        (k, python_draw(k), python_draw(k, "x")) for k in map(str, range(50))
-    ]
-
-
-def test_weighted_choice_meets_its_limits_exactly(spark, rows):
-    edges = spark.createDataFrame([(0,), (2**31 - 1,), (2**31,), (2**32 - 1,), (None,)], "h bigint")
-    assert [r[0] for r in rows(edges.select(weighted_choice(F.col("h"), {"a": 2, "b": 2})))] == [
-        "a", "a", "b", "b", None,
-    ]
-
-
-def test_weights_are_normalised(spark):
-    frame = spark.range(20000).select(F.col("id").cast("string").alias("k"))
-    found = rules.weighted_assignment(frame, "k", {"x": "0.9", "y": "0.3"}, "label")
-    shares = {r["label"]: r["count"] / 20000 for r in found.groupBy("label").count().collect()}
-    assert shares["x"] == pytest.approx(0.75, abs=0.02)
-    assert shares["y"] == pytest.approx(0.25, abs=0.02)
-
-
-@pytest.mark.parametrize("weights", [{}, {"a": 0}, {"a": 2, "b": -1}])
-def test_useless_weights_are_refused(weights):
-    with pytest.raises(ValueError):
-        weighted_choice(None, weights)
-
-
-def test_between_reaches_both_ends(spark, rows):
-    edges = spark.createDataFrame([(0,), (2**32 - 1,)], "h bigint")
-    assert rows(edges.select(between(F.col("h"), F.lit(5), F.lit(9)))) == [(5,), (9,)]
-
-
 # --- positions and accounts ------------------------------------------------------
 
 
@@ -209,66 +166,6 @@ def test_account_sales(make_sales, spark, rows):
     assert rows(rules.account_sales(sales, assignment)) == [(0, 7.0, 3, 2), (1, 8.0, 1, 1)]
 
 
-# --- bundles ---------------------------------------------------------------------
-
-
-def expected_companion(sale: dict) -> dict | None:
-    """The companion sale worked out in Python, for one sale."""
-    key = sale["transaction_id"]
-    names = book.BUNDLES.get(sale["product"])
-    share = book.BUNDLE_SHARES.get(sale["customer_segment"], 0.1)
-    if not names or not python_draw(key, "bundle") / 2**32 < share:
-        return None
-    name = names[python_draw(key, "companion") % len(names)]
-    weights = (
-        book.COMPUTER_QUANTITIES if name in book.COMPUTERS
-        else book.DESK_DEVICE_QUANTITIES if name in book.DESK_DEVICES
-        else book.ACCESSORY_QUANTITIES
-    )
-    at, quantity = python_draw(key, "quantity") / 2**32, None
-    for value, weight in weights.items():
-        quantity = value
-        if at < float(weight):
-            break
-        at -= float(weight)
-    return {"product": name, "quantity": quantity}
-
-
-def test_bundles_add_companions_and_keep_every_sale(make_sales):
-    given = [
-        {"transaction_id": f"s{i}", "product": list(book.CATALOGUE)[i % 12],
-         "customer_segment": ["Enterprise", "SMB", "Consumer", "Education", "Other"][i % 5],
-         "region": list(book.REGION_STRENGTH)[i % 5], "date": f"2024-{i % 12 + 1:02d}-01",
-         "sales_channel": list(book.CHANNEL_WEIGHTS)[i % 4], "salesperson": f"p{i % 3}"}
-        for i in range(600)
-    ]
-    sales = make_sales(*given)
-    out = [r.asDict() for r in rules.bundle_expansion(sales).collect()]
-    assert [r for r in out if not r["transaction_id"].endswith("-bundle")] == [
-        r.asDict() for r in sales.collect()
-    ]
-    companions = {r["transaction_id"].removesuffix("-bundle"): r for r in out if "-bundle" in r["transaction_id"]}
-    expected = {s["transaction_id"]: e for s in given if (e := expected_companion(s))}
-    assert companions.keys() == expected.keys() and len(expected) > 30
-    by_id = {r["transaction_id"]: r.asDict() for r in sales.collect()}
-    for key, row in companions.items():
-        anchor = by_id[key]
-        assert (row["product"], row["quantity"]) == (expected[key]["product"], expected[key]["quantity"])
-        for same in ("date", "customer_id", "region", "sales_channel", "salesperson", "customer_segment"):
-            assert row[same] == anchor[same]
-        net = row["quantity"] * row["unit_price"] * (100 - row["discount_percent"]) / 100
-        assert abs(row["total_amount"] - net) <= Decimal("0.005")
-        low, high = book.CHANNEL_DISCOUNTS[row["sales_channel"]]
-        assert row["discount_percent"] == 0 or low * 1.2 <= float(row["discount_percent"]) <= (high + 8) * 1.2 + 0.01
-    assert Counter(r["discount_percent"] > 0 for r in companions.values())[True] > 10
-
-
-def test_own_bundle_table(make_sales):
-    sales = make_sales(*[{"product": "Anchor", "customer_segment": "Enterprise"} for _ in range(40)])
-    out = rules.bundle_expansion(sales, {"Anchor": ("Mouse",)})
-    assert {r["product"] for r in out.collect()} == {"Anchor", "Mouse"}
-
-
 # --- lookups ---------------------------------------------------------------------
 
 
@@ -279,9 +176,32 @@ def test_lookup_quotes_labels_and_leaves_unknown_ones_null(spark, rows):
     assert [r[0] for r in found] == [Decimal("1.5"), Decimal("2"), Decimal("3"), None, None]
 
 
-def test_lookup_of_lists_and_its_limit(spark, rows):
-    frame = spark.createDataFrame([("a",)], "k string")
-    assert rows(frame.select(lookup({"a": ("x", "y")}, "k", "array<string>"))) == [(["x", "y"],)]
-    assert rows(frame.select(lookup({}, "k", "string"))) == [(None,)]
-    with pytest.raises(ValueError, match="dimension table"):
-        lookup({str(i): i for i in range(201)}, "k", "int")
+def test_lookup_has_no_limit(spark, rows):
+    frame = spark.createDataFrame([("a",), ("300",)], "k string")
+    assert rows(frame.select(lookup({}, "k", "string"))) == [(None,), (None,)]
+    assert rows(frame.select(lookup({str(i): i for i in range(500)}, "k", "int"))) == [(None,), (300,)]
+
+
+def test_a_caller_may_bring_a_table_of_any_size(spark, make_sales, rows):
+    table = spark.createDataFrame([("Laptop", "1.5"), *((f"p{i}", "1") for i in range(300))], "k string, v string")
+    sales = make_sales({"product": "Laptop", "date": "2024-01-01"}, {"product": "Other", "date": "2024-01-01"})
+    found = rules.seasonal_factor(sales, table)
+    assert sorted(rows(found, "product", "seasonal_factor")) == [("Laptop", Decimal("1.5")), ("Other", Decimal("1"))]
+    assert found.columns == [*sales.columns, "seasonal_factor"]
+
+
+def test_own_rule_tables(make_sales, rows):
+    sales = make_sales({"region": "R", "customer_segment": "S", "salesperson_tier": "T", "unit_price": 10.0,
+                        "sales_channel": "C", "quantity": 2, "discount_percent": 10.0})
+    assert rows(rules.regional_factor(sales, {"R": "2"}, {}), "regional_factor") == [(Decimal("2"),)]
+    assert rows(rules.segment_factor(sales, {"S": "3"}), "segment_price") == [(Decimal("30"),)]
+    assert rows(rules.tier_adjusted_discount(sales, {"T": "2"}), "adjusted_discount") == [(Decimal("8"),)]
+    assert rows(rules.performer_label(sales, {"T": " (!)"}), "performer_label") == [("Sam (!)",)]
+    found = rules.discount_bounds(sales, {"C": (1, 2)}, tiers={0: ("low", (0, 0)), 2: ("two", (1, 1))})
+    assert rows(found, "min_pct", "max_pct", "volume_tier") == [(2, 3, "two")]
+
+
+def test_null_keys_come_last(spark):
+    frame = spark.range(5000).select(F.when(F.col("id") != 17, F.col("id")).alias("k"))
+    found = {r["k"]: r["at"] for r in with_position(frame, "k", "at", ranges=16).collect()}
+    assert found[None] == 5000 and found[16] == 17 and found[18] == 18

@@ -1,17 +1,17 @@
 from __future__ import annotations
 
 import datetime
-from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.filters import column_labels, filtered_sales
+from ledgerloom.operators import products
+from ledgerloom.operators.filters import filtered_sales
 from ledgerloom.plans.query import on_sales
-from ledgerloom.plans.rulequeries import shared_folder
+from ledgerloom.plans.registry import builders
 from ledgerloom.sources import star, tables
 from ledgerloom.sources.session import settings_for
-from ledgerloom.sources.schema import DOCUMENTED_TYPES, SALES_COLUMNS, conform, documented
+from ledgerloom.sources.schema import DOCUMENTED_TYPES, FOLDER_COLUMNS, SALES_COLUMNS, conform, documented
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -109,7 +109,7 @@ def written(make_sales, tmp_path):
 def test_written_sales_come_back(spark, written):
     path, sales = written
     back = tables.read_sales(spark, path)
-    assert set(back.columns) == set(SALES_COLUMNS) | {"year", "month"}
+    assert set(back.columns) == set(SALES_COLUMNS) | set(FOLDER_COLUMNS)
     assert sorted(map(tuple, documented(back).collect())) == sorted(map(tuple, documented(sales).collect()))
 
 
@@ -118,7 +118,7 @@ def test_date_filter_on_written_sales_skips_folders(spark, written, plan_of):
     kept = filtered_sales(tables.read_sales(spark, path), date_range=("2024-01-01", "2024-01-31"))
     assert sorted(r["transaction_id"] for r in kept.collect()) == ["b", "c"]
     plan = plan_of(kept)
-    assert "PartitionFilters: [isnotnull(year" in plan
+    assert "PartitionFilters: [isnotnull(_sale_year" in plan
     assert "PushedFilters: [IsNotNull(date), GreaterThanOrEqual(date," in plan
 
 
@@ -131,28 +131,19 @@ def test_large_months_are_cut_into_several_files(spark, tmp_path):
         tables.write_sales(conform(many), f"{tmp_path}/sales")
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    files = list((tmp_path / "sales" / "year=2024" / "month=1").glob("*.snappy.parquet"))
+    files = list((tmp_path / "sales" / "_sale_year=2024" / "_sale_month=1").glob("*.snappy.parquet"))
     assert len(files) > 1
     assert tables.read_sales(spark, f"{tmp_path}/sales").count() == 60000
 
 
-def session_with(folder, master):
-    return SimpleNamespace(
-        conf=SimpleNamespace(get=lambda key, default: folder or default),
-        sparkContext=SimpleNamespace(master=master),
-    )
-
-
-def test_shared_folder_lies_below_the_checkpoint_folder():
-    session = session_with("hdfs://cluster/shared/", "yarn")
-    assert shared_folder(session).startswith("hdfs://cluster/shared/sales-")
-    assert shared_folder(session) != shared_folder(session)
+def test_a_foreign_year_and_month_lose_no_sale(make_sales):
+    sales = make_sales({"date": "2024-03-15"}).withColumns({"year": F.lit(2025), "month": F.lit(1)})
+    assert filtered_sales(sales, date_range=("2024-01-01", "2024-12-31")).count() == 1
 
 
-def test_only_a_local_session_may_use_a_temporary_folder():
-    assert "ledgerloom-" in shared_folder(session_with(None, "local[2]"))
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(session_with(None, "yarn"))
+def test_a_rerun_replaces_the_written_copy(spark):
+    first = builders()["written_months"](spark, FOLDER).collect()
+    assert sorted(map(tuple, builders()["written_months"](spark, FOLDER).collect())) == sorted(map(tuple, first))
 
 
 def test_conform_keeps_other_columns(make_sales):
@@ -169,19 +160,21 @@ def test_settings_follow_the_size_of_the_data():
     small = settings_for(10 * 2**20, 8)
     assert small["spark.sql.shuffle.partitions"] == "8"
     assert small["spark.sql.files.maxPartitionBytes"] == str(4 * 2**20)
-    large = settings_for(100 * 10**12, 8000)
+    large = settings_for(20 * 10**12, 8000)
     assert int(large["spark.sql.shuffle.partitions"]) * 128 * 2**20 >= 20 * 10**12
+    narrow = settings_for(20 * 10**12, 8000, shuffled_share=0.2)
+    assert int(narrow["spark.sql.shuffle.partitions"]) * 4 < int(large["spark.sql.shuffle.partitions"])
     assert int(settings_for(10**18, 8000)["spark.sql.shuffle.partitions"]) == 200_000
     assert large["spark.sql.files.maxPartitionBytes"] == str(256 * 2**20)
 
 
 def test_matrix_columns_are_not_collected_without_bound(spark, make_sales):
     sales = make_sales({"region": "A"}, {"region": "B"}, {"region": None})
-    assert column_labels(sales, "region") == ["A", "B"]
+    assert products.product_region_matrix(sales).columns == ["product", "A", "B"]
     spark.conf.set("spark.sql.pivotMaxValues", "1")
     try:
         with pytest.raises(ValueError, match="name the matrix columns"):
-            column_labels(sales, "region")
+            products.product_region_matrix(sales)
     finally:
         spark.conf.unset("spark.sql.pivotMaxValues")
 
