@@ -1,0 +1,83 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from ledgerloom.llm import language
+
+SCHEMA = "doc_id bigint, text string, lang string"
+WORDS = {"aa": "the of and ing tion over", "bb": "der die und sche lich ung", "cc": "el la que cion los por"}
+
+
+def texts(n, seed=1):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        lang = rng.choice(sorted(WORDS))
+        out.append((i, " ".join(rng.choice(WORDS[lang].split()) for _ in range(rng.randint(2, 30))), lang))
+    return out
+
+
+def brute_score(text, model):
+    clean = language.letters_only(text)
+    total = model.prior.copy()
+    for order in language.ORDERS:
+        for at in range(len(clean) - order + 1):
+            codes = np.array([ord(c) for c in clean[at : at + order]], np.uint32)
+            total = total + model.log_p[language.gram_buckets(codes)[language.ORDERS.index(order)][0]]
+    return model.languages[int(total.argmax())], total
+
+
+def test_batch_scoring_equals_one_text_at_a_time(spark, monkeypatch):
+    model = language.fitted(spark.createDataFrame(texts(200), SCHEMA), language.F.xxhash64("doc_id"))
+    some = [t for _, t, _ in texts(30, 5)] + ["x", "É", "the und", "a" * 50]
+    for piece in (language.PIECE, 60, 7):
+        monkeypatch.setattr(language, "PIECE", piece)
+        names, scores = language.score_texts(some, model)
+        for text, name, score in zip(some, names, scores):
+            best, total = brute_score(text, model)
+            chance = np.exp(total - total.max())
+            assert name == best and score == pytest.approx((chance / chance.sum()).max(), rel=1e-6)
+
+
+def test_counts_do_not_depend_on_pieces(monkeypatch):
+    some = [t for _, t, _ in texts(20)] + [None, "", "long " * 100]
+    whole = language.count_grams(some)
+    monkeypatch.setattr(language, "PIECE", 11)
+    alone = sum(language.count_grams([t]) for t in some)
+    assert whole.sum() > 0 and abs(alone.sum() - sum(max(0, len(language.letters_only(t)) - n + 1) for t in some for n in language.ORDERS)) == 0
+
+
+def test_held_out_accuracy_and_split(spark):
+    docs = texts(600)
+    rows = language.identified(spark.createDataFrame(docs, SCHEMA)).collect()
+    truth = {i: lang for i, _, lang in docs}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    assert len(held) > 100 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) / len(held) > 0.98
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_no_letter_no_language(table_of):
+    docs = [*texts(30), (100, None, "aa"), (101, "", None), (102, "12 .,!", "bb"), (None, "the of", None), (5, "the of", "aa"), (5, "the of", "aa")]
+    rows = language.identified(table_of(docs, SCHEMA)).collect()
+    assert len(rows) == len(docs)
+    by = {r["doc_id"]: r for r in rows}
+    for i in (100, 101, 102):
+        assert (by[i]["lang_pred"], by[i]["score"]) == ("und", 0.0)
+    assert by[None]["lang_pred"] == "aa" and by[None]["held_out"] is False
+
+
+def test_no_labels_and_no_documents(table_of):
+    rows = language.identified(table_of([(1, "the", None)], SCHEMA)).collect()
+    assert [(r["lang_pred"], r["score"]) for r in rows] == [("und", 0.0)]
+    assert language.identified(table_of([(1, "a", "b")], SCHEMA).limit(0)).count() == 0
+
+
+def test_too_many_languages_are_refused(spark):
+    docs = spark.createDataFrame([(i, "a", f"l{i}") for i in range(language.MOST_LANGUAGES + 1)], SCHEMA)
+    with pytest.raises(ValueError, match="languages"):
+        language.fitted(docs, language.F.xxhash64("doc_id"))

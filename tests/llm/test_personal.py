@@ -1,0 +1,110 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from ledgerloom.llm import crf, personal
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def brute(text):
+    digits = lambda m: [int(c) for c in m.group() if c in "0123456789"]
+    cards = re.finditer(r"[0-9]([\x20-]?[0-9])+", text)
+    return {
+        "email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)],
+        "ip": [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))],
+        "card": [m.span() for m in cards if 16 <= len(digits(m)) <= 19 and luhn(digits(m))],
+        "phone": [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m)) <= 15],
+    }
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_patterns_against_regular_expressions(seed):
+    rng = random.Random(seed)
+    pools = ["0123456789", "aZ@..", "+(). -09", "@ab.", "1234567.", "4 -5", "é\U0001f600 ", "_%+-"]
+    for _ in range(4000):
+        text = "".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(0, 60)))
+        assert personal.base_spans(text) == brute(text), text
+    for card in ("4556737586899855", "4556 7375 8689 9855", "4556-7375-8689-9855x", "x45567375868998550"):
+        assert personal.base_spans(card) == brute(card)
+
+
+@pytest.mark.parametrize("text", ["1" * 200_000, "a@" * 50_000, "@" * 100_000, "1." * 50_000, "+1 " * 50_000, "a" * 300_000 + "@b", "9 " * 100_000])
+def test_very_long_texts(text):
+    base, spans = personal.spans_of([text])[0]
+    assert set(base) == set(personal.BASE_KINDS) and isinstance(spans, list)
+
+
+def test_method_adds_and_base_stays():
+    text = "ring (415) 555-0134 today, mail x9@a.example.com; token = \"16c6d3c1dc28bad5aa7182d588bfc7ef85d341b1\" there"
+    base, spans = personal.spans_of([text])[0]
+    kept = {(k, *s) for k in base for s in base[k]}
+    assert kept <= set(spans)
+    added = [(k, text[a:b]) for k, a, b in spans if (k, a, b) not in kept]
+    assert added == [("phone", "(415) 555-0134"), ("secret", "16c6d3c1dc28bad5aa7182d588bfc7ef85d341b1")]
+    assert personal.masked(text, spans) == 'ring [PHONE] today, mail [EMAIL]; token = "[SECRET]" there'
+
+
+@pytest.mark.parametrize(
+    "text", ["plain words only", "in 1994 and 2005", "pages 12-18 of 300", "at 10:30 on the 4th day", "a = b", "version 3.2.1 came", "GNU General Public License, version 3."]
+)
+def test_clean_text_is_left_alone(text):
+    base, spans = personal.spans_of([text])[0]
+    assert spans == [] and personal.masked(text, spans) == text
+
+
+def test_model_learns_its_table():
+    good = total = 0
+    for line in personal.LABELLED.strip().splitlines():
+        kinds = [m.group(1) for m in personal._MARK.finditer(line)]
+        plain = personal._MARK.sub(lambda m: m.group(2), line)
+        words = [m.group() for m in personal._WORD.finditer(plain)]
+        tags = crf.decoded([personal._features(words)], personal.trained_model())[0]
+        total += 1
+        good += Counter(t[2:] for t in tags if t[0] == "B") == Counter(kinds)
+    assert good / total > 0.95
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(2)
+    model = crf.Crf(("O", "B", "I"), np.vstack([rng.normal(size=(crf.FEATURES, 3)), np.zeros((1, 3))]), rng.normal(size=(3, 3)), rng.normal(size=3))
+    chains = [[rng.integers(0, crf.FEATURES, rng.integers(1, 4)).tolist() for _ in range(n)] for n in (1, 2, 5, 5, 6)]
+
+    def best(chain):
+        from itertools import product
+
+        score = [model.weights[t].sum(axis=0) for t in chain]
+
+        def value(path):
+            return model.first[path[0]] + sum(score[i][k] for i, k in enumerate(path)) + sum(model.moves[a, b] for a, b in zip(path, path[1:]))
+
+        return [model.labels[k] for k in max(product(range(3), repeat=len(chain)), key=value)]
+
+    assert crf.decoded(chains, model) == [best(c) for c in chains]
+
+
+def test_chains_cover_every_word_of_interest():
+    rng = random.Random(6)
+    for _ in range(300):
+        text = " ".join(rng.choice(["ab", "c1", "=", "@x", "longword" * 8, "\n"]) for _ in range(rng.randint(0, 40)))
+        spans = [s for chain in personal.chains_of(text) for s in chain]
+        assert {m.span() for m in re.finditer(r"\S+", text) if re.search("[0-9@=]", m.group())} <= set(spans)
+        for chain in personal.chains_of(text):
+            assert chain == sorted(chain) and all(text[a:b].split() == [text[a:b]] for a, b in chain)
+
+
+def test_rows(table_of):
+    docs = [(1, "a@b.co"), (1, "a@b.co"), (None, None), (2, ""), (3, "\U0001f600 +1 (476) 555-5473")]
+    rows = personal.found(table_of(docs, "doc_id bigint, text string"), ["doc_id"]).collect()
+    got = sorted(((r["doc_id"], r["n_email"], r["n_phone"], r["base"], r["masked"]) for r in rows), key=repr)
+    assert got == sorted(
+        [(1, 1, 0, "email:0:6", "[EMAIL]")] * 2 + [(None, 0, 0, "", None), (2, 0, 0, "", ""), (3, 0, 1, "phone:2:19", "\U0001f600 [PHONE]")], key=repr
+    )
+    assert personal.found(table_of(docs, "doc_id bigint, text string").limit(0), ["doc_id"]).count() == 0
