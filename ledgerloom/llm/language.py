@@ -12,7 +12,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.llm.common import over_texts
 
@@ -125,9 +125,10 @@ def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], list[
 def fitted(labelled: DataFrame, draw: Column, texts_per_language: int = TEXTS_PER_LANGUAGE) -> Model | None:
     """Model from rows (text, lang); null if no row has both.
 
-    At most ``texts_per_language`` whole texts per language are learnt from, those with the
-    smallest ``draw``, a hash of the row; the priors count all rows.  More than
-    ``MOST_LANGUAGES`` languages are an error, since the matrix grows with them.
+    About ``texts_per_language`` whole texts per language are learnt from: those whose ``draw``,
+    a hash of the row, lies in the share of all hashes that gives so many, so the sample is
+    a filter and no language is gathered to be ranked.  The priors count all rows.  More
+    than ``MOST_LANGUAGES`` languages are an error, since the matrix grows with them.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     shares = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
@@ -135,13 +136,9 @@ def fitted(labelled: DataFrame, draw: Column, texts_per_language: int = TEXTS_PE
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not shares:
         return None
-    nearest = Window.partitionBy("lang").orderBy("draw")
-    sample = (
-        rows.select("lang", "text", draw.alias("draw"))
-        .withColumn("_at", F.row_number().over(nearest))
-        .where(F.col("_at") <= texts_per_language)
-        .select("lang", "text")
-    )
+    limits = [x for r in shares for x in (F.lit(r["lang"]), F.lit(min(1.0, texts_per_language / r["n"])))]
+    drawn = F.pmod(draw, F.lit(2**32)) / F.lit(float(2**32))
+    sample = rows.where(drawn < F.element_at(F.create_map(*limits), F.col("lang"))).select("lang", "text")
 
     def counts(batches):
         import pyarrow as pa
