@@ -17,9 +17,17 @@ Value = str | int | float
 
 def lookup(table: Mapping[str, Value], key: str | Column, value_type: str) -> Column:
     """Value for the key, or null when the key is null or not in the table."""
+    return F.try_element_at(F.expr(_map(table, value_type)), F.col(key) if isinstance(key, str) else key)
+
+
+def translated_sql(table: Mapping[str, str], key_sql: str) -> str:
+    """SQL for a label's translation; an unknown label stays as it is."""
+    return f"coalesce(try_element_at({_map(table, 'string')}, {key_sql}), {key_sql})"
+
+
+def _map(table: Mapping[str, Value], value_type: str) -> str:
     entries = ", ".join(f"{_quoted(label)}, {_sql(value)}" for label, value in table.items())
-    literal = F.expr(f"cast(map({entries}) as map<string, {value_type}>)")
-    return F.try_element_at(literal, F.col(key) if isinstance(key, str) else key)
+    return f"cast(map({entries}) as map<string, {value_type}>)"
 
 
 def with_value(

@@ -1,5 +1,9 @@
 """Product analyses.
 
+Those that only add up measures per product take the sales or, where the caller has summed
+them already (``sources/star.py`` does so before it joins the parts), the additive parts of
+:mod:`ledgerloom.functions.parts`.
+
 Null rules are those of the regional analyses: whole-table results keep a null
 product as a group, the filtered (dashboard) part and the matrices drop it.
 """
@@ -21,6 +25,7 @@ from ledgerloom.functions.measures import (
     total_or_zero,
 )
 from ledgerloom.functions.ordering import ascending, largest_first, last_of_largest_first
+from ledgerloom.functions.parts import ROWS, part_mean, part_total, parts
 from ledgerloom.functions.position import with_position
 from ledgerloom.functions.text import dollars, grouped_text, percent, plain_text
 from ledgerloom.operators.filters import filtered_sales
@@ -91,8 +96,8 @@ def top_product_trend(sales: DataFrame, k: int = 5) -> DataFrame:
 def product_quantity_vs_revenue(sales: DataFrame) -> DataFrame:
     """Units sold against revenue."""
     return (
-        sales.groupBy("product")
-        .agg(F.sum("quantity").alias("total_quantity"), total("total_amount").alias("total_sales"))
+        _by_product(sales, "quantity", "total_amount")
+        .select("product", F.col("quantity_sum").alias("total_quantity"), part_total("total_amount").alias("total_sales"))
         .orderBy(*largest_first("total_sales", "product"))
     )
 
@@ -268,20 +273,26 @@ def product_table(sales: DataFrame, k: int = 20, **filters) -> DataFrame:
 # --- shared steps ------------------------------------------------------------
 
 
+def _by_product(sales: DataFrame, *columns: str) -> DataFrame:
+    """Additive parts per product: those given, or summed from the sales."""
+    return sales if ROWS in sales.columns else parts(sales, ["product"], columns)
+
+
 def _totals(sales: DataFrame) -> DataFrame:
     """Revenue per product, still decimal."""
-    return sales.groupBy("product").agg(F.sum("total_amount").alias("total"))
+    return _by_product(sales, "total_amount").select("product", F.col("total_amount_sum").alias("total"))
 
 
 def _performance(sales: DataFrame) -> DataFrame:
     return (
-        sales.groupBy("product")
-        .agg(
-            total("total_amount").alias("total_sales"),
-            F.sum("quantity").alias("total_quantity"),
-            mean("unit_price").alias("avg_price"),
-            F.count("*").alias("transaction_count"),
-            mean("discount_percent").alias("avg_discount"),
+        _by_product(sales, "total_amount", "quantity", "unit_price", "discount_percent")
+        .select(
+            "product",
+            part_total("total_amount").alias("total_sales"),
+            F.col("quantity_sum").alias("total_quantity"),
+            part_mean("unit_price").alias("avg_price"),
+            F.col(ROWS).alias("transaction_count"),
+            part_mean("discount_percent").alias("avg_discount"),
         )
         .withColumn("revenue_per_transaction", ratio("total_sales", "transaction_count"))
     )
@@ -289,12 +300,13 @@ def _performance(sales: DataFrame) -> DataFrame:
 
 def _profitability(sales: DataFrame) -> DataFrame:
     return (
-        sales.groupBy("product")
-        .agg(
-            total("total_amount").alias("total_sales"),
-            mean("unit_price").alias("avg_unit_price"),
-            mean("discount_percent").alias("avg_discount"),
-            F.sum("quantity").alias("total_quantity"),
+        _by_product(sales, "total_amount", "unit_price", "discount_percent", "quantity")
+        .select(
+            "product",
+            part_total("total_amount").alias("total_sales"),
+            part_mean("unit_price").alias("avg_unit_price"),
+            part_mean("discount_percent").alias("avg_discount"),
+            F.col("quantity_sum").alias("total_quantity"),
         )
         .withColumn("revenue_per_unit", ratio("total_sales", "total_quantity"))
         .withColumn("discount_impact", percent_of("avg_unit_price", "avg_discount"))

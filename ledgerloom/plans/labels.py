@@ -6,9 +6,6 @@ the rules then meet labels their tables do not hold.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-from ledgerloom.functions.lookup import lookup
 from ledgerloom.operators.rulebook import SEASONAL_FACTORS
 
 BRANDS = 24
@@ -39,14 +36,3 @@ LABELS = {
     "customer_segment": SEGMENT_LABELS,
     "sales_channel": CHANNEL_LABELS,
 }
-
-
-def translated(sales: DataFrame) -> DataFrame:
-    """Sales with translated labels; an unknown label stays as it is."""
-    return sales.withColumns(
-        {
-            name: F.coalesce(lookup(labels, name, "string"), F.col(name))
-            for name, labels in LABELS.items()
-            if name in sales.columns
-        }
-    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.operators import products, regions
 from ledgerloom.operators.filters import filtered_sales
-from ledgerloom.plans.query import Query, on_sales
+from ledgerloom.plans.query import Query, on_products, on_sales
 from ledgerloom.plans.sqltext import DOCUMENTED, mean, rounded_mean, total, whole, with_sales
 from ledgerloom.sources import tables
 from ledgerloom.sources.schema import SALES_COLUMNS, documented
@@ -223,13 +223,13 @@ FROM months""",
         ),
         "region date total_amount",
     ),
-    on_sales(
+    on_products(
         "product_performance",
         products.product_performance,
         with_sales(PERFORMANCE),
         "product total_amount quantity unit_price discount_percent",
     ),
-    on_sales(
+    on_products(
         "top_products",
         products.top_products,
         with_sales(
@@ -263,7 +263,7 @@ FROM sales WHERE product IN (SELECT product FROM ranked WHERE place <= 5) GROUP
         ),
         "product date total_amount",
     ),
-    on_sales(
+    on_products(
         "product_quantity_vs_revenue",
         products.product_quantity_vs_revenue,
         with_sales(
@@ -273,13 +273,13 @@ FROM sales GROUP BY product"""
         ),
         "product quantity total_amount",
     ),
-    on_sales(
+    on_products(
         "product_profitability",
         products.product_profitability,
         with_sales(PROFITABILITY),
         "product total_amount unit_price discount_percent quantity",
     ),
-    on_sales(
+    on_products(
         "top_profitable_products",
         products.top_profitable_products,
         with_sales(
@@ -307,7 +307,7 @@ FROM sales GROUP BY product, region"""
         ),
         "product region total_amount",
     ),
-    on_sales(
+    on_products(
         "product_summary",
         products.product_summary,
         with_sales(
@@ -321,7 +321,7 @@ FROM ranked""",
         ),
         "product total_amount",
     ),
-    on_sales(
+    on_products(
         "product_summary_text",
         products.product_summary_text,
         with_sales(
@@ -336,7 +336,7 @@ FROM ranked""",
         ),
         "product total_amount",
     ),
-    on_sales(
+    on_products(
         "top_bottom_products",
         products.top_bottom_products,
         with_sales(
@@ -350,7 +350,7 @@ FROM ranked WHERE place > n - 5""",
         ),
         "product total_amount",
     ),
-    on_sales(
+    on_products(
         "top_bottom_products_text",
         products.top_bottom_products_text,
         with_sales(
@@ -363,7 +363,7 @@ FROM (SELECT 'top' AS side, CAST(place AS INTEGER) AS rank, product, total FROM
         ),
         "product total_amount",
     ),
-    on_sales(
+    on_products(
         "revenue_concentration",
         products.revenue_concentration,
         with_sales(
@@ -375,7 +375,7 @@ FROM (SELECT CAST(SUM(total) FILTER (WHERE place <= 10) AS DOUBLE) AS top_k_reve
         ),
         "product total_amount",
     ),
-    on_sales(
+    on_products(
         "revenue_concentration_text",
         products.revenue_concentration_text,
         with_sales(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.operators import rulebook as book
 from ledgerloom.operators import rules
-from ledgerloom.plans.labels import translated
+from ledgerloom.plans.labels import LABELS
 from ledgerloom.plans.query import Query, on_sales
 from ledgerloom.plans.sqltext import choose, quoted, translated_sales, with_sales
 from ledgerloom.sources import tables
@@ -26,7 +26,7 @@ def rule(
     """A row rule: its inputs and results per transaction, decimals as double."""
 
     def apply(sales: DataFrame) -> DataFrame:
-        result = operator(translated(sales)).select(*keep.split())
+        result = operator(sales).select(*keep.split())
         return result.select(
             *[
                 F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c)
@@ -34,7 +34,7 @@ def rule(
             ]
         )
 
-    return on_sales(name, apply, with_sales(sql, translated_sales()), columns)
+    return on_sales(name, apply, with_sales(sql, translated_sales()), columns, labels=LABELS)
 
 
 def season_sql(product: str = "product") -> str:

@@ -15,10 +15,12 @@ partitions of the left (fact) side.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.functions.lookup import translated_sql
+from ledgerloom.functions.parts import merged, parts
 from ledgerloom.sources.schema import SALES_COLUMNS
 
 # The table layouts. Naming them skips the schema-inference job.
@@ -88,17 +90,21 @@ def sales_view(
     folder: str,
     columns: Iterable[str] = SALES_COLUMNS,
     exact: bool = True,
+    labels: Mapping[str, Mapping[str, str]] | None = None,
 ) -> DataFrame:
     """The sales table, limited to ``columns``, in documented column order.
 
-    Money is decimal, or with ``exact=False`` the double it is documented as.
+    Money is decimal, or with ``exact=False`` the double it is documented as.  ``labels``
+    translates dimension columns, once per dimension row, before the joins.
     """
     wanted = set(columns)
     if unknown := wanted - set(SALES_COLUMNS):
         raise ValueError(f"not sales columns: {sorted(unknown)}")
 
     def pick(source: dict[str, str], *keys: str) -> list[str]:
-        return [*keys, *(f"{sql} as {name}" for name, sql in source.items() if name in wanted)]
+        known = labels or {}
+        named = {n: translated_sql(known[n], sql) if n in known else sql for n, sql in source.items()}
+        return [*keys, *(f"{sql} as {name}" for name, sql in named.items() if name in wanted)]
 
     def join(fact: DataFrame, name: str, fact_key: str, key: str, picked: list[str]) -> DataFrame:
         dimension = table(spark, folder, name).selectExpr(picked)
@@ -131,6 +137,20 @@ def sales_view(
     return sales.select(*[name for name in SALES_COLUMNS if name in wanted])
 
 
+def product_parts(spark: SparkSession, folder: str, columns: Iterable[str]) -> DataFrame:
+    """Additive parts of the measures ``columns`` per product.
+
+    The line items are summed per part before they meet the part table, so where that is too
+    large to broadcast the shuffle carries one row per part and task, not every line item.
+    """
+    named = [f"{LINE_COLUMNS[name]} as {name}" for name in columns]
+    lines = table(spark, folder, "lineitem").selectExpr("l_partkey", *named)
+    per_part = parts(lines, ["l_partkey"], columns)
+    part = table(spark, folder, "part").selectExpr("p_partkey", f"{PART_COLUMNS['product']} as product")
+    joined = per_part.join(part, per_part["l_partkey"] == part["p_partkey"], "left")
+    return merged(joined.drop("l_partkey", "p_partkey"), ["product"])
+
+
 def customers(spark: SparkSession, folder: str) -> DataFrame:
     """Customer ids, numeric, in the order accounts are dealt out."""
     return table(spark, folder, "customer").selectExpr("c_custkey as customer_key")

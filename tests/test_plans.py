@@ -208,3 +208,26 @@ def test_skewed_joins_are_split_and_right(spark, skewed):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("name", ["product_performance", "revenue_concentration", "product_summary"])
+def test_lines_are_summed_before_they_meet_the_parts(spark, plan_of, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(builders()[name](spark, FOLDER))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    tree = plan.split("\n\n")[0]
+    scan = next(line for line in tree.splitlines() if "Scan parquet" in line)
+    below = tree[: tree.index(scan)].splitlines()
+    # From the scan upwards: projection, partial sums, then the exchange on the part key.
+    order = [w for line in reversed(below) for w in ("HashAggregate", "Exchange", "Join") if w in line]
+    assert order[:3] == ["HashAggregate", "Exchange", "HashAggregate"]
+    assert re.search(r"hashpartitioning\(l_partkey", plan)
+
+
+def test_labels_are_translated_on_the_dimensions(spark, plan_of):
+    plan = plan_of(builders()["adjusted_price"](spark, FOLDER))
+    # The map of brand labels is searched in the part table's projection.
+    part = plan[plan.index("part.parquet") :]
+    assert "Brand#1" in part.split("Scan parquet")[0]
