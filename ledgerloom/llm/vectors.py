@@ -28,10 +28,10 @@ SHARD = 1000  # vectors aimed at in a shard
 PART = 2000  # most vectors of a graph or a block of queries
 MOST_CENTERS = 8192  # of all labels together
 SAMPLE_PER_CENTER = 4
-DEGREE = 24
+DEGREE = 12
 BACKWARD = 4  # nearest neighbours that link back, so that every vector can be reached
 SPREAD = 1.2  # robust pruning: how much nearer a neighbour must be to rule one out
-BEAM = 64
+BEAM = 16
 OVERLAPS = (2, 4, 8)
 AUDITED = 200
 LEAST_RECALL = 0.95
