@@ -99,10 +99,13 @@ def written_months_frame(spark: SparkSession, folder: str) -> DataFrame:
     """Write the sales by month, read them back, and total them on the folder columns.
 
     The copy lies below the session's warehouse, in one folder per application and input
-    that a rerun replaces.
+    that a rerun replaces and that Spark removes when the application ends.
     """
+    context = spark.sparkContext
     base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    path = f"{base}/written-months-{spark.sparkContext.applicationId}-{zlib.crc32(folder.encode()):08x}"
+    path = f"{base}/written-months-{context.applicationId}-{zlib.crc32(folder.encode()):08x}"
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
     tables.write_sales(sales_view(spark, folder, exact=False), path, "overwrite")
     year, month = FOLDER_COLUMNS
     return (
