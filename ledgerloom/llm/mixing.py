@@ -23,7 +23,7 @@ from ledgerloom.functions.position import with_position
 from ledgerloom.llm.common import staged, word_count
 
 ONE = 2**40  # probability mass in whole units, so that running sums are exact
-BLOCK = 1000
+BLOCK = 250
 SEED = 6
 
 
