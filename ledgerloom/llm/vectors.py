@@ -175,6 +175,11 @@ def _search_with(least: float):
         here = table.column("shard")[0].as_py()
         # A pair that meets in several shards is counted in the first of them.
         found = searched(x[node], lists, x[query], least)
+        mine = np.searchsorted(names, ids[query]).clip(0, len(names) - 1)
+        is_both = names[mine] == ids[query]
+        # A link found from one side holds for the other.
+        both = np.ix_(np.flatnonzero(is_both), mine[is_both])
+        found[both] |= found[both].T
         who, at = np.nonzero(found & (ids[query][:, None] != names[None, :]))
         first = np.ones(len(who), bool)
         for a in range(width):
@@ -187,8 +192,6 @@ def _search_with(least: float):
         # Enough edges to join every group of this block: each vector with its lowest
         # neighbour, and the lowest neighbours of linked vectors with each other.
         low = names.copy()
-        mine = np.searchsorted(names, ids[query]).clip(0, len(names) - 1)
-        is_both = names[mine] == ids[query]
         low[mine[is_both]] = lowest[is_both]
         ends = np.concatenate([np.stack([ids[query], lowest], 1), np.stack([lowest[who], low[at]], 1)])
         ends = np.unique(np.sort(ends[ends[:, 0] != ends[:, 1]], axis=1), axis=0)
