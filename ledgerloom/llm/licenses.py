@@ -61,7 +61,6 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain", ("unencumbered software",)),
 )
 RARE_WORDS = 16  # of a file, looked up in the index
-COMMON_SHARE = 0.1  # words in more than this share of the documents are no rare words
 LEAST_AGREEING = 2
 LEAST_SHARE = 0.6
 SLACK = 2
@@ -95,24 +94,21 @@ class Index:
         for at, template in enumerate(self.templates):
             for word in set(template.words.tolist()):
                 self.postings.setdefault(word, []).append((at, np.flatnonzero(template.words == word)))
+        self.needed = [frozenset(w for phrase in t.phrases for w in phrase) for t in self.templates]
         self.idf: dict[bytes, float] = {}
 
     def weigh(self, frequencies: dict[bytes, int], documents: int) -> None:
-        """Keep the inverse document frequency of the words that are not common."""
-        self.idf = {
-            word: float(np.log((documents + 1) / (frequencies.get(word, 0) + 1)))
-            for word in self.number
-            if frequencies.get(word, 0) <= COMMON_SHARE * documents
-        }
+        """Keep the inverse document frequency of every word, however common it is."""
+        self.idf = {word: float(np.log((documents + 1) / (frequencies.get(word, 0) + 1))) for word in self.number}
 
     def scan(self, text: bytes | None):
         """n_words, n_base, first_word, last_word, base_labels, labels, score of a file."""
         words = words_of(text)
-        if self.idf.keys().isdisjoint(words) and not any(
-            self._holds(words, phrase) for phrase, _ in self.base
-        ):
-            return len(words), 0, None, None, "", "", 0.0
         number = self.number
+        known = {number[w] for w in number.keys() & set(words)}
+        # Without the words of a template's mandatory phrases it can't be found.
+        if not any(need <= known for need in self.needed) and not any(known.issuperset(phrase) for phrase, _ in self.base):
+            return len(words), 0, None, None, "", "", 0.0
         ids = np.array([number.get(w, 0) for w in words], np.int32)
         places, base = [], set()
         for phrase, label in self.base:
@@ -120,9 +116,8 @@ class Index:
             if len(at):
                 places.append(at)
                 base.add(label)
-        known = np.unique(ids)
         names = [None, *number]
-        rare = sorted((w for w in known.tolist() if w and names[w] in self.idf), key=lambda w: (-self.idf[names[w]], w))
+        rare = sorted(known, key=lambda w: (-self.idf[names[w]], w))
         found = self._aligned(ids, rare[:RARE_WORDS])
         score = max([0.5 * bool(base), *found.values()])
         starts = np.concatenate(places) if places else np.zeros(0, np.int64)
@@ -136,10 +131,6 @@ class Index:
             score,
         )
 
-    def _holds(self, words: list[bytes], phrase: tuple[int, ...]) -> bool:
-        names = [None, *self.number]
-        return names[phrase[-1]] in words and names[phrase[0]] in words
-
     def _aligned(self, ids: np.ndarray, rare: list[int]) -> dict[str, float]:
         """label -> largest share of a template's words at their places."""
         votes: dict[int, list[np.ndarray]] = {}

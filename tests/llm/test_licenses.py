@@ -62,3 +62,16 @@ def test_document_frequencies(table_of):
     index = licenses.Index()
     found, n = licenses.document_frequencies(table_of([(1, "MIT mit"), (2, None), (3, "the mit")], SCHEMA), "text", index)
     assert n == 3 and found == {b"mit": 2, b"the": 1}
+
+
+LONG = [(label, text) for label, text, _ in licenses.TEMPLATES if label in ("bsd", "isc", "mpl", "cc-by", "unlicense") or text.startswith("Permission")]
+
+
+@pytest.mark.parametrize("label, text", LONG)
+def test_a_licence_in_a_third_of_the_documents_and_in_the_only_one(table_of, label, text):
+    rng = random.Random(2)
+    docs = [(i, f"{prose(rng, 10)} {text} {prose(rng, 10)}" if i % 3 == 0 else prose(rng, 30)) for i in range(30)]
+    rows = {r["doc_id"]: r for r in licenses.scanned(table_of(docs, SCHEMA, extra=False), ["doc_id"]).collect()}
+    assert all((rows[i]["labels"], rows[i]["score"]) == ((label, 1.0) if i % 3 == 0 else ("", 0.0)) for i, _ in docs)
+    (row,) = licenses.scanned(table_of(docs[:1], SCHEMA, extra=False), ["doc_id"]).collect()
+    assert (row["labels"], row["score"]) == (label, 1.0)
