@@ -1,9 +1,10 @@
 """Licence scan with a positional index of rare words.
 
 The index lists, for each word of the licence templates, where it stands in which template.
-A file's licence words with the highest inverse document frequency are looked up; a word at
-place p of the file and place q of a template puts the template's start at p - q, and starts
-on which several rare words agree are candidates.  A candidate counts if enough of the
+A template's words with the highest inverse document frequency are looked up in the file first,
+and its other words if those do not find all of it; a word at place p of the file and place q of
+the template puts the template's start at p - q, and starts on which several words agree are
+candidates.  A candidate counts if enough of the
 template's words stand at their places (give or take two words) and all of its mandatory
 phrases stand within its reach.
 """
@@ -60,7 +61,7 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license v 2 0",)),
     ("unlicense", "This is free and unencumbered software released into the public domain", ("unencumbered software",)),
 )
-RARE_WORDS = 16  # of a file, looked up in the index
+RARE_WORDS = 16  # of a template, looked up in the index before the others
 LEAST_AGREEING = 2
 LEAST_SHARE = 0.6
 SLACK = 2
@@ -90,16 +91,18 @@ class Index:
         of = lambda text: [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text.encode())]
         self.base = [(tuple(of(phrase)), label) for phrase, label in phrases]
         self.templates = [Template(label, np.array(of(text)), tuple(tuple(of(p)) for p in must)) for label, text, must in templates]
-        self.postings: dict[int, list[tuple[int, np.ndarray]]] = {}
+        self.postings: dict[int, dict[int, np.ndarray]] = {}
         for at, template in enumerate(self.templates):
             for word in set(template.words.tolist()):
-                self.postings.setdefault(word, []).append((at, np.flatnonzero(template.words == word)))
+                self.postings.setdefault(word, {})[at] = np.flatnonzero(template.words == word)
         self.needed = [frozenset(w for phrase in t.phrases for w in phrase) for t in self.templates]
-        self.idf: dict[bytes, float] = {}
+        self.weigh({}, 0)
 
     def weigh(self, frequencies: dict[bytes, int], documents: int) -> None:
         """Keep the inverse document frequency of every word, however common it is."""
         self.idf = {word: float(np.log((documents + 1) / (frequencies.get(word, 0) + 1))) for word in self.number}
+        names = [None, *self.number]
+        self.ranked = [sorted(set(t.words.tolist()), key=lambda w: (-self.idf[names[w]], w)) for t in self.templates]
 
     def scan(self, text: bytes | None):
         """n_words, n_base, first_word, last_word, base_labels, labels, score of a file."""
@@ -116,9 +119,7 @@ class Index:
             if len(at):
                 places.append(at)
                 base.add(label)
-        names = [None, *number]
-        rare = sorted(known, key=lambda w: (-self.idf[names[w]], w))
-        found = self._aligned(ids, rare[:RARE_WORDS])
+        found = self._aligned(ids, known)
         score = max([0.5 * bool(base), *found.values()])
         starts = np.concatenate(places) if places else np.zeros(0, np.int64)
         return (
@@ -131,30 +132,41 @@ class Index:
             score,
         )
 
-    def _aligned(self, ids: np.ndarray, rare: list[int]) -> dict[str, float]:
-        """label -> largest share of a template's words at their places."""
-        votes: dict[int, list[np.ndarray]] = {}
-        for word in rare:
-            here = np.flatnonzero(ids == word)
-            for at, inside in self.postings.get(word, ()):
-                votes.setdefault(at, []).append((here[:, None] - inside[None, :]).ravel())
+    def _aligned(self, ids: np.ndarray, known: set[int]) -> dict[str, float]:
+        """label -> largest share of a template's words at their places.  The rarest words of a
+        template are looked up first and all of them unless those find the whole template."""
         found: dict[str, float] = {}
-        for at, lists in votes.items():
-            template = self.templates[at]
-            starts, agreeing = np.unique(np.concatenate(lists), return_counts=True)
-            starts = starts[agreeing >= LEAST_AGREEING]
-            if not len(starts):
+        for at, template in enumerate(self.templates):
+            if not self.needed[at] <= known or found.get(template.label) == 1.0:
+                continue
+            phrases = [(len(phrase), _stands(ids, phrase)) for phrase in template.phrases]
+            if not all(len(places) for _, places in phrases):
                 continue
-            shares = _shares(ids, starts, template.words)
-            for k in np.lexsort((starts, -shares)):
-                if shares[k] < LEAST_SHARE or shares[k] <= found.get(template.label, 0.0):
+            words = [w for w in self.ranked[at] if w in known]
+            for some in (words[:RARE_WORDS], words):
+                share = self._best(ids, at, some, phrases)
+                if share == 1.0 or len(some) == len(words):
                     break
-                low = max(0, int(starts[k]) - SLACK)
-                reach = ids[low : int(starts[k]) + len(template.words) + SLACK]
-                if all(len(_stands(reach, phrase)) for phrase in template.phrases):
-                    found[template.label] = float(shares[k])
+            if share > found.get(template.label, 0.0):
+                found[template.label] = share
         return found
 
+    def _best(self, ids: np.ndarray, at: int, words: list[int], phrases: list[tuple[int, np.ndarray]]) -> float:
+        """Largest share of a template at the starts its words agree on, all phrases within reach; 0
+        if it is less than LEAST_SHARE."""
+        template, votes = self.templates[at], []
+        for word in words:
+            here = np.flatnonzero(ids == word)
+            votes.append((here[:, None] - self.postings[word][at][None, :]).ravel())
+        starts, agreeing = np.unique(np.concatenate(votes), return_counts=True)
+        starts = starts[agreeing >= LEAST_AGREEING]
+        for length, places in phrases:
+            first = np.searchsorted(places, starts - SLACK)
+            last = np.searchsorted(places, starts + len(template.words) + SLACK - length, "right")
+            starts = starts[first < last]
+        share = float(_shares(ids, starts, template.words).max(initial=0.0))
+        return share if share >= LEAST_SHARE else 0.0
+
 
 def _stands(ids: np.ndarray, phrase: tuple[int, ...]) -> np.ndarray:
     """Places where the words of a phrase stand one behind the other."""

@@ -75,3 +75,17 @@ def test_a_licence_in_a_third_of_the_documents_and_in_the_only_one(table_of, lab
     assert all((rows[i]["labels"], rows[i]["score"]) == ((label, 1.0) if i % 3 == 0 else ("", 0.0)) for i, _ in docs)
     (row,) = licenses.scanned(table_of(docs[:1], SCHEMA, extra=False), ["doc_id"]).collect()
     assert (row["labels"], row["score"]) == (label, 1.0)
+
+
+def test_a_file_with_all_templates_has_all_labels(table_of):
+    rng = random.Random(4)
+    notices = " ".join(f"{text}. {prose(rng, 40)}" for _, text, _ in licenses.TEMPLATES)
+    docs = [(1, notices), (2, " ".join(t[1] for t in reversed(licenses.TEMPLATES))), *((10 + i, prose(rng, 30)) for i in range(60))]
+    # a long text with every licence word in passing and one licence
+    words = sorted({w for _, text, _ in licenses.TEMPLATES for w in text.split()})
+    bsd = next(text for label, text, _ in licenses.TEMPLATES if label == "bsd")
+    docs.append((3, " ".join(rng.choice(words) for _ in range(3000)) + " " + bsd))
+    rows = {r["doc_id"]: r for r in licenses.scanned(table_of(docs, SCHEMA, extra=False), ["doc_id"]).collect()}
+    every = sorted({t[0] for t in licenses.TEMPLATES})
+    assert [rows[i]["labels"].split(",") for i in (1, 2)] == [every, every]
+    assert "bsd" in rows[3]["labels"].split(",") and rows[3]["score"] == 1.0
