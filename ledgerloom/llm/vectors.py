@@ -1,16 +1,16 @@
-"""Near-duplicate vectors by a robust-pruned flat graph.
+"""Near-duplicate vectors by comparison within overlapping shards.
 
-Vectors with the same label are dealt to overlapping shards around centers.  In each shard
-every vector gets a short list of neighbours by robust pruning: the nearest first, and none
-that is much nearer to one already taken.  The lists of all shards are united.  A search
-starts at the medoid of a shard, walks greedily towards its query, and from the first
-vector in range on follows all lists of vectors in range until no new one is found.  What
-counts as a link is checked in double precision.  The recall of the links is audited
-against brute force on a sample, and the search is repeated with more overlap if it is low.
+Vectors with the same label are dealt to overlapping shards around centers, and all pairs of
+a shard are compared in double precision, so a pair is lost only if its vectors share no shard.
+The recall of the links is audited against brute force on a sample, and the vectors are dealt
+again with more overlap if it is low.
 
 Equal vectors are one class.  A shard with more vectors than a task should hold is cut into
-parts: each part has a graph of its own and all of the shard's vectors search it, in
-blocks, so a dense group needs no single large task and loses no link.
+parts: each part meets all of the shard's vectors in blocks, so a dense group needs no single
+large task and loses no link.
+
+The robust-pruned graph and its search (``robust_pruned`` to ``searched``) stand for themselves:
+a greedy walk can miss groups, so links do not depend on it.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ from ledgerloom.llm.components import roots
 
 LEAST_COSINE = 0.93
 SHARD = 1000  # vectors aimed at in a shard
-PART = 2000  # most vectors of a graph or a block of queries
+PART = 2000  # most vectors of a part or a block of queries
 MOST_CENTERS = 8192  # of all labels together
 SAMPLE_PER_CENTER = 4
-DEGREE = 12
+DEGREE = 24
 BACKWARD = 4  # nearest neighbours that link back, so that every vector can be reached
 SPREAD = 1.2  # robust pruning: how much nearer a neighbour must be to rule one out
-BEAM = 16
+BEAM = 64
 OVERLAPS = (2, 4, 8)
 AUDITED = 200
 LEAST_RECALL = 0.95
@@ -145,41 +145,24 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
 
 
-def _build(table: pa.Table) -> pa.Table:
-    """Neighbour lists of one part of a shard."""
-    ids = table.column("cls").to_numpy()
-    lists = with_links_back(robust_pruned(unit(_matrix(table.column("embedding")))))
-    named = [ids[row] for row in lists]
-    return pa.table({"cls": pa.array(ids), "near": pa.array(named, pa.list_(pa.int64()))})
-
-
-def _search_with(least: float):
+def _compare_with(least: float):
     def run(table: pa.Table) -> pa.Table:
-        """Links of a block of queries in one part's graph: per query the vectors linked (where
-        this shard is the first that both are in) and a vector to be grouped with."""
+        """Links of a block of queries with all vectors of one part: per query the vectors linked
+        (where this shard is the first that both are in) and a vector to be grouped with."""
         x = unit(_matrix(table.column("embedding")))
         ids, times = table.column("cls").to_numpy(), table.column("times").to_numpy()
         node = np.flatnonzero(table.column("is_node").to_numpy(zero_copy_only=False))
         query = np.flatnonzero(table.column("is_query").to_numpy(zero_copy_only=False))
         node = node[np.argsort(ids[node])]
         names = ids[node]
-        own_lists = []
-        for value in table.column("near").take(pa.array(node)).to_pylist():
-            own = np.asarray(value, np.int64)
-            at = np.searchsorted(names, own).clip(0, len(names) - 1)
-            own_lists.append(at[names[at] == own])
-        lists = padded(own_lists)
         shards = table.column("shards").to_pylist()
         width = max(map(len, shards))
         member = np.array([s + [-1] * (width - len(s)) for s in shards])
         here = table.column("shard")[0].as_py()
-        # A pair that meets in several shards is counted in the first of them.
-        found = searched(x[node], lists, x[query], least)
+        # A pair that meets in several shards is found in each and counted in the first of them.
+        found = x[query] @ x[node].T >= least
         mine = np.searchsorted(names, ids[query]).clip(0, len(names) - 1)
         is_both = names[mine] == ids[query]
-        # A link found from one side holds for the other.
-        both = np.ix_(np.flatnonzero(is_both), mine[is_both])
-        found[both] |= found[both].T
         who, at = np.nonzero(found & (ids[query][:, None] != names[None, :]))
         first = np.ones(len(who), bool)
         for a in range(width):
@@ -279,13 +262,7 @@ def _linked(classes: DataFrame, centers: dict, overlap: int, least: float) -> Da
     members = members.join(counts, met).drop("c_label", "c_dim", "c_shard")
     members = members.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     members = staged(members, "vector-parts")
-    lists = members.select(*keys, "part", "cls", "embedding").groupBy(*keys, "part").applyInArrow(
-        _build, "cls bigint, near array<bigint>"
-    )
-    united = staged(
-        lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "vector-lists"
-    ).withColumnRenamed("cls", "l_cls")
-    # Each part's graph meets each block of the shard's queries; a block is a part's members.
+    # Each part meets each block of the shard's queries; a block is a part's members.
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     meetings = F.flatten(
         F.array(
@@ -296,10 +273,8 @@ def _linked(classes: DataFrame, centers: dict, overlap: int, least: float) -> Da
             ),
         )
     )
-    placed = members.join(united, F.col("cls") == F.col("l_cls"), "left").select(
-        *keys, "cls", "times", "embedding", "shards", "near", F.inline(meetings)
-    )
-    return placed.groupBy(*keys, "graph", "block").applyInArrow(_search_with(least), "cls bigint, links bigint, other bigint")
+    placed = members.select(*keys, "cls", "times", "embedding", "shards", F.inline(meetings))
+    return placed.groupBy(*keys, "graph", "block").applyInArrow(_compare_with(least), "cls bigint, links bigint, other bigint")
 
 
 def _recall(classes: DataFrame, links: DataFrame, least: float) -> float:

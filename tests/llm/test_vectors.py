@@ -99,3 +99,28 @@ def test_small_graphs_reach_everything(n):
     lists = vectors.padded(vectors.with_links_back(vectors.robust_pruned(x)))
     found = vectors.searched(x, lists, x, -1.1)
     assert found.all()
+
+
+def exact(spark, rows):
+    want = brute(rows)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
+def grouped(groups, size, seed, dim=24, spread=0.05):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(groups, dim))
+    vecs = np.repeat(centers, size, axis=0) + spread * rng.normal(size=(groups * size, dim))
+    return [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(vecs)]
+
+
+def test_many_small_groups_in_a_shard_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 5000)
+    exact(spark, grouped(300, 6, 5))
+
+
+def test_every_pair_is_counted_across_shards_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 100)
+    monkeypatch.setattr(vectors, "PART", 40)
+    monkeypatch.setattr(vectors, "OVERLAPS", (1000,))
+    exact(spark, grouped(100, 3, 12) + [(1000 + i, v, 0) for i, v, _ in grouped(1, 150, 13, spread=0.1)])
