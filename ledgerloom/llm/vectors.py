@@ -3,7 +3,7 @@
 Vectors with the same label are dealt to overlapping shards around centers, and all pairs of
 a shard are compared in double precision, so a pair is lost only if its vectors share no shard.
 The recall of the links is audited against brute force on a sample, and the vectors are dealt
-again with more overlap if it is low.
+again with more overlap if it is low, in the end all in one shard.
 
 Equal vectors are one class.  A shard with more vectors than a task should hold is cut into
 parts: each part meets all of the shard's vectors in blocks, so a dense group needs no single
@@ -15,6 +15,8 @@ a greedy walk can miss groups, so links do not depend on it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -33,7 +35,8 @@ BACKWARD = 4  # nearest neighbours that link back, so that every vector can be r
 SPREAD = 1.2  # robust pruning: how much nearer a neighbour must be to rule one out
 BEAM = 64
 OVERLAPS = (2, 4, 8)
-AUDITED = 200
+AUDITED = 200  # vectors with a true link
+MOST_ASKED = 8192  # vectors compared with all at a time
 LEAST_RECALL = 0.95
 PAIRS_AT_A_TIME = 400_000
 
@@ -278,11 +281,32 @@ def _linked(classes: DataFrame, centers: dict, overlap: int, least: float) -> Da
 
 
 def _recall(classes: DataFrame, links: DataFrame, least: float) -> float:
-    """Share of the true links of up to AUDITED vectors, compared with all, that were found."""
-    asked = classes.orderBy(F.xxhash64("cls", F.lit(4))).limit(AUDITED)
-    rows = asked.join(links, "cls", "left").select("cls", "label", "dim", "embedding", F.coalesce("n", F.lit(0)).alias("n")).toArrow()
-    if not rows.num_rows:
-        return 1.0
+    """The smaller of two shares of true links that were found, over all links and on average
+    per vector.  Vectors are drawn until AUDITED of them have a true link or all were drawn,
+    and compared with all; groups of many copies weigh no more than others in the second."""
+    order = F.xxhash64("cls", F.lit(4))
+    got = total = shares = seen = 0
+    size, last = AUDITED, None
+    while seen < AUDITED:
+        rest = classes if last is None else classes.where(order > last)
+        asked = rest.withColumn("at", order).orderBy("at").limit(size)
+        rows = asked.join(links, "cls", "left").select("at", "cls", "label", "dim", "embedding", F.coalesce("n", F.lit(0)).alias("n")).toArrow()
+        if not rows.num_rows:
+            break
+        last = max(rows.column("at").to_pylist())
+        want = _true_links(classes, rows, least)
+        for c, n in zip(rows.column("cls").to_pylist(), rows.column("n").to_pylist()):
+            if want.get(c):
+                hit = min(n, want[c])
+                got, total, shares, seen = got + hit, total + want[c], shares + hit / want[c], seen + 1
+        if rows.num_rows < size:
+            break
+        size = min(2 * size, MOST_ASKED)
+    return min(got / total, shares / seen) if seen else 1.0
+
+
+def _true_links(classes: DataFrame, rows: pa.Table, least: float) -> dict[int, int]:
+    """Number of true links of each of the given vectors, compared with all."""
     groups: dict[tuple, list[int]] = {}
     for i, key in enumerate(zip(rows.column("label").to_pylist(), rows.column("dim").to_pylist())):
         groups.setdefault(key, []).append(i)
@@ -299,17 +323,28 @@ def _recall(classes: DataFrame, links: DataFrame, least: float) -> float:
             for key in set(keys) & known.keys():
                 own = np.array([i for i, k in enumerate(keys) if k == key])
                 asked_ids, x = known[key]
-                hit = x @ unit(_matrix(table.column("embedding").take(pa.array(own)))).T >= least
-                hit &= asked_ids[:, None] != own_ids[own][None, :]
-                for q, n in zip(asked_ids.tolist(), (hit * times[own][None, :]).sum(axis=1).tolist()):
-                    sums[q] = sums.get(q, 0) + n
+                y = unit(_matrix(table.column("embedding").take(pa.array(own))))
+                for k in range(0, len(x), AUDITED):
+                    some = asked_ids[k : k + AUDITED]
+                    hit = (x[k : k + AUDITED] @ y.T >= least) & (some[:, None] != own_ids[own][None, :])
+                    for q, n in zip(some.tolist(), (hit @ times[own]).tolist()):
+                        sums[q] = sums.get(q, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array(sums.values(), pa.int64())], ["cls", "n"])
 
     true = classes.select("label", "dim", "cls", "times", "embedding").mapInArrow(count, "cls bigint, n bigint")
-    want = {r["cls"]: r["n"] for r in true.groupBy("cls").agg(F.sum("n").alias("n")).collect()}
-    total = sum(want.values())
-    got = sum(min(n, want.get(c, 0)) for c, n in zip(ids.tolist(), rows.column("n").to_pylist()))
-    return got / total if total else 1.0
+    return {r["cls"]: r["n"] for r in true.groupBy("cls").agg(F.sum("n").alias("n")).collect()}
+
+
+def _overlaps(widest: int) -> Iterator[int]:
+    """OVERLAPS, then twice as much each time, and at last as many as there are centers."""
+    last = 1
+    for last in OVERLAPS:
+        if last < widest:
+            yield last
+    while 2 * last < widest:
+        last *= 2
+        yield last
+    yield widest
 
 
 def near_duplicates(
@@ -342,11 +377,12 @@ def near_duplicates(
     )
     slim = classes.select("cls", "label", "dim", "times", "embedding")
     centers = _centers(slim)
-    for overlap in OVERLAPS:
-        rows = staged(_linked(slim, centers, overlap, least), "vector-links")
+    widest = max([1, *map(len, centers.values())])
+    for overlap in _overlaps(widest):
+        # With all centers as overlap every vector would be in every shard: one shard is the same.
+        rows = staged(_linked(slim, centers if overlap < widest else {}, min(overlap, widest), least), "vector-links")
         links = rows.where("links > 0").groupBy("cls").agg(F.sum("links").alias("n"))
-        widest = max([1, *map(len, centers.values())])
-        if overlap >= widest or _recall(slim, links, least) >= LEAST_RECALL:
+        if overlap == widest or _recall(slim, links, least) >= LEAST_RECALL:
             break
     linked = roots(rows.where("other IS NOT NULL").select(F.col("cls").alias("a"), F.col("other").alias("b")))
     named = (

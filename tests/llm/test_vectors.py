@@ -124,3 +124,23 @@ def test_every_pair_is_counted_across_shards_and_parts(spark, monkeypatch):
     monkeypatch.setattr(vectors, "PART", 40)
     monkeypatch.setattr(vectors, "OVERLAPS", (1000,))
     exact(spark, grouped(100, 3, 12) + [(1000 + i, v, 0) for i, v, _ in grouped(1, 150, 13, spread=0.1)])
+
+
+def test_low_recall_is_never_returned(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 20)
+    monkeypatch.setattr(vectors, "OVERLAPS", (1,))
+    monkeypatch.setattr(vectors, "_recall", lambda *_: 0.0)
+    exact(spark, grouped(30, 6, 14, spread=0.2))
+
+
+def test_audit_sees_rare_links_and_every_vector_alike(spark):
+    rng = np.random.default_rng(15)
+    rows = [(i, rng.normal(size=24).tolist(), 0, 24, 1) for i in range(1500)]
+    rows += [(2000 + i, (np.array(rows[0][1]) + 0.01 * i).tolist(), 0, 24, 1) for i in range(2)]
+    classes = spark.createDataFrame(rows, "cls bigint, embedding array<double>, label int, dim int, times bigint").cache()
+    none = spark.createDataFrame([], "cls bigint, n bigint")
+    assert vectors._recall(classes, none, 0.93) == 0.0
+    pairs = [(i, [float(x) for x in np.eye(12)[i // 2]], 0, 12, 1000 if i < 2 else 1) for i in range(24)]
+    dense = spark.createDataFrame(pairs, "cls bigint, embedding array<double>, label int, dim int, times bigint")
+    some = spark.createDataFrame([(0, 1000), (1, 1000)], "cls bigint, n bigint")
+    assert vectors._recall(dense, some, 0.93) == 2 / 24
