@@ -90,11 +90,15 @@ def decoded(chains: list[list[list[int]]], model: Crf) -> list[list[str]]:
     out: list[list[str]] = [[] for _ in chains]
     at = 0
     while at < len(order):
-        size = max(1, 40_000 // max(1, len(chains[order[at]])))
-        some = order[at : at + size]
-        at += size
+        stop = at + 1  # the longest chain of a batch is its last
+        while stop < len(order) and (stop + 1 - at) * len(chains[order[stop]]) <= 40_000:
+            stop += 1
+        some = order[at:stop]
+        at = stop
         x, lengths = _padded([chains[i] for i in some])
-        score = model.weights[x].sum(axis=2)
+        score = model.weights[x[:, :, 0]]
+        for slot in range(1, x.shape[2]):
+            score += model.weights[x[:, :, slot]]
         best = score[:, 0] + model.first
         back = np.zeros(score.shape, np.int16)
         for t in range(1, score.shape[1]):

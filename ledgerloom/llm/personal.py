@@ -23,7 +23,6 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 AROUND = 2  # plain words on each side of a chain
 GAP_CHARS = 100  # chains end where nothing of interest comes within so many characters
-CHAIN_WORDS = 200
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -229,7 +228,7 @@ def chains_of(text: str) -> list[list[tuple[int, int]]]:
         between = text[max(begin, core[0] - GAP_CHARS) : core[0]]
         offset = core[0] - len(between)
         words = [(m.start() + offset, m.end() + offset) for m in _WORD.finditer(between)]
-        joined = at and core[0] - begin <= GAP_CHARS and len(words) <= 2 * AROUND and len(chains[-1]) < CHAIN_WORDS
+        joined = at and core[0] - begin <= GAP_CHARS and len(words) <= 2 * AROUND
         if joined:
             chains[-1] += [*words, core]
         else:

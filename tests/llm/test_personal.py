@@ -108,3 +108,13 @@ def test_rows(table_of):
         [(1, 1, 0, "email:0:6", "[EMAIL]")] * 2 + [(None, 0, 0, "", None), (2, 0, 0, "", ""), (3, 0, 1, "phone:2:19", "\U0001f600 [PHONE]")], key=repr
     )
     assert personal.found(table_of(docs, "doc_id bigint, text string").limit(0), ["doc_id"]).count() == 0
+
+
+def test_a_long_list_of_numbers_is_one_chain():
+    rng = random.Random(7)
+    numbers = [f"({rng.randint(200, 999)}) 555-0{rng.randint(100, 199)}" for _ in range(1000)]
+    for lead in range(4):
+        text = "item 15: " * lead + "".join(f"phone {n} today, " for n in numbers)
+        assert len(personal.chains_of(text)) == 1
+        _, spans = personal.spans_of([text, "x 1"])[0]
+        assert [text[a:b] for k, a, b in spans if k == "phone"] == numbers
