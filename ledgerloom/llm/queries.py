@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import benchmarks, chat, language, licenses, mixing, personal, simhash, urls, vectors, warc
+from ledgerloom.llm import benchmarks, chat, collocations, divergence, language, licenses, mixing, personal, simhash, tokens, urls, vectors, warc
 from ledgerloom.llm.common import table
 
 
@@ -121,6 +121,104 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_source_divergence_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the sources of each language differ, and the terms each of them over-uses."""
+    return divergence.audited(table(spark, folder, "documents"))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), terms AS (
+    SELECT doc, lang, source, unnest(terms) AS term FROM docs
+), kept AS (
+    SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT doc) >= 10
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), sizes AS (
+    SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), groups AS (
+    SELECT g.lang, g.source, CAST(coalesce(sum(n), 0) AS HUGEINT) AS total
+    FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN counts USING (lang, source) GROUP BY ALL
+), own AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        CAST(1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (g.total + 2 * v) AS HUGEINT) AS p
+    FROM groups g JOIN kept k USING (lang) JOIN sizes USING (lang) LEFT JOIN counts c ON (g.lang, g.source, k.term) = (c.lang, c.source, c.term)
+), whole AS (
+    SELECT lang, term, CAST(1 + (1000000000 * (sum(n) + 2)) // (any_value(total) + 2 * any_value(v)) AS HUGEINT) AS q
+    FROM counts JOIN (SELECT lang, sum(total) AS total FROM groups GROUP BY lang) USING (lang) JOIN sizes USING (lang) GROUP BY lang, term
+), pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (
+        SELECT x.lang, x.source, y.source AS other, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+        FROM own x JOIN own y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+    ) f ON (a.lang, a.source, b.source) = (f.lang, f.source, f.other)
+), terms_over AS (
+    SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value
+    FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms_over)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The strongest collocations of each language."""
+    return collocations.mined(table(spark, folder, "documents"))
+
+
+OP12_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+        regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+    FROM documents
+), pieces AS (
+    SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS words FROM docs
+), windows AS (
+    SELECT lang, words[j:j + 3] AS words FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS j FROM pieces)
+), sizes AS (
+    SELECT lang, sum(len(words)) AS n FROM pieces GROUP BY lang
+), grams AS (
+    SELECT lang, k, words[1:k] AS words, count(*) AS f
+    FROM windows CROSS JOIN (VALUES (1), (2), (3), (4)) AS t(k) WHERE k <= len(words) GROUP BY ALL HAVING count(*) >= 30
+), counts AS (
+    SELECT lang, k, words, array_to_string(words, ' ') AS phrase, f FROM grams
+), cuts AS (
+    SELECT lang, k, words, phrase, f AS a, unnest(range(1, k)) AS cut FROM counts WHERE k > 1
+), parts AS (
+    SELECT *, array_to_string(words[1:cut], ' ') AS head, array_to_string(words[cut + 1:k], ' ') AS rest FROM cuts
+), valued AS (
+    SELECT p.lang, p.phrase, p.a, p.cut, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * p.a) // (x.f + y.f) AS score
+    FROM parts p JOIN counts x ON x.lang = p.lang AND x.phrase = p.head JOIN counts y ON y.lang = p.lang AND y.phrase = p.rest
+), scored AS (
+    SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), firsts AS (
+    SELECT lang, words, k, f, unnest(range(1, k)) AS i FROM counts WHERE k > 2
+), inside AS (
+    SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, max(f) AS longer
+    FROM (SELECT *, unnest(range(2, k)) AS m FROM firsts) WHERE i + m - 1 <= k GROUP BY ALL
+), kept AS (
+    SELECT s.* FROM scored s LEFT JOIN inside USING (lang, phrase)
+    WHERE coalesce(100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT), true)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+    phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN sizes USING (lang) QUALIFY rank <= 2000
+"""
+
+
+def op13_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, written to files and read back."""
+    return tokens.round_trip(table(spark, folder, "documents"))
+
+
 BUILDERS = {
     "op1_license_scan": op1_license_scan,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -132,5 +230,13 @@ BUILDERS = {
     "op8_url_filter": op8_url_filter,
     "op9_warc_archive": op9_warc_archive,
     "op10_personal_data": op10_personal_data,
+    "op11_source_divergence_audit": op11_source_divergence_audit,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_token_ids": op13_token_ids,
+}
+SQL = {
+    "op5_chat_formatting": OP5_SQL,
+    "op9_warc_archive": OP9_SQL,
+    "op11_source_divergence_audit": OP11_SQL,
+    "op12_phrase_collocations": OP12_SQL,
 }
-SQL = {"op5_chat_formatting": OP5_SQL, "op9_warc_archive": OP9_SQL}
