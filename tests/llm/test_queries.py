@@ -41,12 +41,12 @@ def test_names_and_rows(spark, name):
     frame = BUILDERS[name](spark, FOLDER)
     if number == 5:
         assert frame.where("conv_id = -7").count() == 1
-    elif number != 2:
+    elif number not in (2, 11, 12):
         assert frame.count() == spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in BUILDERS) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in BUILDERS) == list(range(1, 14))
 
 
 def test_entry_stands_without_this_part(tmp_path):
