@@ -22,6 +22,7 @@ import os
 import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +40,7 @@ MAGIC = b"LLTOKEN1"
 SELECT_STEP = 256
 IDS_PER_FILE = 32_000_000
 IDS_AT_A_TIME = 2_000_000
-WORDS_KEPT = 400_000  # spelled words whose ids a worker remembers
+WORDS_KEPT = 500_000  # spelled words whose ids a worker remembers
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -205,13 +206,26 @@ def _loaded(path: str):
     return Tokenizer.from_file(path)
 
 
+# Fixed value: the word pattern whose tokenizers the short way below is made for.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_BELOW = "\u0250"  # Latin letters: single code points, each lower-cased for itself, always in normal form C
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin bytes for
+    themselves, the others for code points from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Encodes whole texts.
 
     A tokenizer that drops white space and splits at it sees no word together with the next, so texts
     are cut at ASCII white space, every different piece is encoded once, and its ids are
-    gathered by numpy.  Printable ASCII pieces are split by the tokenizer's own pattern
-    and their words go to its model directly.  Other tokenizers get whole texts.
+    gathered by numpy.  Pieces of plain Latin letters and marks are split into words here, and
+    the words go to the tokenizer's model directly.  Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -219,79 +233,76 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             settings = json.load(file)
         self.specials = [t["content"] for t in settings["added_tokens"]]
-        self.pattern = self._pattern(settings)
-        self.words: dict[str, list[int]] = {}
+        self.drops_space = self._drops_space(settings) and not any(c in s for s in self.specials for c in " \t\n\v\f\r")
+        self.words: dict[str, bytes] = {}
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
+        self.letters = _byte_letters()
 
     @staticmethod
-    def _pattern(settings: dict):
-        """The word pattern of a tokenizer that lower-cases, keeps what the pattern matches and maps bytes;
-        null for any other."""
-        import regex
-
-        kind = lambda part: (part or {}).get("type")
-        normal, before = settings["normalizer"], settings["pre_tokenizer"]
-        if kind(normal) != "Sequence" or kind(before) != "Sequence" or settings["post_processor"] is not None:
-            return None
-        steps = [kind(s) for s in normal["normalizers"]], [kind(s) for s in before["pretokenizers"]]
-        if steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
-            return None
-        split, to_bytes = before["pretokenizers"]
-        if (split["behavior"], split["invert"], to_bytes["add_prefix_space"], to_bytes["use_regex"]) != ("Removed", True, False, False):
-            return None
-        if normal["normalizers"][1]["content"] != " ":
-            return None
-        pattern = regex.compile(split["pattern"]["Regex"])
-        specials = "".join(t["content"] for t in settings["added_tokens"])
-        return None if any(pattern.search(c) or c in specials for c in " \t\n\v\f\r") else pattern
+    def _drops_space(settings: dict) -> bool:
+        """Whether it lower-cases, keeps what WORD_PATTERN matches and maps bytes, and does no more."""
+        normal, before = settings["normalizer"] or {}, settings["pre_tokenizer"] or {}
+        steps = [s["type"] for s in normal.get("normalizers", [])], [s["type"] for s in before.get("pretokenizers", [])]
+        if steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or settings["post_processor"] is not None:
+            return False
+        replace, (split, to_bytes) = normal["normalizers"][1], before["pretokenizers"]
+        return (
+            (replace["pattern"], replace["content"]) == ({"Regex": r"\s+"}, " ")
+            and (split["pattern"], split["behavior"], split["invert"]) == ({"Regex": WORD_PATTERN}, "Removed", True)
+            and (to_bytes["add_prefix_space"], to_bytes["use_regex"]) == (False, False)
+        )
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a lower-cased word."""
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        found = self.words[word] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        return found
 
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in order, and how many each has."""
-        words, model, pattern = self.words, self.tokenizer.model, self.pattern
+        import regex
+
+        pattern, words, word_ids = regex.compile(WORD_PATTERN), self.words, self._word
         if len(words) > WORDS_KEPT:
             words.clear()
-        out: list[int] = []
-        sizes = np.zeros(len(pieces), np.int64)
+        held: list[bytes] = []
         hard = []
-        held: list[list[int]] = []
         for at, piece in enumerate(pieces):
-            if piece.isascii() and piece.isprintable() and not any(s in piece for s in self.specials):
-                found: list[int] = []
-                for word in pattern.findall(piece.lower()):
-                    ids = words.get(word)
-                    if ids is None:
-                        ids = words[word] = [t.id for t in model.tokenize(word)]
-                    found += ids
-                held.append(found)
-            else:
-                known = words.get(piece)
-                held.append(known)
-                if known is None:
+            found = words.get(piece)
+            if found is None:
+                low = piece.lower()
+                if not (max(piece) < PLAIN_BELOW and piece.isprintable()) or any(s in piece for s in self.specials):
                     hard.append(at)
+                elif low.isalpha():
+                    found = words.get(low) or word_ids(low)
+                elif low[:-1].isalpha():  # a word and a mark or digit
+                    found = (words.get(low[:-1]) or word_ids(low[:-1])) + (words.get(low[-1]) or word_ids(low[-1]))
+                else:
+                    found = b"".join([words.get(w) or word_ids(w) for w in pattern.findall(low)])
+            held.append(found)
         if hard:
             for at, got in zip(hard, self.tokenizer.encode_batch_fast([pieces[i] for i in hard], add_special_tokens=False)):
-                held[at] = words[pieces[at]] = got.ids
-        for at, found in enumerate(held):
-            out += found
-            sizes[at] = len(found)
-        return np.array(out, np.int64), sizes
+                held[at] = words[pieces[at]] = array(self.code, got.ids).tobytes()
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // self.width
+        return np.frombuffer(b"".join(held), f"=u{self.width}"), sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has."""
-        if self.pattern is None:
+        if not self.drops_space:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-            return np.array([i for ids in found for i in ids], np.int64), np.array([len(ids) for ids in found], np.int64)
+            return np.array([i for ids in found for i in ids], f"=u{self.width}"), np.array([len(ids) for ids in found], np.int64)
         lists = pc.ascii_split_whitespace(texts)
-        row = pc.list_parent_indices(lists).to_numpy()
-        pieces = pc.list_flatten(lists).dictionary_encode()
+        row, pieces = pc.list_parent_indices(lists), pc.list_flatten(lists)
+        real = pc.not_equal(pieces, "")
+        row, pieces = row.filter(real).to_numpy(), pieces.filter(real).dictionary_encode()
         ids, sizes = self._encode_pieces(pieces.dictionary.to_pylist())
         starts = np.cumsum(sizes) - sizes
         code = pieces.indices.to_numpy()
         own = sizes[code]
-        total = int(own.sum())
         # the n-th id of the output is an id of its piece, so many places on
         shift = np.repeat(starts[code] - (np.cumsum(own) - own), own)
-        return ids[shift + np.arange(total)], np.bincount(row, weights=own, minlength=len(texts)).astype(np.int64)
+        return ids[shift + np.arange(len(shift))], np.bincount(row, weights=own, minlength=len(texts)).astype(np.int64)
 
 
 @functools.lru_cache(maxsize=2)
