@@ -5,17 +5,18 @@ at most, padded where the piece ends.  These lead columns are counted as they ar
 them sums ever shorter prefixes, and since every occurrence of a phrase is the prefix of
 exactly one window, the sums are the counts of all phrases.
 
-Most windows of a large corpus occur once.  So the pairs of neighbouring words are first counted
-by a 64-bit hash, and a window is padded from the first pair on whose hash is rarer than a
-candidate may be: no phrase that holds this pair can be one, and shorter prefixes still
-count.  The frequent pairs reach the tasks as a bit set of fixed size.  Pairs that share a bit or a
-hash let a window stay longer than it had to and change no count.
+Most windows of a large corpus occur once.  So the pairs of neighbouring words, and then the runs of
+three whose pairs are frequent, are first counted by a 64-bit hash.  A window is padded from
+the first pair or run on whose hash is rarer than a candidate may be: no phrase that holds it
+can be one, and shorter prefixes still count.  The frequent ones reach the tasks as bit
+sets of fixed size.  Runs that share a bit or a hash let a window stay longer than it had to
+and change no count.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,9 +30,10 @@ MOST_WORDS = 4
 UNIT = 2_000_000
 COVERED = (80, 100)  # a longer phrase with that share of a candidate's count replaces it
 TOP = 2000
-FILTER_BITS = 27  # the bit set of frequent pairs has 2 ** FILTER_BITS bits, 16 MB
+RUNS = (2, 3)  # lengths of the runs that are counted by their hash
+FILTER_BITS = 27  # each bit set of frequent runs has 2 ** FILTER_BITS bits, 16 MB
 SLICE_BITS = 20
-PAIRS_HELD = 4_000_000
+RUNS_HELD = 4_000_000
 ROWS_HELD = 400_000
 UNKNOWN = "und"
 
@@ -124,32 +126,45 @@ def _blocks_of_words(batch: pa.RecordBatch):
             yield words, piece, code, hashes[code], langs.dictionary
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-    size = 0
+def frequent_runs(pair: np.ndarray, together: np.ndarray, sets: Sequence[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the hash of the run that begins there and is one word longer than those of the last
+    set, and whether all shorter runs in it are frequent."""
+    run, real = pair, together
+    for known in sets:
+        real = real & _in(known, run, bits)
+        run, real = _mixed(run[:-1], run[1:]), real[:-1] & real[1:]
+    return run, real
 
-    def counted():
-        pair, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n)], ["pair", "n"])
 
-    for batch in batches:
-        for words, piece, _, lang, _ in _blocks_of_words(batch):
-            pair, together = pair_hashes(words, piece, lang)
-            held.append(pair[together])
-            size += len(held[-1])
-            if size > PAIRS_HELD:
-                yield counted()
-                held, size = [], 0
-    if size:
-        yield counted()
+def frequent(texts: DataFrame, sets: Sequence[np.ndarray] = (), least: int = LEAST_COUNT, bits: int = FILTER_BITS) -> np.ndarray:
+    """The bit set (2 ** ``bits`` bits as bytes) of the runs that occur ``least`` times, of those whose shorter
+    runs are in the given sets; of pairs if there are none."""
+    share = texts.sparkSession.sparkContext.broadcast(list(sets))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = share.value
+        held: list[np.ndarray] = []
+        size = 0
+
+        def counted():
+            run, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), pa.array(n)], ["run", "n"])
+
+        for batch in batches:
+            for words, piece, _, lang, _ in _blocks_of_words(batch):
+                run, real = frequent_runs(*pair_hashes(words, piece, lang), known, bits)
+                held.append(run[real])
+                size += len(held[-1])
+                if size > RUNS_HELD:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
 
-def frequent_pairs(texts: DataFrame, least: int = LEAST_COUNT, bits: int = FILTER_BITS) -> np.ndarray:
-    """The bit set (2 ** ``bits`` bits as bytes) of the pairs that occur ``least`` times."""
     low = min(SLICE_BITS, bits)
-    counts = texts.mapInArrow(_count_pairs, "pair bigint, n bigint").repartition("pair").groupBy("pair").agg(F.sum("n").alias("n"))
-    place = F.shiftrightunsigned("pair", 64 - bits)
-    frequent = counts.where(F.col("n") >= least).select(
+    counts = texts.mapInArrow(count, "run bigint, n bigint").repartition("run").groupBy("run").agg(F.sum("n").alias("n"))
+    place = F.shiftrightunsigned("run", 64 - bits)
+    kept = counts.where(F.col("n") >= least).select(
         F.shiftright(place, low).cast("int").alias("slice"), place.bitwiseAND(F.lit((1 << low) - 1)).cast("int").alias("bit")
     )
 
@@ -164,7 +179,7 @@ def frequent_pairs(texts: DataFrame, least: int = LEAST_COUNT, bits: int = FILTE
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([packed], pa.binary())], ["slice", "bits"])
 
     # A slice lies in one partition, so at most 2 ** bits bits reach the driver.
-    found = frequent.repartition("slice").mapInArrow(set_bits, "slice int, bits binary").collect()
+    found = kept.repartition("slice").mapInArrow(set_bits, "slice int, bits binary").collect()
     out = np.zeros(max(1, (1 << bits) // 8), np.uint8)
     for number, packed in found:
         part = np.frombuffer(zlib.decompress(packed), np.uint8)
@@ -177,17 +192,15 @@ def _in(bit_set: np.ndarray, pair: np.ndarray, bits: int) -> np.ndarray:
     return (bit_set[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _count_windows(words: pa.DictionaryArray, lang: np.ndarray, joined: np.ndarray, langs: pa.Array) -> pa.Table:
-    """Padded windows of a block; ``joined`` says whether a word goes on to the next."""
+def _count_windows(words: pa.DictionaryArray, lang: np.ndarray, goes_on: Sequence[np.ndarray], langs: pa.Array) -> pa.Table:
+    """Padded windows of a block; ``goes_on`` says for two words, three and so on whether the window
+    of each word is that long."""
     codes = words.indices.to_numpy().astype(np.int32)
-    leads, goes_on = [codes], np.ones(len(codes), bool)
-    for k in range(1, MOST_WORDS):
-        reach = np.zeros(len(codes), bool)
-        reach[: len(codes) - k] = joined[k - 1 :]
-        goes_on = goes_on & reach
+    leads = [codes]
+    for k, reach in enumerate(goes_on, 1):
         lead = np.full(len(codes), -1, np.int32)
-        lead[: len(codes) - k] = codes[k:]
-        leads.append(np.where(goes_on, lead, -1))
+        lead[: len(reach)] = np.where(reach, codes[k : k + len(reach)], -1)
+        leads.append(lead)
     table = pa.table({"lang": pa.array(lang), **{name: pa.array(lead) for name, lead in zip(LEADS, leads)}})
     found = table.group_by(["lang", *LEADS]).aggregate([([], "count_all")])
     # the empty string, which no word is, pads
@@ -199,9 +212,9 @@ def _count_windows(words: pa.DictionaryArray, lang: np.ndarray, joined: np.ndarr
     return pa.table([langs.take(found["lang"].combine_chunks()), *spelled, found["count_all"]], schema=WINDOWS)
 
 
-def windows(texts: DataFrame, bit_set: np.ndarray, bits: int = FILTER_BITS) -> DataFrame:
+def windows(texts: DataFrame, sets: Sequence[np.ndarray], bits: int = FILTER_BITS) -> DataFrame:
     """Counts ``n`` of the padded windows (lang, w1 to w4) that each task found."""
-    share = texts.sparkSession.sparkContext.broadcast(bit_set)
+    share = texts.sparkSession.sparkContext.broadcast(list(sets))
 
     def run(batches):
         known = share.value
@@ -214,7 +227,14 @@ def windows(texts: DataFrame, bit_set: np.ndarray, bits: int = FILTER_BITS) -> D
         for batch in batches:
             for words, piece, code, lang, langs in _blocks_of_words(batch):
                 pair, together = pair_hashes(words, piece, lang)
-                held.append(_count_windows(words, code, together & _in(known, pair, bits), langs))
+                # each set decides on windows of one word more, and the last on all longer ones
+                reach = []
+                for k in range(len(known)):
+                    hashes, real = frequent_runs(pair, together, known[:k], bits)
+                    reach.append(real & _in(known[k], hashes, bits))
+                while len(reach) < MOST_WORDS - 1:
+                    reach.append(reach[-1][:-1] & reach[-1][1:])
+                held.append(_count_windows(words, code, reach, langs))
                 size += len(held[-1])
                 if size > 2 * ROWS_HELD:
                     held = [merged()]
@@ -234,7 +254,10 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     texts = docs.select(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
     )
-    found = windows(texts, frequent_pairs(texts, least, bits), bits)
+    sets: list[np.ndarray] = []
+    for _ in RUNS:
+        sets.append(frequent(texts, sets, least, bits))
+    found = windows(texts, sets, bits)
     found = found.groupBy("lang", *LEADS).agg(F.sum("n").alias("n"))
     # grouping_id has a bit for every column summed over, the last column's the lowest
     rolled = found.rollup("lang", *LEADS).agg(F.sum("n").alias("f"), F.grouping_id().alias("over"))

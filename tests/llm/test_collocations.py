@@ -115,7 +115,7 @@ def test_a_pair_that_is_frequent_is_never_missed(spark):
     rows = invented(200, 4)
     frame = spark.createDataFrame(rows, SCHEMA).selectExpr("coalesce(lang, 'und') lang", "text")
     for bits in (3, 10, 27):
-        bit_set = collocations.frequent_pairs(frame, 20, bits)
+        bit_set = collocations.frequent(frame, (), 20, bits)
         assert len(bit_set) == max(1, 2**bits // 8)
         for lang in ("en", "de", "und"):
             pieces = [p for _, t, la in rows if (la or "und") == lang for p in pieces_of(t)]
