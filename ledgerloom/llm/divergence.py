@@ -26,7 +26,7 @@ TOP_TERMS = 10
 SMOOTHING = 2
 UNIT = 10**9
 THIRDS = 10**3  # UNIT is its third power
-CELLS = 4_000_000  # of a shard's matrix
+CELLS = 400_000  # of a shard's matrix; more where a language has more sources than fit into it squared
 ROWS_HELD = 400_000  # partial counts a task holds before it hands them on
 
 # What stands between terms, and the lower-cased letters and others that make them.
@@ -224,7 +224,9 @@ def audited(
     # As many rows as there are groups; the window meets the sources of one language.
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum("leads").alias("leads"))
     of_lang = Window.partitionBy("lang")
-    shards = F.greatest(F.lit(1), F.ceil(F.col("kept") * F.count("*").over(of_lang) / cells)).cast("int")
+    n_sources = F.count("*").over(of_lang)
+    # terms of a shard: at least as many as sources, so that the pairs it yields stay fewer than its cells
+    shards = F.greatest(F.lit(1), F.ceil(F.col("kept") / F.greatest(cells / n_sources, n_sources))).cast("int")
     totals = totals.withColumn("kept", F.sum("leads").over(of_lang)).withColumn("shards", shards)
     totals = staged(totals.select("lang", "source", "total", "kept", "shards"), "source-totals")
     langs = totals.select(F.col("lang").alias("of_lang"), F.col("shards").alias("of_shards")).distinct()
