@@ -46,9 +46,14 @@ def rounded_mean(column: str) -> Column:
     decision is taken on whole cents: quotient, remainder, and the remainder
     compared with half the count.
     """
-    cents = (F.sum(column).cast("decimal(34,2)") * F.lit(100)).cast("decimal(36,0)")
+    return rounded_quotient(F.sum(column), F.count(column))
+
+
+def rounded_quotient(amount: Column, count: Column) -> Column:
+    """A two-place decimal over a count, rounded half-even to two places; null for a count of 0."""
+    cents = (amount.cast("decimal(34,2)") * F.lit(100)).cast("decimal(36,0)")
     size = F.abs(cents)
-    n = F.nullif(F.count(column), F.lit(0))
+    n = F.nullif(count, F.lit(0))
     quotient = F.call_function("div", size, n)
     twice_rest = (size % n) * 2
     up = (twice_rest > n) | ((twice_rest == n) & (quotient % 2 == 1))

@@ -11,10 +11,12 @@ product as a group, the filtered (dashboard) part and the matrices drop it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom.functions.dates import month_label, month_start
+from ledgerloom.functions.keep import Kept
 from ledgerloom.functions.measures import (
     count_sum_or_zero,
     mean,
@@ -26,7 +28,7 @@ from ledgerloom.functions.measures import (
 )
 from ledgerloom.functions.ordering import ascending, largest_first, last_of_largest_first
 from ledgerloom.functions.parts import ROWS, part_mean, part_total, parts
-from ledgerloom.functions.position import with_position
+from ledgerloom.functions.selection import middle_values
 from ledgerloom.functions.text import dollars, grouped_text, percent, plain_text
 from ledgerloom.operators.filters import filtered_sales
 from ledgerloom.sources.schema import EXACT_TYPES
@@ -129,27 +131,37 @@ def product_region_pivot(
 
 
 def product_summary(sales: DataFrame) -> DataFrame:
-    """Number of products, the top one, and mean and median revenue per product."""
+    """Number of products, the top one, and mean and median revenue per product.
+
+    The median is found when the frame is made, by selection on the totals, which are kept
+    while the frame is referenced."""
+    kept, summary = _summary(sales)
+    return kept.until_gone(summary)
+
+
+def _summary(sales: DataFrame) -> tuple[Kept, DataFrame]:
     # Ascending order of these fields is descending revenue with the nulls last.
     rank = F.struct(
         F.col("total").isNull(), -F.col("total"), F.col("product").isNull(), F.col("product")
     )
-    totals = _totals(sales)
-    return (
-        totals.agg(
-            F.count("*").alias("n_products"),
-            F.min_by(F.struct("product", "total"), rank).alias("top"),
-            mean("total").alias("avg_product_sales"),
-        )
-        .withColumn("median_product_sales", _median(totals).scalar())
-        .select(
-            "n_products",
-            F.col("top.product").alias("top_product"),
-            F.col("top.total").cast("double").alias("top_product_sales"),
-            "avg_product_sales",
-            "median_product_sales",
-        )
+    # The totals are computed once and read by the passes of the median and by the result.
+    kept = Kept(_totals(sales))
+    totals = kept.frame
+    middle = middle_values(totals.select((F.col("total").cast("decimal(36,2)") * 100).alias("cents")), "cents")
+    # the mean of the two as double, as a median of doubles is
+    median = None if middle is None else sum(float(Decimal(cents) / 100) for cents in middle) / 2
+    summary = totals.agg(
+        F.count("*").alias("n_products"),
+        F.min_by(F.struct("product", "total"), rank).alias("top"),
+        mean("total").alias("avg_product_sales"),
+    ).select(
+        "n_products",
+        F.col("top.product").alias("top_product"),
+        F.col("top.total").cast("double").alias("top_product_sales"),
+        "avg_product_sales",
+        F.lit(median).cast("double").alias("median_product_sales"),
     )
+    return kept, summary
 
 
 def product_summary_text(sales: DataFrame) -> DataFrame:
@@ -158,7 +170,8 @@ def product_summary_text(sales: DataFrame) -> DataFrame:
     def amount(name: str):
         return dollars(grouped_text(F.col(name), 2))
 
-    return product_summary(sales).select(
+    kept, summary = _summary(sales)
+    text = summary.select(
         F.col("n_products").cast("string").alias("n_products"),
         F.concat(
             F.coalesce("top_product", F.lit("")), F.lit(" ("), amount("top_product_sales"), F.lit(")")
@@ -166,6 +179,7 @@ def product_summary_text(sales: DataFrame) -> DataFrame:
         amount("avg_product_sales").alias("avg_product_sales"),
         amount("median_product_sales").alias("median_product_sales"),
     )
+    return kept.until_gone(text)
 
 
 def top_bottom_products(sales: DataFrame, k: int = 5) -> DataFrame:
@@ -320,9 +334,23 @@ def _top_product_matrix(sales: DataFrame, k: int, regions: Sequence[str] | None)
     The sales are summed to (product, region) once; ranking and spreading into
     columns happen on that small result, in one more grouping.
     """
-    pairs = sales.groupBy("product", "region").agg(F.sum("total_amount").alias("total"))
-    if not regions:
-        pairs, regions = _kept_pairs(pairs, k)
+    return spread_top_products(sales.groupBy("product", "region").agg(F.sum("total_amount").alias("total")), k, regions)
+
+
+def spread_top_products(pairs: DataFrame, k: int, regions: Sequence[str] | None) -> DataFrame:
+    """The matrix of :func:`_top_product_matrix` from revenue (``total``) per product and region.
+
+    Result columns must be known when a plan is built, so a matrix whose columns are not named
+    costs a job that finds the regions of the top products.  The pairs are kept for it and for the
+    result, and only the regions' names reach the driver.
+    """
+    if regions:
+        return _spread(pairs, k, regions)
+    kept = Kept(pairs)
+    return kept.until_gone(_spread(kept.frame, k, _regions_of_top(kept.frame, k)))
+
+
+def _spread(pairs: DataFrame, k: int, regions: Sequence[str]) -> DataFrame:
     cells = [
         F.coalesce(
             F.sum(F.when(F.col("region") == name, F.col("total"))).cast("double"), F.lit(0.0)
@@ -344,38 +372,15 @@ def _top_product_matrix(sales: DataFrame, k: int, regions: Sequence[str] | None)
     )
 
 
-def _kept_pairs(pairs: DataFrame, k: int) -> tuple[DataFrame, list[str]]:
-    """The pairs of the ``k`` top products and their regions, found in one read of the sales.
-
-    Result columns must be known when a plan is built, so a matrix whose columns are not
-    named costs this job.  It gathers at most ``k`` products' pairs and refuses more regions
-    than Spark's own pivot does.
-    """
+def _regions_of_top(pairs: DataFrame, k: int) -> list[str]:
+    """The regions that the ``k`` top products sold in; refuses more than Spark's own pivot does."""
     most = int(pairs.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    top = (
-        pairs.groupBy("product")
-        .agg(F.sum("total").alias("_whole"), F.slice(F.collect_list(F.struct("region", "total")), 1, most + 2).alias("cells"))
-        .orderBy(*largest_first("_whole", "product"))
-        .limit(k)
-        .select("product", F.inline("cells"))
-    )
-    found = top.collect()
-    regions = sorted({row["region"] for row in found} - {None})
-    if len(regions) > most:
+    top = pairs.groupBy("product").agg(F.sum("total").alias("_whole")).orderBy(*largest_first("_whole", "product")).limit(k)
+    own = pairs.where(F.col("region").isNotNull()).join(top.select("product"), "product", "left_semi")
+    names = own.select("region").distinct().limit(most + 1).collect()
+    if len(names) > most:
         raise ValueError(f"more than {most} values of region: name the matrix columns")
-    return pairs.sparkSession.createDataFrame(found, top.schema), regions
-
-
-def _median(totals: DataFrame) -> DataFrame:
-    """Median of the totals that are not null, as one row.
-
-    The totals are ranked by key ranges and the one or two in the middle are picked, so no
-    task gathers them all, as an exact percentile would.
-    """
-    known = totals.where(F.col("total").isNotNull()).select(F.struct("total", "product").alias("_key"))
-    n = known.agg(F.count("*")).scalar()
-    middle = with_position(known, "_key", "_at").where((F.col("_at") * 2).between(n, n + 2))
-    return middle.agg(F.avg(F.col("_key.total").cast("double")).alias("median"))
+    return sorted(row["region"] for row in names)
 
 
 def _by_known_product(sales: DataFrame, filters: dict):

@@ -13,16 +13,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.dates import label_month_start, month_label, month_start
-from ledgerloom.functions.measures import (
-    count_sum_or_zero,
-    mean,
-    ratio,
-    round_even,
-    rounded_mean,
-    total,
-    total_or_zero,
-)
+from ledgerloom.functions.distinct import parts_with_ids
+from ledgerloom.functions.measures import mean, ratio, round_even, rounded_mean, total, total_or_zero
 from ledgerloom.functions.ordering import ascending, largest_first, smallest_first
+from ledgerloom.functions.parts import (
+    ROWS,
+    part_count_or_zero,
+    part_mean,
+    part_rounded_mean,
+    part_total,
+    part_total_or_zero,
+)
 from ledgerloom.operators.filters import filtered_sales
 
 
@@ -46,14 +47,15 @@ def region_sales(sales: DataFrame) -> DataFrame:
 def region_metrics(sales: DataFrame) -> DataFrame:
     """Revenue, volume, customers and discount per region, largest revenue first."""
     return (
-        sales.groupBy("region")
-        .agg(
-            total("total_amount").alias("total_sales"),
-            F.count("*").alias("total_transactions"),
-            mean("total_amount").alias("avg_transaction_value"),
-            F.sum("quantity").alias("total_quantity"),
-            F.countDistinct("customer_id").alias("unique_customers"),
-            mean("discount_percent").alias("avg_discount"),
+        _with_customers(sales, "total_amount", "quantity", "discount_percent")
+        .select(
+            "region",
+            part_total("total_amount").alias("total_sales"),
+            F.col(ROWS).alias("total_transactions"),
+            part_mean("total_amount").alias("avg_transaction_value"),
+            F.col("quantity_sum").alias("total_quantity"),
+            "unique_customers",
+            part_mean("discount_percent").alias("avg_discount"),
         )
         .withColumn("sales_per_customer", ratio("total_sales", "unique_customers"))
         .orderBy(*largest_first("total_sales", "region"))
@@ -173,12 +175,13 @@ def region_bar(sales: DataFrame, **filters) -> DataFrame:
 def region_scatter(sales: DataFrame, **filters) -> DataFrame:
     """Customer count against sales per customer."""
     return (
-        _by_known_region(sales, filters)
-        .agg(
-            total_or_zero("total_amount").alias("total_sales"),
-            mean("total_amount").alias("avg_transaction"),
-            F.countDistinct("customer_id").alias("unique_customers"),
-            count_sum_or_zero("quantity").alias("total_quantity"),
+        _with_customers(_known_regions(sales, filters), "total_amount", "quantity")
+        .select(
+            "region",
+            part_total_or_zero("total_amount").alias("total_sales"),
+            part_mean("total_amount").alias("avg_transaction"),
+            "unique_customers",
+            part_count_or_zero("quantity").alias("total_quantity"),
         )
         .withColumn("sales_per_customer", ratio("total_sales", "unique_customers"))
         .orderBy("region")
@@ -198,15 +201,17 @@ def region_timeline(sales: DataFrame, **filters) -> DataFrame:
 
 def region_table(sales: DataFrame, **filters) -> DataFrame:
     """Region summary, rounded to two places."""
+    rows = _known_regions(sales, filters).withColumn("customer", F.when(F.col("customer_id").isNotNull(), 1))
     return (
-        _by_known_region(sales, filters)
-        .agg(
-            total_or_zero("total_amount").alias("total_sales"),
-            rounded_mean("total_amount").alias("avg_transaction"),
-            count_sum_or_zero("quantity").alias("total_quantity"),
-            F.count("customer_id").alias("total_transactions"),
-            F.countDistinct("customer_id").alias("unique_customers"),
-            rounded_mean("discount_percent").alias("avg_discount"),
+        _with_customers(rows, "total_amount", "quantity", "discount_percent", "customer")
+        .select(
+            "region",
+            part_total_or_zero("total_amount").alias("total_sales"),
+            part_rounded_mean("total_amount").alias("avg_transaction"),
+            part_count_or_zero("quantity").alias("total_quantity"),
+            F.col("customer_n").alias("total_transactions"),
+            "unique_customers",
+            part_rounded_mean("discount_percent").alias("avg_discount"),
         )
         .orderBy("region")
     )
@@ -245,6 +250,14 @@ def _picked_month(sales: DataFrame, order: list[Column]) -> DataFrame:
     )
 
 
+def _known_regions(sales: DataFrame, filters: dict) -> DataFrame:
+    return filtered_sales(sales, **filters).where(F.col("region").isNotNull())
+
+
 def _by_known_region(sales: DataFrame, filters: dict, *keys: Column):
-    rows = filtered_sales(sales, **filters).where(F.col("region").isNotNull())
-    return rows.groupBy(*keys, "region")
+    return _known_regions(sales, filters).groupBy(*keys, "region")
+
+
+def _with_customers(sales: DataFrame, *columns: str) -> DataFrame:
+    """Additive parts per region and the number of different customers."""
+    return parts_with_ids(sales, ["region"], columns, "customer_id", "unique_customers")

@@ -1,7 +1,8 @@
 """Filter choices and analyses of the filtered sales.
 
 Each filtered analysis is registered on the whole table, under all three filters, under
-each filter alone and under a filter nothing passes.
+each filter alone and under a filter nothing passes; so are all panels together, from one
+read of the sales.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from ledgerloom.operators import filters, headline, products, regions
+from ledgerloom.operators import dashboard, filters, headline, products, regions
 from ledgerloom.plans.notebook import PRODUCT_TOTALS, REGIONS, matrix_cells
 from ledgerloom.plans.query import Query, on_sales
 from ledgerloom.plans.sqltext import (
@@ -87,42 +88,13 @@ SELECT {total_or_zero('total_amount')} AS total_sales, COUNT(*) AS total_transac
   {mean('total_amount')} AS avg_transaction, COUNT(DISTINCT customer_id) AS unique_customers
 FROM chosen"""
 
-QUERIES: list[Query] = [
-    *variants(
-        "filtered_sales",
-        filters.filtered_sales,
-        f"SELECT {DOCUMENTED} FROM chosen",
-        " ".join(SALES_COLUMNS),
-        exact=False,
-    ),
-    on_sales(
-        "filter_regions",
-        filters.distinct_regions,
-        with_sales("SELECT DISTINCT region FROM sales"),
-        "region",
-    ),
-    on_sales(
-        "filter_top_products",
-        filters.top_product_names,
-        with_sales("SELECT product FROM ranked WHERE place <= 20", PRODUCT_TOTALS),
-        "product total_amount",
-    ),
-    on_sales(
-        "filter_date_range",
-        filters.date_bounds,
-        with_sales("SELECT MIN(date) AS min_date, MAX(date) AS max_date FROM sales"),
-        "date",
-    ),
-    on_sales(
-        "top_product_rows",
-        lambda sales: documented(filters.top_product_rows(sales)),
-        with_sales(
-            f"SELECT {DOCUMENTED} FROM sales WHERE product IN (SELECT product FROM ranked WHERE place <= 5)",
-            PRODUCT_TOTALS,
-        ),
-    ),
-    *variants("kpi_values", headline.kpi_values, KPI, "total_amount customer_id"),
-    *variants(
+BEST = """best AS (SELECT product FROM chosen WHERE product IS NOT NULL GROUP BY product
+  ORDER BY SUM(total_amount) DESC NULLS LAST, product LIMIT 15)"""
+
+# name, operator, SQL, columns, further CTEs
+PANELS = [
+    ("kpi_values", headline.kpi_values, KPI, "total_amount customer_id"),
+    (
         "kpi_text",
         headline.kpi_text,
         f"""
@@ -134,7 +106,7 @@ SELECT CASE WHEN total_transactions = 0 THEN '$0' ELSE '$' || format('{{:,.0f}}'
 FROM ({KPI})""",
         "total_amount customer_id",
     ),
-    *variants(
+    (
         "dash_region_bar",
         regions.region_bar,
         f"""
@@ -142,7 +114,7 @@ SELECT region, {total_or_zero('total_amount')} AS total_amount, COUNT(customer_i
 FROM chosen WHERE region IS NOT NULL GROUP BY region""",
         "region total_amount customer_id",
     ),
-    *variants(
+    (
         "dash_region_scatter",
         regions.region_scatter,
         f"""
@@ -152,7 +124,7 @@ FROM (SELECT region, {total_or_zero('total_amount')} AS total_sales, {mean('tota
   FROM chosen WHERE region IS NOT NULL GROUP BY region)""",
         "region total_amount customer_id quantity",
     ),
-    *variants(
+    (
         "dash_region_timeline",
         regions.region_timeline,
         f"""
@@ -160,7 +132,7 @@ SELECT CAST(date_trunc('month', date) AS DATE) AS date, region, {total_or_zero('
 FROM chosen WHERE region IS NOT NULL AND date IS NOT NULL GROUP BY 1, 2""",
         "region date total_amount",
     ),
-    *variants(
+    (
         "dash_top_products",
         products.product_bar,
         f"""
@@ -168,7 +140,7 @@ SELECT product, {total_or_zero('total_amount')} AS total_amount
 FROM chosen WHERE product IS NOT NULL GROUP BY product ORDER BY total_amount DESC, product LIMIT 10""",
         "product total_amount",
     ),
-    *variants(
+    (
         "dash_product_profitability",
         products.product_profitability_scatter,
         f"""
@@ -180,15 +152,14 @@ FROM (SELECT product, {total_or_zero('total_amount')} AS total_amount,
 ORDER BY revenue_per_unit DESC NULLS LAST, product LIMIT 15""",
         "product total_amount quantity unit_price discount_percent",
     ),
-    *variants(
+    (
         "dash_product_region_matrix",
         lambda sales, **arguments: products.product_region_matrix(sales, 15, shown(arguments), **arguments),
         lambda arguments: matrix_cells("chosen SEMI JOIN best USING (product)", shown(arguments)),
         "product region total_amount",
-        ctes="""best AS (SELECT product FROM chosen WHERE product IS NOT NULL GROUP BY product
-  ORDER BY SUM(total_amount) DESC NULLS LAST, product LIMIT 15)""",
+        BEST,
     ),
-    *variants(
+    (
         "dash_region_table",
         regions.region_table,
         f"""
@@ -198,7 +169,7 @@ SELECT region, {total_or_zero('total_amount')} AS total_sales, {rounded_mean('to
 FROM chosen WHERE region IS NOT NULL GROUP BY region""",
         "region total_amount quantity customer_id discount_percent",
     ),
-    *variants(
+    (
         "dash_product_table",
         products.product_table,
         f"""
@@ -209,3 +180,77 @@ FROM chosen WHERE product IS NOT NULL GROUP BY product ORDER BY total_sales DESC
         "product total_amount quantity unit_price discount_percent customer_id",
     ),
 ]
+LABELS = {"date": "DATE", "region": "VARCHAR", "product": "VARCHAR"}
+# label columns and measures of each panel; null: the regions shown
+PANEL_COLUMNS = {
+    "kpi_values": ("", "total_sales total_transactions avg_transaction unique_customers"),
+    "kpi_text": ("", "total_sales total_transactions avg_transaction unique_customers"),
+    "dash_region_bar": ("region", "total_amount transaction_count"),
+    "dash_region_scatter": ("region", "total_sales avg_transaction unique_customers total_quantity sales_per_customer"),
+    "dash_region_timeline": ("date region", "total_amount"),
+    "dash_top_products": ("product", "total_amount"),
+    "dash_product_profitability": ("product", "total_amount quantity unit_price discount_percent revenue_per_unit"),
+    "dash_product_region_matrix": ("product", None),
+    "dash_region_table": ("region", "total_sales avg_transaction total_quantity total_transactions unique_customers avg_discount"),
+    "dash_product_table": ("product", "total_sales total_quantity avg_unit_price avg_discount total_transactions"),
+}
+
+
+def panels_sql(arguments: dict) -> str:
+    """The results of all panels, one row per measure."""
+    made = []
+    for name, _, sql, *_ in PANELS:
+        labels, measures = PANEL_COLUMNS[name]
+        measures = shown(arguments) if measures is None else measures.split()
+        value = lambda m: f"CAST(\"{m}\" AS DOUBLE), 'text': NULL" if name != "kpi_text" else f"NULL, 'text': \"{m}\""
+        cells = ", ".join(f"{{'measure': '{m}', 'value': {value(m)}}}" for m in measures)
+        known = ", ".join(f"{c if c in labels.split() else f'CAST(NULL AS {kind})'} AS {c}" for c, kind in LABELS.items())
+        body = sql if isinstance(sql, str) else sql(arguments)
+        made.append(
+            f"SELECT '{name.removeprefix('dash_')}' AS panel, {known}, cell.measure, CAST(cell.value AS DOUBLE) AS value, "
+            f"CAST(cell.text AS VARCHAR) AS text FROM (SELECT *, unnest([{cells}]) AS cell FROM ({body}))"
+        )
+    return "\nUNION ALL\n".join(made)
+
+
+def all_panels(sales: DataFrame, **arguments) -> DataFrame:
+    return dashboard.panel_values(dashboard.dashboard(sales, **arguments), shown(arguments))
+
+
+QUERIES: list[Query] = [
+    *variants(
+        "filtered_sales",
+        filters.filtered_sales,
+        f"SELECT {DOCUMENTED} FROM chosen",
+        " ".join(SALES_COLUMNS),
+        exact=False,
+    ),
+    on_sales(
+        "filter_regions",
+        filters.distinct_regions,
+        with_sales("SELECT DISTINCT region FROM sales"),
+        "region",
+    ),
+    on_sales(
+        "filter_top_products",
+        filters.top_product_names,
+        with_sales("SELECT product FROM ranked WHERE place <= 20", PRODUCT_TOTALS),
+        "product total_amount",
+    ),
+    on_sales(
+        "filter_date_range",
+        filters.date_bounds,
+        with_sales("SELECT MIN(date) AS min_date, MAX(date) AS max_date FROM sales"),
+        "date",
+    ),
+    on_sales(
+        "top_product_rows",
+        lambda sales: documented(filters.top_product_rows(sales)),
+        with_sales(
+            f"SELECT {DOCUMENTED} FROM sales WHERE product IN (SELECT product FROM ranked WHERE place <= 5)",
+            PRODUCT_TOTALS,
+        ),
+    ),
+    *[query for panel in PANELS for query in variants(*panel)],
+    *variants("dashboard_panels", all_panels, panels_sql, " ".join(dashboard.NEEDED), BEST),
+]
