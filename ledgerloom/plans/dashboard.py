@@ -7,9 +7,10 @@ read of the sales.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators import dashboard, filters, headline, products, regions
 from ledgerloom.plans.notebook import PRODUCT_TOTALS, REGIONS, matrix_cells
@@ -23,7 +24,9 @@ from ledgerloom.plans.sqltext import (
     whole,
     with_sales,
 )
+from ledgerloom.sources import star
 from ledgerloom.sources.schema import SALES_COLUMNS, documented
+from ledgerloom.sources.scratch import fresh_path
 
 DATES = ("1997-01-01", "1999-12-31")
 SOME_REGIONS = ("ASIA", "EUROPE", "MIDDLE EAST")
@@ -217,6 +220,18 @@ def all_panels(sales: DataFrame, **arguments) -> DataFrame:
     return dashboard.panel_values(dashboard.dashboard(sales, **arguments), shown(arguments))
 
 
+BUCKETS = 8
+
+
+def kpi_on_bucketed_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Headline figures of a date range from line items and orders bucketed by order."""
+    database = f"bucketed_{zlib.crc32(folder.encode()):08x}_{spark.sparkContext.applicationId.replace('-', '_')}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{fresh_path(spark, database)}'")
+    star.write_bucketed(spark, folder, database, BUCKETS)
+    sales = star.sales_view(spark, folder, ("total_amount", "customer_id", "date"), read=star.from_bucketed(database))
+    return headline.kpi_values(sales, date_range=DATES)
+
+
 QUERIES: list[Query] = [
     *variants(
         "filtered_sales",
@@ -252,5 +267,6 @@ QUERIES: list[Query] = [
         ),
     ),
     *[query for panel in PANELS for query in variants(*panel)],
+    Query("kpi_values_bucketed", kpi_on_bucketed_tables, with_sales(KPI, f"chosen AS (SELECT * FROM sales WHERE {ON_DATES})")),
     *variants("dashboard_panels", all_panels, panels_sql, " ".join(dashboard.NEEDED), BEST),
 ]

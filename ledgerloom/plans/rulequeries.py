@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerloom.operators import additive, rules
 from ledgerloom.operators import rulebook as book
-from ledgerloom.operators import rules
+from ledgerloom.plans import notebook
 from ledgerloom.plans.labels import LABELS
 from ledgerloom.plans.query import Query, on_sales
 from ledgerloom.plans.sqltext import choose, quoted, translated_sales, with_sales
-from ledgerloom.sources import tables
+from ledgerloom.sources import batches, tables
 from ledgerloom.sources.schema import FOLDER_COLUMNS
+from ledgerloom.sources.scratch import fresh_path
 from ledgerloom.sources.star import customers, sales_view, salespeople
+from ledgerloom.sources.statistics import file_summary
 
 ACCOUNTS = 7
 REFERENCE_DAY = "2000-12-31"
+CUT_DAY = "2000-01-01"
 
 
 def rule(
@@ -96,25 +99,60 @@ def performer_frame(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def written_months_frame(spark: SparkSession, folder: str) -> DataFrame:
-    """Write the sales by month, read them back, and total them on the folder columns.
+    """Write the sales by month to the shared folder, read them back, and total them on the folder columns."""
+    path = fresh_path(spark, "written-months")
+    tables.write_sales(sales_view(spark, folder, exact=False), path)
+    return _months(tables.read_sales(spark, path))
 
-    The copy lies below the session's warehouse, in one folder per application and input
-    that a rerun replaces and that Spark removes when the application ends.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    path = f"{base}/written-months-{context.applicationId}-{zlib.crc32(folder.encode()):08x}"
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
-    tables.write_sales(sales_view(spark, folder, exact=False), path, "overwrite")
+
+def appended_months_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """Append the sales in batches by their last year, one of them twice, and total the stored months."""
+    path = _appended(spark, folder)
+    sales = batches.read_batches(spark, path)
+    return _months(sales)
+
+
+def _appended(spark: SparkSession, folder: str) -> str:
+    path = fresh_path(spark, "appended")
+    sales = sales_view(spark, folder, exact=False)
+    early = F.coalesce(F.col("date") < CUT_DAY, F.lit(True))
+    batches.append_batch(sales.where(early), path, "early")
+    batches.append_batch(sales.where(~early), path, "late")
+    batches.append_batch(sales.where(early), path, "early")
+    return path
+
+
+def from_appended_parts(operator) -> Callable[[SparkSession, str], DataFrame]:
+    """An analysis of the parts that the appended batches keep."""
+    return lambda spark, folder: operator(batches.read_parts(spark, _appended(spark, folder)))
+
+
+def file_summary_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """Write the sales and take their number and dates from the files' statistics."""
+    path = fresh_path(spark, "summed-up")
+    tables.write_sales(sales_view(spark, folder, ("transaction_id", "date")), path)
+    return file_summary(spark, path)
+
+
+def _months(sales: DataFrame) -> DataFrame:
     year, month = FOLDER_COLUMNS
     return (
-        tables.read_sales(spark, path)
-        .groupBy(F.col(year).alias("year"), F.col(month).alias("month"))
+        sales.groupBy(F.col(year).alias("year"), F.col(month).alias("month"))
         .agg(F.count("*").alias("transaction_count"), F.sum("total_amount").cast("double").alias("total_sales"))
     )
 
 
+MONTHS_SQL = with_sales(
+    """
+SELECT CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
+  COUNT(*) AS transaction_count, CAST(SUM(total_amount) AS DOUBLE) AS total_sales
+FROM sales GROUP BY 1, 2"""
+)
+
+ADDITIVE = """region_sales region_metrics region_channel monthly_region_sales product_performance product_monthly
+product_profitability product_region""".split()
+WHOLE_TABLE_SQL = {query.name: query.sql for query in notebook.QUERIES}
+
 QUERIES: list[Query] = [
     rule(
         "net_amount",
@@ -222,14 +260,15 @@ SELECT transaction_id, date, DATE '{REFERENCE_DAY}' - {book.HISTORY_DAYS} AS win
 FROM translated""",
         "transaction_id date",
     ),
+    Query("written_months", written_months_frame, MONTHS_SQL),
+    Query("appended_months", appended_months_frame, MONTHS_SQL),
     Query(
-        "written_months",
-        written_months_frame,
-        with_sales(
-            """
-SELECT CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
-  COUNT(*) AS transaction_count, CAST(SUM(total_amount) AS DOUBLE) AS total_sales
-FROM sales GROUP BY 1, 2"""
-        ),
+        "file_summary",
+        file_summary_frame,
+        with_sales("SELECT COUNT(*) AS n, MIN(date) AS min_date, MAX(date) AS max_date FROM sales"),
     ),
+    *[
+        Query(f"appended_{name}", from_appended_parts(getattr(additive, name)), WHOLE_TABLE_SQL[name])
+        for name in ADDITIVE
+    ],
 ]

@@ -15,7 +15,7 @@ partitions of the left (fact) side.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,11 +91,13 @@ def sales_view(
     columns: Iterable[str] = SALES_COLUMNS,
     exact: bool = True,
     labels: Mapping[str, Mapping[str, str]] | None = None,
+    read: Callable[[SparkSession, str, str], DataFrame] = table,
 ) -> DataFrame:
     """The sales table, limited to ``columns``, in documented column order.
 
     Money is decimal, or with ``exact=False`` the double it is documented as.  ``labels``
-    translates dimension columns, once per dimension row, before the joins.
+    translates dimension columns, once per dimension row, before the joins.  ``read`` gives
+    a star table by session, folder and name.
     """
     wanted = set(columns)
     if unknown := wanted - set(SALES_COLUMNS):
@@ -107,7 +109,7 @@ def sales_view(
         return [*keys, *(f"{sql} as {name}" for name, sql in named.items() if name in wanted)]
 
     def join(fact: DataFrame, name: str, fact_key: str, key: str, picked: list[str]) -> DataFrame:
-        dimension = table(spark, folder, name).selectExpr(picked)
+        dimension = read(spark, folder, name).selectExpr(picked)
         return fact.join(dimension, fact[fact_key] == dimension[key], "left")
 
     from_region = wanted & REGION_COLUMNS.keys()
@@ -118,13 +120,13 @@ def sales_view(
     line_keys += ["l_partkey"] if wanted & PART_COLUMNS.keys() else []
     line_keys += ["l_suppkey"] if wanted & SUPPLIER_COLUMNS.keys() else []
     measures = LINE_COLUMNS if exact else LINE_COLUMNS_AS_DOUBLE
-    sales = table(spark, folder, "lineitem").selectExpr(pick(measures, *line_keys))
+    sales = read(spark, folder, "lineitem").selectExpr(pick(measures, *line_keys))
     if from_order:
         order_keys = ["o_orderkey", "o_custkey"] if from_customer else ["o_orderkey"]
-        orders = table(spark, folder, "orders").selectExpr(pick(ORDER_COLUMNS, *order_keys))
+        orders = read(spark, folder, "orders").selectExpr(pick(ORDER_COLUMNS, *order_keys))
         if from_customer:
             customer_keys = ["c_custkey", "c_nationkey"] if from_region else ["c_custkey"]
-            buyers = table(spark, folder, "customer").selectExpr(pick(CUSTOMER_COLUMNS, *customer_keys))
+            buyers = read(spark, folder, "customer").selectExpr(pick(CUSTOMER_COLUMNS, *customer_keys))
             if from_region:
                 buyers = join(buyers, "nation", "c_nationkey", "n_nationkey", ["n_nationkey", "n_regionkey"])
                 buyers = join(buyers, "region", "n_regionkey", "r_regionkey", pick(REGION_COLUMNS, "r_regionkey"))
@@ -161,3 +163,20 @@ def salespeople(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "supplier").selectExpr(
         *(f"{sql} as {name}" for name, sql in SUPPLIER_COLUMNS.items())
     )
+
+
+# Tables that are joined on a key of the line items, and that key on either side.
+PAIRED = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+
+
+def write_bucketed(spark: SparkSession, folder: str, database: str, buckets: int) -> None:
+    """Save line items and orders as catalog tables bucketed by order, so that the largest join needs
+    no exchange from then on.  Choose ``buckets`` so that a bucket of line items fits a task."""
+    for name, key in PAIRED.items():
+        rows = table(spark, folder, name).repartition(buckets, key)
+        rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(f"{database}.{name}")
+
+
+def from_bucketed(database: str) -> Callable[[SparkSession, str, str], DataFrame]:
+    """A ``read`` for :func:`sales_view`: the bucketed tables by name, the others from the folder."""
+    return lambda spark, folder, name: spark.table(f"{database}.{name}") if name in PAIRED else table(spark, folder, name)
