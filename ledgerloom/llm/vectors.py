@@ -1,16 +1,19 @@
-"""Near-duplicate vectors by comparison within overlapping shards.
+"""Near-duplicate vectors by robust-pruned graphs on overlapping shards.
 
-Vectors with the same label are dealt to overlapping shards around centers, and all pairs of
-a shard are compared in double precision, so a pair is lost only if its vectors share no shard.
-The recall of the links is audited against brute force on a sample, and the vectors are dealt
-again with more overlap if it is low, in the end all in one shard.
+Vectors with the same label are dealt to overlapping shards around centers.  Each shard builds a
+robust-pruned graph of its vectors; a vector's adjacency lists from all its shards are united.  Every
+vector is then searched for in the graphs of its shards: a greedy walk from the medoid, and
+from all that is in range, the vector's own neighbours to begin with, everything around it
+until nothing more is in range.  Cosines are taken in double precision.
+
+Two audits guard the links.  A shard compares some of its vectors with all of them, and where the search
+missed a link it compares all pairs instead.  Over all shards, the recall of the links is
+measured against brute force on a sample, and the vectors are dealt again with more
+overlap if it is low, in the end all in one shard.
 
 Equal vectors are one class.  A shard with more vectors than a task should hold is cut into
-parts: each part meets all of the shard's vectors in blocks, so a dense group needs no single
+parts with a graph each, and any two parts search each other, so a dense group needs no single
 large task and loses no link.
-
-The robust-pruned graph and its search (``robust_pruned`` to ``searched``) stand for themselves:
-a greedy walk can miss groups, so links do not depend on it.
 """
 
 from __future__ import annotations
@@ -33,12 +36,14 @@ SAMPLE_PER_CENTER = 4
 DEGREE = 24
 BACKWARD = 4  # nearest neighbours that link back, so that every vector can be reached
 SPREAD = 1.2  # robust pruning: how much nearer a neighbour must be to rule one out
-BEAM = 64
+BEAM = 16  # the walk; what is in range is followed without limit
+CHECKED = 128  # vectors of a part compared with all of another, to audit the search
 OVERLAPS = (2, 4, 8)
 AUDITED = 200  # vectors with a true link
 MOST_ASKED = 8192  # vectors compared with all at a time
 LEAST_RECALL = 0.95
 PAIRS_AT_A_TIME = 400_000
+CELLS_AT_A_TIME = 4_000_000  # of vectors by centers
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -88,8 +93,11 @@ def padded(lists: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def searched(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM) -> np.ndarray:
-    """Boolean query x row: the rows in range that a search from the medoid finds."""
+def searched(
+    x: np.ndarray, lists: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM, near_by: tuple[np.ndarray, np.ndarray] | None = None
+) -> np.ndarray:
+    """Boolean query x row: the rows in range that a search from the medoid finds, and from the pairs
+    (query, row) in ``near_by``."""
     n, m = len(x), len(queries)
     seen = np.zeros((m, n), bool)
     found = np.zeros((m, n), bool)
@@ -102,6 +110,10 @@ def searched(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, least: float
     ids[:, 0], near[:, 0] = start, queries @ x[start]
     seen[:, start] = True
     found[:, start] = near[:, 0] >= least
+    if near_by is not None:
+        who, to = near_by
+        seen[who, to] = True
+        found[who, to] |= np.einsum("ij,ij->i", queries[who], x[to]) >= least
     while True:  # greedy walk, all queries at once
         closed = (ids < 0) | opened[rows[:, None], ids]
         best = np.where(closed, -np.inf, near).argmax(axis=1)
@@ -148,45 +160,111 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
 
 
-def _compare_with(least: float):
-    def run(table: pa.Table) -> pa.Table:
-        """Links of a block of queries with all vectors of one part: per query the vectors linked
-        (where this shard is the first that both are in) and a vector to be grouped with."""
-        x = unit(_matrix(table.column("embedding")))
-        ids, times = table.column("cls").to_numpy(), table.column("times").to_numpy()
-        node = np.flatnonzero(table.column("is_node").to_numpy(zero_copy_only=False))
-        query = np.flatnonzero(table.column("is_query").to_numpy(zero_copy_only=False))
-        node = node[np.argsort(ids[node])]
-        names = ids[node]
+def _neighbours(table: pa.Table) -> pa.Table:
+    """The adjacency lists of one part's graph."""
+    ids = table.column("cls").to_numpy()
+    lists = with_links_back(robust_pruned(unit(_matrix(table.column("embedding")))))
+    return pa.table({"cls": pa.array(ids), "neighbours": pa.array([ids[own] for own in lists], pa.list_(pa.int64()))})
+
+
+class _Part:
+    """The vectors of one part in the order of their ids, with their adjacency lists."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by("cls")
+        self.x, self.ids = unit(_matrix(table.column("embedding"))), table.column("cls").to_numpy()
+        self.times = table.column("times").to_numpy()
         shards = table.column("shards").to_pylist()
         width = max(map(len, shards))
-        member = np.array([s + [-1] * (width - len(s)) for s in shards])
+        self.shards = np.array([s + [-1] * (width - len(s)) for s in shards])
+        lists = table.column("neighbours").to_pylist()
+        self.owner = np.repeat(np.arange(len(lists)), [len(own) for own in lists])
+        self.neighbour = np.array([i for own in lists for i in own], np.int64)
+
+    def placed_in(self, other: _Part) -> tuple[np.ndarray, np.ndarray]:
+        """(own number, number in the other part) of all adjacencies that end there."""
+        at = np.searchsorted(other.ids, self.neighbour).clip(0, len(other.ids) - 1)
+        there = other.ids[at] == self.neighbour
+        return self.owner[there], at[there]
+
+    def lists(self) -> np.ndarray:
+        owner, at = self.placed_in(self)
+        cuts = np.searchsorted(owner, np.arange(1, len(self.ids)))
+        return padded(np.split(at, cuts))
+
+
+def _missed(found: np.ndarray, x: np.ndarray, y: np.ndarray, least: float, same: bool) -> bool:
+    """Whether an even choice of the rows has a link that was not found."""
+    some = np.unique(np.linspace(0, len(x) - 1, CHECKED).astype(np.int64))
+    true = x[some] @ y.T >= least
+    if same:
+        true[np.arange(len(some)), some] = False
+    return bool((true & ~found[some]).any())
+
+
+def found_between(one: _Part, other: _Part, least: float) -> np.ndarray:
+    """Boolean matrix of the links between two parts, or within one if they are the same."""
+    if one is other:
+        own = np.arange(len(one.ids))
+        found = searched(one.x, one.lists(), one.x, least, near_by=(own, own))
+        found |= found.T
+        np.fill_diagonal(found, False)
+    else:
+        found = searched(one.x, one.lists(), other.x, least, near_by=other.placed_in(one)).T
+        found |= searched(other.x, other.lists(), one.x, least, near_by=one.placed_in(other))
+    same = one is other
+    if _missed(found, one.x, other.x, least, same) or (not same and _missed(found.T, other.x, one.x, least, same)):
+        found = one.x @ other.x.T >= least
+        if same:
+            found |= found.T
+            np.fill_diagonal(found, False)
+    return found
+
+
+def _search_with(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Links between the two parts of a meeting, or within one: per vector the vectors linked (where
+        this shard is the first that both are in) and a vector to be grouped with."""
+        numbers = table.column("part").to_numpy()
+        first = _Part(table.filter(pa.array(numbers == numbers.min())))
+        other = first if (numbers == numbers[0]).all() else _Part(table.filter(pa.array(numbers == numbers.max())))
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        none = pa.table({"cls": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
+        if low != high and first is other:
+            return none  # the other part has no vectors
         here = table.column("shard")[0].as_py()
+        who, at = np.nonzero(found_between(first, other, least))
         # A pair that meets in several shards is found in each and counted in the first of them.
-        found = x[query] @ x[node].T >= least
-        mine = np.searchsorted(names, ids[query]).clip(0, len(names) - 1)
-        is_both = names[mine] == ids[query]
-        who, at = np.nonzero(found & (ids[query][:, None] != names[None, :]))
-        first = np.ones(len(who), bool)
-        for a in range(width):
-            own = member[query[who], a]
-            for b in range(width):
-                first &= ~((own >= 0) & (own < here) & (own == member[node[at], b]))
-        n_links = np.bincount(who[first], weights=times[node[at[first]]], minlength=len(query)).astype(np.int64)
-        lowest = ids[query].copy()
-        np.minimum.at(lowest, who, names[at])
-        # Enough edges to join every group of this block: each vector with its lowest
-        # neighbour, and the lowest neighbours of linked vectors with each other.
-        low = names.copy()
-        low[mine[is_both]] = lowest[is_both]
-        ends = np.concatenate([np.stack([ids[query], lowest], 1), np.stack([lowest[who], low[at]], 1)])
-        ends = np.unique(np.sort(ends[ends[:, 0] != ends[:, 1]], axis=1), axis=0)
-        linked = np.flatnonzero(n_links)
-        none = [None] * len(linked)
-        out_ids = [*ids[query[linked]].tolist(), *ends[:, 1].tolist()]
-        links = [*n_links[linked].tolist(), *[0] * len(ends)]
-        to = [*none, *ends[:, 0].tolist()]
-        return pa.table({"cls": pa.array(out_ids, pa.int64()), "links": pa.array(links, pa.int64()), "other": pa.array(to, pa.int64())})
+        counted = np.ones(len(who), bool)
+        for a in range(first.shards.shape[1]):
+            own = first.shards[who, a]
+            for b in range(other.shards.shape[1]):
+                counted &= ~((own >= 0) & (own < here) & (own == other.shards[at, b]))
+        links: dict[int, int] = {}
+        sums = [(first, who, other.times[at])] + ([(other, at, first.times[who])] if other is not first else [])
+        for part, rows, times in sums:
+            n = np.bincount(rows[counted], weights=times[counted], minlength=len(part.ids)).astype(np.int64)
+            links |= {int(part.ids[i]): int(n[i]) for i in np.flatnonzero(n)}
+        # Enough edges to join every group: each vector with the smallest one it is joined with here.
+        ids = np.unique(np.concatenate([first.ids, other.ids]))
+        u, v = np.searchsorted(ids, first.ids[who]), np.searchsorted(ids, other.ids[at])
+        root = np.arange(len(ids))
+        while True:
+            smaller = root.copy()
+            np.minimum.at(smaller, u, root[v])
+            np.minimum.at(smaller, v, root[u])
+            smaller = smaller[smaller]
+            if (smaller == root).all():
+                break
+            root = smaller
+        ends = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table(
+            {
+                "cls": pa.array([*links, *ids[ends].tolist()], pa.int64()),
+                "links": pa.array([*links.values(), *[0] * len(ends)], pa.int64()),
+                "other": pa.array([*[None] * len(links), *ids[root[ends]].tolist()], pa.int64()),
+            }
+        )
 
     return run
 
@@ -229,6 +307,16 @@ def _centers(classes: DataFrame) -> dict[tuple, np.ndarray]:
     return out
 
 
+def _nearest(cosines: np.ndarray, most: int) -> list[list[int]]:
+    """Numbers of the ``most`` largest in each row, the largest first, ties by number."""
+    if most < cosines.shape[1]:
+        kept = np.sort(np.argpartition(-cosines, most - 1, axis=1)[:, :most], axis=1)
+    else:
+        kept = np.broadcast_to(np.arange(cosines.shape[1]), cosines.shape)
+    order = np.argsort(-np.take_along_axis(cosines, kept, 1), axis=1, kind="stable")
+    return np.take_along_axis(kept, order, 1).tolist()
+
+
 def _sharded(classes: DataFrame, centers: dict, overlap: int) -> DataFrame:
     """Add ``shards``: the numbers of the ``overlap`` nearest centers, the nearest first."""
     share = classes.sparkSession.sparkContext.broadcast(centers)
@@ -241,10 +329,10 @@ def _sharded(classes: DataFrame, centers: dict, overlap: int) -> DataFrame:
             shards: list[list[int]] = [[0]] * len(keys)
             for key in set(keys) & known.keys():
                 own = [i for i, k in enumerate(keys) if k == key]
-                near = unit(_matrix(table.column("embedding").take(pa.array(own)))) @ known[key].T
-                best = np.argsort(-near, axis=1, kind="stable")[:, :overlap]
-                for i, row in zip(own, best.tolist()):
-                    shards[i] = row
+                x, step = unit(_matrix(table.column("embedding").take(pa.array(own)))), max(1, CELLS_AT_A_TIME // len(known[key]))
+                for start in range(0, len(own), step):
+                    for i, row in zip(own[start : start + step], _nearest(x[start : start + step] @ known[key].T, overlap)):
+                        shards[i] = row
             yield batch.append_column("shards", pa.array(shards, pa.list_(pa.int32())))
 
     schema = StructType([*classes.schema.fields, StructField("shards", ArrayType(IntegerType()))])
@@ -265,19 +353,15 @@ def _linked(classes: DataFrame, centers: dict, overlap: int, least: float) -> Da
     members = members.join(counts, met).drop("c_label", "c_dim", "c_shard")
     members = members.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     members = staged(members, "vector-parts")
-    # Each part meets each block of the shard's queries; a block is a part's members.
+    lists = members.groupBy(*keys, "part").applyInArrow(_neighbours, "cls bigint, neighbours array<bigint>")
+    # A vector has a list from each of its shards, of which there are ``overlap`` at most.
+    united = lists.groupBy(F.col("cls").alias("of_cls")).agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
+    members = staged(members.join(united, F.col("cls") == F.col("of_cls")).drop("of_cls"), "vector-graph")
+    # Each part meets every part of its shard, itself included.
     every = F.sequence(F.lit(0), F.col("parts") - 1)
-    meetings = F.flatten(
-        F.array(
-            F.transform(every, lambda b: F.struct(F.col("part").alias("graph"), b.alias("block"), F.lit(True).alias("is_node"), (b == F.col("part")).alias("is_query"))),
-            F.transform(
-                F.filter(every, lambda g: g != F.col("part")),
-                lambda g: F.struct(g.alias("graph"), F.col("part").alias("block"), F.lit(False).alias("is_node"), F.lit(True).alias("is_query")),
-            ),
-        )
-    )
-    placed = members.select(*keys, "cls", "times", "embedding", "shards", F.inline(meetings))
-    return placed.groupBy(*keys, "graph", "block").applyInArrow(_compare_with(least), "cls bigint, links bigint, other bigint")
+    meetings = F.transform(every, lambda b: F.struct(F.least("part", b).alias("low"), F.greatest("part", b).alias("high")))
+    placed = members.select(*keys, "cls", "times", "embedding", "shards", "neighbours", "part", F.inline(meetings))
+    return placed.groupBy(*keys, "low", "high").applyInArrow(_search_with(least), "cls bigint, links bigint, other bigint")
 
 
 def _recall(classes: DataFrame, links: DataFrame, least: float) -> float:
