@@ -11,7 +11,7 @@ are not hashed; that leaves out nothing that could be found.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -23,6 +23,8 @@ LEAST_SIMILARITY = 0.8
 RADIUS = 19
 BLOCKS = 10  # 2 * BLOCKS > RADIUS: some block differs by one bit at most
 ITEM_CHARS_AT_A_TIME = 16_000_000
+PAIRS_AT_A_TIME = 2_000_000  # of windows and items
+WINDOWS_AT_A_TIME = 20_000
 
 # Bytes that are no part of a word become spaces; bytes from 0x80 on belong to words.
 _CLEAN = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -62,69 +64,126 @@ def window_prints(shingles: np.ndarray, starts: np.ndarray, length: int) -> np.n
 
 
 class MultiIndex:
-    """Fingerprints of items, found by any that is within RADIUS bits."""
+    """Fingerprints of items, found by any that is within RADIUS bits.
+
+    For each block of bits the items stand in the order of their value there, so those with a
+    value, or with one that differs by a bit, are looked up as slices.  Queries are taken a few at a
+    time, so that memory does not grow with queries times items.
+    """
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
         self.tables = []
         for lo, hi in zip(_EDGES, _EDGES[1:]):
             width = int(hi - lo)
-            own = prints >> np.uint64(lo) & np.uint64((1 << width) - 1)
-            values = np.arange(1 << width, dtype=np.uint64)
-            self.tables.append(np.bitwise_count(values[:, None] ^ own[None, :]) <= 1)
+            own = (prints >> np.uint64(lo) & np.uint64((1 << width) - 1)).astype(np.int64)
+            order = np.argsort(own, kind="stable").astype(np.int32)
+            starts = np.searchsorted(own[order], np.arange((1 << width) + 1))
+            changes = np.array([0, *[1 << b for b in range(width)]])
+            self.tables.append((order, starts, changes))
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query number, item number) of all pairs within the radius."""
-        met = np.zeros((len(queries), len(self.prints)), bool)
-        for (lo, hi), table in zip(zip(_EDGES, _EDGES[1:]), self.tables):
-            met |= table[(queries >> np.uint64(lo) & np.uint64((1 << int(hi - lo)) - 1)).astype(np.int64)]
-        query, item = np.nonzero(met)
-        near = np.bitwise_count(queries[query] ^ self.prints[item]) <= RADIUS
-        return query[near], item[near]
+        step = max(1, PAIRS_AT_A_TIME // max(1, len(self.prints)))
+        parts = [self._search(queries[at : at + step], at) for at in range(0, len(queries), step)]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([q for q, _ in parts]), np.concatenate([i for _, i in parts])
+
+    def _search(self, queries: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        near_pairs = []
+        n = len(self.prints)
+        for (lo, hi), (order, starts, changes) in zip(zip(_EDGES, _EDGES[1:]), self.tables):
+            value = (queries >> np.uint64(lo) & np.uint64((1 << int(hi - lo)) - 1)).astype(np.int64)
+            looked = value[:, None] ^ changes[None, :]
+            sizes = (starts[looked + 1] - starts[looked]).ravel()
+            query = np.repeat(np.repeat(np.arange(len(queries)), len(changes)), sizes)
+            item = order[np.repeat(starts[looked].ravel() - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(query))]
+            near = np.bitwise_count(queries[query] ^ self.prints[item]) <= RADIUS
+            near_pairs.append(query[near] * n + item[near])
+        pairs = np.unique(np.concatenate(near_pairs))
+        return pairs // n + first, pairs % n
+
+
+class SizedItems:
+    """Items of one number of words: their fingerprints and weighted shingles, as arrays."""
+
+    def __init__(self, n: int, items: list[tuple[int | None, np.ndarray]]):
+        self.n, self.length = n, min(SHINGLE_WORDS, n)
+        self.ids = [item_id for item_id, _ in items]
+        shingles = [shingle_hashes(hashes, self.length) for _, hashes in items]
+        self.index = MultiIndex(np.concatenate([window_prints(s, np.array([0]), len(s)) for s in shingles]))
+        bags = [np.unique(s, return_counts=True) for s in shingles]
+        self.bag_starts = np.cumsum([0, *[len(k) for k, _ in bags]])
+        self.bag_keys = np.concatenate([k for k, _ in bags])
+        self.bag_counts = np.concatenate([c for _, c in bags]).astype(np.int32)
+        # shingle -> items that hold it
+        owner = np.repeat(np.arange(len(bags), dtype=np.int32), np.diff(self.bag_starts))
+        order = np.argsort(self.bag_keys, kind="stable")
+        self.holders = owner[order]
+        self.keys, self.holder_starts = np.unique(self.bag_keys[order], return_index=True)
+        self.holder_starts = np.append(self.holder_starts, len(order))
+
+    def similarities(self, shingles: np.ndarray, starts: np.ndarray, items: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pairs (window start, item) that reach LEAST_SIMILARITY, and how similar they are."""
+        # At most the places in the window that hold a shingle of the item are shared.
+        at = np.searchsorted(self.keys, shingles)
+        at[at == len(self.keys)] = 0
+        place = np.flatnonzero(self.keys[at] == shingles)
+        held = self.holder_starts[at[place] + 1] - self.holder_starts[at[place]]
+        holder = self.holders[np.repeat(self.holder_starts[at[place]] - (np.cumsum(held) - held), held) + np.arange(held.sum())]
+        wide = len(shingles) + size + 1
+        marks = np.sort(holder.astype(np.int64) * wide + np.repeat(place, held))
+        most = np.searchsorted(marks, items * wide + starts + size) - np.searchsorted(marks, items * wide + starts)
+        own = np.minimum(size, len(shingles) - starts)
+        both = own + (self.n - self.length + 1)
+        good = np.flatnonzero(most >= np.ceil(LEAST_SIMILARITY / (1 + LEAST_SIMILARITY) * both - 1e-9))
+        found = np.zeros(len(good))
+        for k, pair in enumerate(good.tolist()):
+            start, item = int(starts[pair]), int(items[pair])
+            keys, counts = np.unique(shingles[start : start + size], return_counts=True)
+            bag = slice(int(self.bag_starts[item]), int(self.bag_starts[item + 1]))
+            own_keys, own_counts = self.bag_keys[bag], self.bag_counts[bag]
+            where = np.searchsorted(own_keys, keys).clip(0, len(own_keys) - 1)
+            shared = int(np.minimum(counts, own_counts[where])[own_keys[where] == keys].sum())
+            found[k] = shared / (int(both[pair]) - shared)
+        real = found >= LEAST_SIMILARITY
+        return good[real], found[real]
 
 
 class ItemIndex:
     """Items of one block, by number of words."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         self.words: dict[bytes, int] = {}
-        self.sized = defaultdict(list)
+        sized = defaultdict(list)
         for item_id, text in items:
             words = words_of(text)
             for word in words:
                 self.words.setdefault(word, len(self.words) + 1)
             if words:
-                self.sized[len(words)].append((item_id, words))
+                sized[len(words)].append((item_id, np.array([_word_hash(w) for w in words], np.uint64)))
         self.hash_of = np.array([0, *map(_word_hash, self.words)], np.uint64)
-        self.parts = {}
-        by_length = defaultdict(list)
-        for n, own in self.sized.items():
-            length = min(SHINGLE_WORDS, n)
-            shingles = [shingle_hashes(np.array([_word_hash(w) for w in words], np.uint64), length) for _, words in own]
-            prints = np.concatenate([window_prints(s, np.array([0]), len(s)) for s in shingles])
-            bags = [Counter(s.tolist()) for s in shingles]
-            self.parts[n] = (length, [i for i, _ in own], bags, MultiIndex(prints))
-            for s in shingles:
-                by_length[length].append((s, n))
-        # shingle -> sizes of the items that hold it
+        self.sized = {n: SizedItems(n, own) for n, own in sorted(sized.items())}
+        # shingle length -> (shingles, and for each the sizes of the items that hold it)
         self.postings = {}
-        for length, lists in by_length.items():
-            sizes = defaultdict(set)
-            for shingles, n in lists:
-                for s in shingles.tolist():
-                    sizes[s].add(n)
-            keys = np.array(sorted(sizes), np.uint64)
-            self.postings[length] = (keys, [sorted(sizes[k]) for k in keys.tolist()])
-
-    def matches(self, text: str | None) -> list[tuple[int, int, int, float]]:
+        for length in sorted({own.length for own in self.sized.values()}):
+            some = [own for own in self.sized.values() if own.length == length]
+            keys = np.concatenate([own.keys for own in some])
+            sizes = np.repeat(np.array([own.n for own in some], np.int32), [len(own.keys) for own in some])
+            order = np.argsort(keys, kind="stable")
+            unique, starts = np.unique(keys[order], return_index=True)
+            self.postings[length] = unique, np.append(starts, len(order)), sizes[order]
+
+    def matches(self, text: str | None) -> list[tuple[int | None, int, int, float]]:
         """(item, first word, words, similarity) of each item found, at its best window."""
         words = words_of(text)
         if not words or not self.words:
             return []
         known = np.array([self.words.get(w, 0) for w in words], np.int64)
-        found: dict[int, tuple[float, int, int]] = {}
+        found: dict[int | None, tuple[float, int, int]] = {}
         hashes = None
-        for length, (keys, sizes) in self.postings.items():
+        for length, (keys, starts, sizes) in self.postings.items():
             if len(words) < length:
                 continue
             whole = np.lib.stride_tricks.sliding_window_view(known > 0, length).all(axis=1)
@@ -142,39 +201,51 @@ class ItemIndex:
                 continue
             if hashes is None:
                 hashes = np.array([_word_hash(w) for w in words], np.uint64)
-            around = defaultdict(list)
-            for p, k in zip(at[hit].tolist(), place[hit].tolist()):
-                for n in sizes[k]:
-                    around[n].append(p)
-            for n, places in around.items():
-                self._windows(n, length, np.array(places), hashes, found)
-        return [(i, start, n, s) for i, (s, start, n) in sorted(found.items())]
-
-    def _windows(self, n, length, places, hashes, found):
-        """Look at all windows of n words that hold a shingle at one of the places."""
-        _, ids, bags, index = self.parts[n]
+            at, place = at[hit], place[hit]
+            many = starts[place + 1] - starts[place]
+            size = sizes[np.repeat(starts[place] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            around = np.repeat(at, many)
+            for n in np.unique(size).tolist():
+                self._windows(self.sized[n], around[size == n], hashes, found)
+        return [(i, start, n, s) for i, (s, start, n) in sorted(found.items(), key=lambda x: (x[0] is None, x[0] or 0))]
+
+    def _windows(self, items: SizedItems, places: np.ndarray, hashes: np.ndarray, found: dict) -> None:
+        """Look at all windows of the items' size that hold a shingle at one of the places."""
+        n, size = items.n, items.n - items.length + 1
         last = max(0, len(hashes) - n)
-        size = n - length + 1
-        starts = np.unique((places[:, None] - np.arange(size)[None, :]).clip(0, last))
+        # windows from ``place - size + 1`` to ``place`` hold the shingle there
+        change = np.zeros(last + 2, np.int64)
+        np.add.at(change, (places - size + 1).clip(0, last), 1)
+        np.add.at(change, places.clip(0, last) + 1, -1)
+        starts = np.flatnonzero(np.cumsum(change[:-1]) > 0)
         # runs of starts, so that only the words around the places are hashed
-        for run in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):
-            low = int(run[0])
-            shingles = shingle_hashes(hashes[low : int(run[-1]) + n], length)
-            prints = window_prints(shingles, run - low, size)
-            for query, item in zip(*index.search(prints)):
-                start = int(run[query])
-                bag = Counter(shingles[start - low : start - low + size].tolist())
-                shared = sum((bag & bags[item]).values())
-                similarity = shared / (bag.total() + bags[item].total() - shared)
-                old = found.get(ids[item])
-                if similarity >= LEAST_SIMILARITY and (old is None or (similarity, -start) > (old[0], -old[1])):
-                    found[ids[item]] = (similarity, start, n)
+        cuts = np.flatnonzero(np.diff(starts) > n) + 1
+        for run in np.split(starts, cuts):
+            for at in range(0, len(run), WINDOWS_AT_A_TIME):
+                self._run(items, run[at : at + WINDOWS_AT_A_TIME], hashes, found)
+
+    def _run(self, items: SizedItems, run: np.ndarray, hashes: np.ndarray, found: dict) -> None:
+        size, low = items.n - items.length + 1, int(run[0])
+        shingles = shingle_hashes(hashes[low : int(run[-1]) + items.n], items.length)
+        prints, same = np.unique(window_prints(shingles, run - low, size), return_inverse=True)
+        query, item = items.index.search(prints)
+        # equal windows were looked up once; every one of them is compared
+        order = np.argsort(same, kind="stable")
+        begins = np.searchsorted(same[order], np.arange(len(prints) + 1))
+        many = begins[query + 1] - begins[query]
+        window = order[np.repeat(begins[query] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        starts, item = run[window] - low, np.repeat(item, many)
+        for pair, similarity in zip(*(x.tolist() for x in items.similarities(shingles, starts, item, size))):
+            start, item_id = int(starts[pair]) + low, items.ids[item[pair]]
+            old = found.get(item_id)
+            if old is None or (similarity, -start) > (old[0], -old[1]):
+                found[item_id] = (similarity, start, items.n)
 
 
 def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"):
-    """The benchmark in blocks of bounded size, each as an index.  Null ids and texts, and
-    texts without a word, can't be found and are left out."""
-    items = benchmark.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    """The benchmark in blocks of bounded size, each as an index.  Null texts, and texts without a
+    word, can't be found."""
+    items = benchmark.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("t")).where("t IS NOT NULL")
     total = items.agg(F.sum(F.char_length("t"))).first()[0] or 0
     blocks = total // ITEM_CHARS_AT_A_TIME + 1
     for block in range(blocks):
@@ -189,7 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, carried: list[str], text
     An item is found where a window of as many words reaches weighted shingle similarity
     0.8; items of fewer than five words must be met as a whole.  A document shorter than an
     item is one window.  Null and empty texts hold nothing.  Repeated documents are each
-    reported, repeated items once per id.  An empty benchmark or no documents: no rows.  The
+    reported, repeated items once per id, and items without id together with a null one.  An empty benchmark or no documents: no rows.  The
     benchmark is a query set: it goes to the tasks in blocks of bounded size, one pass over
     the documents per block.
     """
@@ -197,8 +268,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, carried: list[str], text
     for index in item_blocks(benchmark):
         part = _searched(docs, index, carried, text).where("found IS NOT NULL")
         found = part if found is None else found.union(part)
-    schema = "array<struct<item_id:bigint,first_word:bigint,n_words:bigint,similarity:double>>"
-    return found.select(*[F.col(f"`{c}`") for c in carried], F.inline(F.from_json("found", schema)))
+    return found.select(*[F.col(f"`{c}`") for c in carried], F.inline("found"))
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -214,13 +284,9 @@ def _searched(docs: DataFrame, index: ItemIndex, carried: list[str], text: str)
 
     def make():
         known = share.value
-        return lambda texts: [[_packed(known.matches(t)) for t in texts]]
-
-    return over_texts(docs, carried, text, "found string", make)
-
+        names = ("item_id", "first_word", "n_words", "similarity")
+        packed = lambda found: [dict(zip(names, row)) for row in found] or None
+        return lambda texts: [[packed(known.matches(t)) for t in texts]]
 
-def _packed(found: list[tuple[int, int, int, float]]) -> str | None:
-    if not found:
-        return None
-    rows = ",".join(f'{{"item_id":{i},"first_word":{a},"n_words":{n},"similarity":{s!r}}}' for i, a, n, s in found)
-    return f"[{rows}]"
+    schema = "found array<struct<item_id:bigint,first_word:bigint,n_words:bigint,similarity:double>>"
+    return over_texts(docs, carried, text, schema, make)

@@ -88,3 +88,55 @@ def test_nothing_to_find(table_of):
     assert benchmarks.contaminated(table_of(docs, DOCS), table_of(items, ITEMS).limit(0), ["doc_id"]).count() == 0
     assert benchmarks.contaminated(table_of(docs, DOCS).limit(0), table_of(items, ITEMS), ["doc_id"]).count() == 0
     assert benchmarks.uncontaminated(table_of(docs, DOCS), table_of(items, ITEMS).limit(0)).count() == len(docs)
+
+
+def test_items_without_id_are_found_too(table_of, spark):
+    docs = [(1, "a b c d e f g h"), (2, "p q r s t u v w"), (3, "nothing of it")]
+    items = [(None, "A b c d e f g h"), (None, "p q r s t u v w"), (7, "p q r s t u v w")]
+    got = benchmarks.contaminated(table_of(docs, DOCS), table_of(items, ITEMS), ["doc_id"]).select("doc_id", "item_id", "similarity").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, None, 1.0), (2, None, 1.0), (2, 7, 1.0)], key=repr)
+    kept = benchmarks.uncontaminated(table_of(docs, DOCS, extra=False), table_of(items, ITEMS))
+    assert [r["doc_id"] for r in kept.collect()] == [3]
+
+
+def test_a_long_document_made_of_items_needs_little_memory():
+    import time
+    import tracemalloc
+
+    rng = random.Random(9)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("aeiou") + rng.choice("klmnop") + rng.choice("aeiou")
+    items = [(i, " ".join(word() for _ in range(50))) for i in range(5700)]
+    index = benchmarks.ItemIndex(items)
+    chosen = rng.sample(range(5700), 240)
+    text = " ".join(items[i][1] for i in chosen)
+    began = time.time()
+    plain = index.matches(text)
+    took = time.time() - began
+    tracemalloc.start()
+    index.matches(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    found = {i: (start, s) for i, start, _, s in plain}
+    assert {i: (50 * at, 1.0) for at, i in enumerate(chosen)}.items() <= found.items()
+    assert peak < 300 * 2**20 and took < 60, (peak, took)
+
+
+def test_every_similar_window_is_a_candidate():
+    """Recall of the fingerprints: windows of a weighted similarity of 0.8 lie within the radius."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    near = total = 0
+    for _ in range(300):
+        n = rng.randint(20, 90)
+        item = [rng.choice(words) for _ in range(n)]
+        other = list(item)
+        for _ in range(rng.randint(0, max(1, n // 40))):
+            other[rng.randrange(n)] = rng.choice(words)
+        hashes = [np.array([benchmarks._word_hash(w.encode()) for w in ws], np.uint64) for ws in (item, other)]
+        a, b = (benchmarks.shingle_hashes(h, 5) for h in hashes)
+        x, y = Counter(a.tolist()), Counter(b.tolist())
+        if (x & y).total() / (x | y).total() >= 0.8:
+            total += 1
+            prints = [benchmarks.window_prints(s, np.array([0]), len(s)) for s in (a, b)]
+            near += len(benchmarks.MultiIndex(prints[0]).search(prints[1])[0])
+    assert total > 100 and near / total > 0.99
