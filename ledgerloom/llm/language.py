@@ -9,7 +9,9 @@ buckets, and a text's score is the sum of its buckets' rows.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+import sys
+from dataclasses import dataclass, replace
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,23 +22,31 @@ BUCKETS = 2**15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 TEXTS_PER_LANGUAGE = 1500
-MOST_LANGUAGES = 100
+LANGUAGES_AT_A_TIME = 100  # columns of a matrix, 26 MB
 PIECE = 500_000  # code points scored at a time
 UNKNOWN = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+@cache
+def _not_letters() -> re.Pattern:
+    """Runs of anything but letters (category L): of what re calls a word character, these are the
+    underscore and numerals of all kinds, such as fractions and Roman numbers."""
+    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+    return re.compile(f"[\\W_{numerals}]+")
 
 
 @dataclass(frozen=True)
 class Model:
+    """Log-probabilities of a block of languages; ``more`` has the other blocks."""
+
     languages: tuple[str, ...]
     log_p: np.ndarray  # BUCKETS x languages
     prior: np.ndarray
+    more: tuple[Model, ...] = ()
 
 
 def letters_only(text: str | None) -> str:
     """Lower-cased letters; everything between words is one space, also at both ends."""
-    return f" {_NOT_LETTERS.sub(' ', (text or '').lower()).strip()} "
+    return f" {_not_letters().sub(' ', (text or '').lower()).strip()} "
 
 
 def gram_buckets(codes: np.ndarray) -> list[np.ndarray]:
@@ -89,9 +99,19 @@ def count_grams(texts: list[str | None]) -> np.ndarray:
 
 
 def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
-    """Best language and its posterior probability.  N-grams that reach from one text into
-    the next begin with a space at the end of a text; they are few and alike for all
-    languages' texts, but they are left out, so a text's score depends on it alone."""
+    """Best language of a block and its posterior probability among its languages."""
+    best, raw, mass = block_scores(texts, model)
+    names = [UNKNOWN if at is None else at for at in best]
+    return names, [0.0 if at is None else float(np.exp(r - m)) for at, r, m in zip(best, raw, mass)]
+
+
+def block_scores(texts: list[str | None], model: Model) -> tuple[list[str | None], list[float], list[float]]:
+    """For each text the best language of a block (null without a letter), the logarithm of its score, and
+    that of the sum of all the block's scores.
+
+    N-grams that reach from one text into the next begin with a space at the end of a text; they are
+    few and alike for all languages' texts, but they are left out, so a text's score depends
+    on it alone."""
     clean = [letters_only(t) for t in texts]
     total = np.tile(model.prior, (len(texts), 1))
     for codes, owner in _pieces(clean):
@@ -113,13 +133,9 @@ def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], list[
             np.add.at(total, own[starts], sums)
     best = total.argmax(axis=1)
     high = total[np.arange(len(total)), best]
-    chance = 1 / np.exp(total - high[:, None]).sum(axis=1)
-    names, scores = [], []
-    for text, at, p in zip(clean, best, chance):
-        known = bool(text.strip())
-        names.append(model.languages[at] if known else UNKNOWN)
-        scores.append(float(p) if known else 0.0)
-    return names, scores
+    mass = high + np.log(np.exp(total - high[:, None]).sum(axis=1))
+    names = [model.languages[at] if text.strip() else None for text, at in zip(clean, best)]
+    return names, high.tolist(), mass.tolist()
 
 
 def fitted(labelled: DataFrame, draw: Column, texts_per_language: int = TEXTS_PER_LANGUAGE) -> Model | None:
@@ -127,15 +143,24 @@ def fitted(labelled: DataFrame, draw: Column, texts_per_language: int = TEXTS_PE
 
     About ``texts_per_language`` whole texts per language are learnt from: those whose ``draw``,
     a hash of the row, lies in the share of all hashes that gives so many, so the sample is
-    a filter and no language is gathered to be ranked.  The priors count all rows.  More
-    than ``MOST_LANGUAGES`` languages are an error, since the matrix grows with them.
+    a filter and no language is gathered to be ranked.  The priors count all rows.  The
+    languages are learnt and later scored in blocks of LANGUAGES_AT_A_TIME, in the order of their
+    names, so no matrix grows with their number.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    shares = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(shares) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    shares = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not shares:
         return None
+    total = sum(r["n"] for r in shares)
+    blocks = [
+        _block(rows, draw, texts_per_language, shares[at : at + LANGUAGES_AT_A_TIME], total)
+        for at in range(0, len(shares), LANGUAGES_AT_A_TIME)
+    ]
+    return replace(blocks[0], more=tuple(blocks[1:]))
+
+
+def _block(rows: DataFrame, draw: Column, texts_per_language: int, shares: list, total: int) -> Model:
+    """Model of the languages in ``shares`` (lang, n), of rows of ``total`` in all."""
     limits = [x for r in shares for x in (F.lit(r["lang"]), F.lit(min(1.0, texts_per_language / r["n"])))]
     drawn = F.pmod(draw, F.lit(2**32)) / F.lit(float(2**32))
     sample = rows.where(drawn < F.element_at(F.create_map(*limits), F.col("lang"))).select("lang", "text")
@@ -156,7 +181,7 @@ def fitted(labelled: DataFrame, draw: Column, texts_per_language: int = TEXTS_PE
                 ["lang", "bucket", "n"],
             )
 
-    # At most MOST_LANGUAGES x BUCKETS small rows.
+    # At most LANGUAGES_AT_A_TIME x BUCKETS small rows; other languages have no share.
     found = (
         sample.mapInArrow(counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     )
@@ -166,7 +191,7 @@ def fitted(labelled: DataFrame, draw: Column, texts_per_language: int = TEXTS_PE
     column = np.array([place[x] for x in found.column("lang").to_pylist()], np.int64)
     matrix[found.column("bucket").to_numpy(), column] += found.column("n").to_numpy()
     n = np.array([r["n"] for r in shares], float)
-    return Model(languages, np.log(matrix / matrix.sum(axis=0)), np.log(n / n.sum()))
+    return Model(languages, np.log(matrix / matrix.sum(axis=0)), np.log(n / total))
 
 
 def with_language(frame: DataFrame, carried: list[str], text: str, model: Model | None) -> DataFrame:
@@ -177,13 +202,39 @@ def with_language(frame: DataFrame, carried: list[str], text: str, model: Model
     """
     if model is None:
         return frame.select(*[F.col(f"`{c}`") for c in carried], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    share = frame.sparkSession.sparkContext.broadcast(model)
+    if not model.more:
+        share = frame.sparkSession.sparkContext.broadcast(model)
+
+        def make():
+            known = share.value
+            return lambda texts: list(score_texts(texts, known))
+
+        return over_texts(frame, carried, text, "lang_pred string, score double", make)
+    rows = frame.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("_text"))
+    blocks = (replace(model, more=()), *model.more)
+    for k, block in enumerate(blocks):
+        rows = over_texts(rows, rows.columns, "_text", f"_best{k} string, _raw{k} double, _mass{k} double", _scoring(rows, block))
+    every = range(len(blocks))
+    raw = F.greatest(*[F.col(f"_raw{k}") for k in every])
+    # equal scores go to the block with the smaller names
+    best = F.coalesce(*[F.when(F.col(f"_raw{k}") == raw, F.col(f"_best{k}")) for k in every])
+    above = sum(F.exp(F.col(f"_mass{k}") - raw) for k in every)
+    known = F.col("_best0").isNotNull()
+    return rows.select(
+        *[F.col(f"`{c}`") for c in carried],
+        F.coalesce(best, F.lit(UNKNOWN)).alias("lang_pred"),
+        F.when(known, F.least(F.lit(1.0), 1 / above)).otherwise(0.0).alias("score"),
+    )
+
+
+def _scoring(frame: DataFrame, block: Model):
+    share = frame.sparkSession.sparkContext.broadcast(block)
 
     def make():
         known = share.value
-        return lambda texts: list(score_texts(texts, known))
+        return lambda texts: list(block_scores(texts, known))
 
-    return over_texts(frame, carried, text, "lang_pred string, score double", make)
+    return make
 
 
 def held_out(doc_id: Column) -> Column:

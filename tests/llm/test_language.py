@@ -77,7 +77,29 @@ def test_no_labels_and_no_documents(table_of):
     assert language.identified(table_of([(1, "a", "b")], SCHEMA).limit(0)).count() == 0
 
 
-def test_too_many_languages_are_refused(spark):
-    docs = spark.createDataFrame([(i, "a", f"l{i}") for i in range(language.MOST_LANGUAGES + 1)], SCHEMA)
-    with pytest.raises(ValueError, match="languages"):
-        language.fitted(docs, language.F.xxhash64("doc_id"))
+def test_numerals_are_no_letters(table_of):
+    docs = [*texts(30), *[(100 + i, t, "aa") for i, t in enumerate(["½ ² Ⅷ", "٣ 12", "_", "①", "́"])], (200, "½ the of and", None)]
+    by = {r["doc_id"]: r["lang_pred"] for r in language.identified(table_of(docs, SCHEMA)).collect()}
+    assert [by[100 + i] for i in range(5)] == ["und"] * 5 and by[200] == "aa"
+    assert language.letters_only("Aß½²Ⅷ日_x9é") == " aß 日 x é "
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    rng = random.Random(4)
+    words = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(6)] for k in range(250)}
+    docs = [(i, " ".join(rng.choice(words[lang]) for _ in range(12)), lang) for i, lang in enumerate(sorted(words) * 6)]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    rows = language.identified(frame).collect()
+    held = [r for r in rows if r["held_out"]]
+    truth = {i: lang for i, _, lang in docs}
+    assert len(held) > 300 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) / len(held) > 0.95
+    # blocks change nothing but the last bits
+    some = frame.where("doc_id < 120")
+    draw = language.F.xxhash64("doc_id", "text")
+    small = frame.where("lang < 'l030'")
+    whole = language.fitted(small, draw)
+    monkeypatch.setattr(language, "LANGUAGES_AT_A_TIME", 7)
+    cut = language.fitted(small, draw)
+    assert not whole.more and len(cut.more) == 4
+    score = lambda model: {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in language.with_language(some, ["doc_id"], "text", model).collect()}
+    assert score(whole) == score(cut)
