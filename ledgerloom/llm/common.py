@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ledgerloom.sources.scratch import shared_folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CHUNK_CHARS = 4_000_000
 
@@ -19,24 +21,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """This application's folder for intermediate tables and files, seen by all executors.
-
-    It lies below ``spark.checkpoint.dir``; a session that does not name one (tests) gets
-    a folder below its warehouse.  Spark removes it when the application ends.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or (
-        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
-    )
-    folder = f"{base.rstrip('/')}/ledgerloom-{context.applicationId}"
-    path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(context._jsc.hadoopConfiguration())
-    system.mkdirs(path)
-    system.deleteOnExit(path)
-    return folder
-
-
 def staged(frame: DataFrame, name: str) -> DataFrame:
     """Write a frame into the shared folder and read it back: its lineage ends here, and
     lost executors or repeated use do not compute it again."""

@@ -147,7 +147,7 @@ def is_card(text: str, least: int) -> bool:
 def shape(word: str) -> str:
     """Letters as a or A, hexadecimal runs as h, digits as 9; runs of more than four cut."""
     out, run = [], 0
-    for c in word[:64]:
+    for c in word:
         kind = "9" if c in "0123456789" else "A" if c.isupper() else "a" if c.isalpha() else c
         run = run + 1 if out and out[-1] == kind else 1
         if run <= 4:
@@ -225,8 +225,10 @@ def chains_of(text: str) -> list[list[tuple[int, int]]]:
     chains: list[list[tuple[int, int]]] = []
     for at, core in enumerate(cores):
         begin = cores[at - 1][1] if at else 0
-        between = text[max(begin, core[0] - GAP_CHARS) : core[0]]
-        offset = core[0] - len(between)
+        offset = max(begin, core[0] - GAP_CHARS)
+        while offset > begin and not text[offset - 1].isspace():  # whole words
+            offset -= 1
+        between = text[offset : core[0]]
         words = [(m.start() + offset, m.end() + offset) for m in _WORD.finditer(between)]
         joined = at and core[0] - begin <= GAP_CHARS and len(words) <= 2 * AROUND
         if joined:
@@ -241,7 +243,8 @@ def chains_of(text: str) -> list[list[tuple[int, int]]]:
 
 
 def _after(text: str, begin: int, end: int) -> list[tuple[int, int]]:
-    words = _WORD.finditer(text, begin, min(end, begin + GAP_CHARS))
+    stop = _SPACE.search(text, begin + GAP_CHARS, end) if begin + GAP_CHARS < end else None
+    words = _WORD.finditer(text, begin, stop.start() if stop else end)
     return [m.span() for _, m in zip(range(AROUND), words)]
 
 
