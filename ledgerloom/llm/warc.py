@@ -29,6 +29,7 @@ from ledgerloom.llm.urls import host_of
 LINES_PER_BLOCK = 300
 CAPTURES_PER_PART = 500_000
 FILE_BYTES = 512 * 2**20
+PLACES_HELD = 100_000  # records a task looks up before it reads them file by file
 DATE = "2024-01-01T00:00:00Z"  # of all records: the table has no dates, and reruns agree
 LEAST_BYTES = 0
 LEVEL = 1
@@ -48,27 +49,47 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def header_url(url: str) -> str:
+    """A URL as it may stand in a header: characters that may not are percent-encoded."""
+    return "".join(c if "!" <= c <= "~" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url)
+
+
+def _record_id(*parts: object) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ':'.join(map(str, parts)))}>"
+
+
+def _packed(head: list[str], block: bytes) -> bytes:
+    pack = zlib.compressobj(LEVEL, wbits=31)
+    return pack.compress("\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n") + pack.flush()
+
+
+def file_info(name: str) -> bytes:
+    """The record that opens an archive file."""
+    block = b"software: ledgerloom\r\nformat: WARC File Format 1.0\r\n"
+    head = ["WARC/1.0", "WARC-Type: warcinfo", f"WARC-Record-ID: {_record_id('file', name)}", f"WARC-Date: {DATE}", f"WARC-Filename: {name}"]
+    return _packed([*head, "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"], block)
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
     """One WARC record as a gzip member.  A response holds the payload behind HTTP headers; a
-    revisit holds the headers only and names the response."""
+    revisit holds the headers only and names the response.
+
+    Headers are those of the format.  Two of our own add what it has no place for: the page's id, and
+    a URL that is missing or had to be percent-encoded as it was.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http
-    head = [
-        "WARC/1.0",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{url}')}>",
-        f"WARC-Date: {DATE}",
-        f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Page-Id: {json.dumps(page_id)}",
-        # JSON keeps line breaks and a missing URL apart from text
-        f"WARC-Target-URI: {json.dumps(url, ensure_ascii=False)}",
-    ]
+    own = _record_id("response", page_id, digest) if kind == "response" else _record_id("revisit", page_id, digest, url)
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-Id: {json.dumps(page_id)}"]
+    if url:
+        head.append(f"WARC-Target-URI: {header_url(url)}")
+    if not url or header_url(url) != url:
+        head.append(f"X-Page-Url: {json.dumps(url)}")
     if kind == "revisit":
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        head.append(f"WARC-Refers-To: {_record_id('response', refers_to, digest)}")
         head.append(f"X-Refers-To-Page: {json.dumps(refers_to)}")
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    pack = zlib.compressobj(LEVEL, wbits=31)
-    return pack.compress("\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n") + pack.flush()
+    return _packed([*head, "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"], block)
 
 
 def read_record(member: bytes) -> dict:
@@ -85,7 +106,7 @@ def read_record(member: bytes) -> dict:
             raise ValueError(f"record of page {fields['X-Page-Id']} is damaged")
     return {
         "page_id": json.loads(fields["X-Page-Id"]),
-        "url": json.loads(fields["WARC-Target-URI"]),
+        "url": json.loads(fields["X-Page-Url"]) if "X-Page-Url" in fields else fields["WARC-Target-URI"],
         "payload_bytes": length,
         "payload_digest": digest,
         "record_type": fields["WARC-Type"],
@@ -94,11 +115,14 @@ def read_record(member: bytes) -> dict:
 
 
 class _Files:
-    """Appends byte strings to files of bounded size; a file appears when it is complete."""
+    """Appends byte strings to files of bounded size, each opened by what ``opening`` gives for its
+    name; a file appears when it is complete."""
 
-    def __init__(self, folder: str, name: str):
+    def __init__(self, folder: str, name: str, opening=lambda name: b""):
         from pyarrow import fs
 
+        self.opening = opening
+
         self.system, self.base = fs.FileSystem.from_uri(folder)
         self.name, self.open, self.path, self.at = name, None, None, 0
         self.base = f"{self.base}/{name}"
@@ -109,6 +133,9 @@ class _Files:
             self.close()
             self.path, self.at = f"{uuid.uuid4().hex}.{self.name}", 0
             self.open = self.system.open_output_stream(f"{self.base}/{self.path}", compression=None)
+            first = self.opening(self.path)
+            self.open.write(first)
+            self.at = len(first)
         start = self.at
         self.open.write(data)
         self.at += len(data)
@@ -164,7 +191,7 @@ def written(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     rows = base.join(repeated, F.col("sha") == F.col("r_sha"), "left").select("page_id", "url", "html", "first", url_key(F.col("url")).alias("key"))
 
     def write(batches):
-        files = _Files(folder, "warc.gz")
+        files = _Files(folder, "warc.gz", file_info)
         for batch in batches:
             out = []
             for page, address, text, first, key in zip(*(batch.column(i) for i in range(5))):
@@ -228,7 +255,9 @@ def indexed(captures: DataFrame, folder: str) -> DataFrame:
 
 def looked_up(wanted: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
     """The records of all captures whose (``key``, ``page_id``) is among the wanted ones, read
-    from the archives.  Wanted keys are sorted, so a task reads a block of the index once.
+    from the archives.  Wanted keys are sorted, so a task reads a block of the index once; the places
+    it finds are put in the order of the archives, many at a time, so that a file is opened once for them
+    and read from front to back.
 
     The driver hands the tasks one row per part of the index, one per CAPTURES_PER_PART
     captures: 20,000 rows for ten billion pages.
@@ -246,8 +275,16 @@ def looked_up(wanted: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
         head_keys = [_order(r[0], r[1]) for r in known]
         blocks, directories, archives = _Reader(folder, "idx"), _Reader(folder, "dir"), _Reader(folder, "warc.gz")
         at_part, directory, block_keys, at_block, lines = -1, [], [], None, {}
+        places: list[tuple[str, int, int]] = []
+
+        def records():
+            places.sort()
+            for at in range(0, len(places), 4096):
+                found = [read_record(archives.read(*place)) for place in places[at : at + 4096]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], t) for n, t in zip(names, types)], list(names))
+            places.clear()
+
         for batch in batches:
-            out = []
             for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 asked = _order(key, page)
                 part = bisect_right(head_keys, asked) - 1
@@ -271,10 +308,10 @@ def looked_up(wanted: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
                             got = json.loads(line)
                             lines.setdefault((got[0], got[1]), []).append(got[2:])
                         at_block = number
-                    for place in lines.get((key, page), ()):
-                        found = read_record(archives.read(*place))
-                        out.append([found[n] for n in names])
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out) if out else [[]] * 6, types)], list(names))
+                    places += [tuple(place) for place in lines.get((key, page), ())]
+            if len(places) >= PLACES_HELD:
+                yield from records()
+        yield from records()
 
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
     return sorted_keys.mapInArrow(find, schema)

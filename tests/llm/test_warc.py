@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import random
+import re
+from urllib.parse import quote, unquote
 
 import pytest
 from pyarrow import fs
@@ -83,3 +86,45 @@ def test_damage_is_noticed():
 
 def test_no_pages(table_of):
     assert warc.archived(table_of([(1, "a", "b")], SCHEMA).limit(0)).count() == 0
+
+
+URLS = ["http://a.com/x?y=%20z#f", "http://a.com/ü b\r\nX-Injected: 1", "http://日本.jp/", "no scheme", 'quote"s', "tab\there", None, ""]
+
+
+@pytest.mark.parametrize("url", URLS)
+def test_headers_are_those_of_the_format(url):
+    """What a reader without private rules sees."""
+    payload = b"payload"
+    digest = warc.payload_digest(payload)
+    first = warc.record(4, url, payload, digest, "response", None)
+    again = warc.record(9, url, payload, digest, "revisit", 4)
+    for member, kind in ((first, "response"), (again, "revisit")):
+        head, _, rest = gzip.decompress(member).partition(b"\r\n\r\n")
+        lines = head.decode("ascii").split("\r\n")
+        fields = dict(line.split(": ", 1) for line in lines[1:])
+        assert lines[0] == "WARC/1.0" and fields["WARC-Type"] == kind and len(fields) == len(lines) - 1
+        if url:
+            assert fields["WARC-Target-URI"] == quote(url, safe="!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+            assert unquote(fields["WARC-Target-URI"]) == unquote(url)
+        assert rest[int(fields["Content-Length"]) :] == b"\r\n\r\n"
+        assert warc.read_record(member)["url"] == url
+    ids = [re.search(rb"WARC-Record-ID: (.*?)\r", gzip.decompress(m)).group(1) for m in (first, again)]
+    assert ids[0] != ids[1] and re.search(rb"WARC-Refers-To: (.*?)\r", gzip.decompress(again)).group(1) == ids[0]
+
+
+def test_files_open_with_their_description_and_read_from_front_to_back(spark, table_of, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 3_000)
+    monkeypatch.setattr(warc, "PLACES_HELD", 20)
+    rows = pages(120, 6)
+    captures, folder = warc.written(table_of(rows, SCHEMA))
+    parts = warc.indexed(captures, folder)
+    assert warc.looked_up(captures, parts, folder).count() >= len({(r[0], r[1]) for r in rows})
+    system, path = fs.FileSystem.from_uri(folder)
+    archives = [f.path for f in system.get_file_info(fs.FileSelector(f"{path}/warc.gz")) if f.is_file]
+    records = 0
+    for name in archives:
+        with system.open_input_stream(name, compression=None) as source:
+            raw = gzip.decompress(source.read())
+        assert raw.startswith(b"WARC/1.0\r\nWARC-Type: warcinfo\r\n") and name.rsplit("/", 1)[1].encode() in raw[:400]
+        records += raw.count(b"WARC-Type: response\r\n") + raw.count(b"WARC-Type: revisit\r\n")
+    assert len(archives) > 3 and records == len(rows)
