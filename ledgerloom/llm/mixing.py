@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerloom.functions.position import with_position
 from ledgerloom.llm.common import staged, word_count
 
+REPEATS_AT_A_TIME = 10_000  # equal rows that one task unfolds
 ONE = 2**40  # probability mass in whole units, so that running sums are exact
 BLOCK = 250
 SEED = 6
@@ -111,16 +112,22 @@ def mixed(
 
 
 def spread(taken: DataFrame) -> DataFrame:
-    """One row per input row: the copies of equal rows, dealt out evenly (column ``copies``)."""
-    at = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_rows")))
+    """One row per input row: the copies of equal rows, dealt out evenly (column ``copies``).
+
+    Rows that repeat a great many times unfold in two steps, dealt out in between, so that no
+    task makes them all.
+    """
     even = F.floor(F.col("all_copies") / F.col("n_rows"))
     extra = (F.col("_at") <= F.col("all_copies") % F.col("n_rows")).cast("bigint")
-    return (
-        taken.withColumnRenamed("copies", "all_copies")
-        .withColumn("_at", at)
-        .withColumn("copies", even + extra)
-        .drop("_at", "all_copies")
-    )
+    one = F.lit(1).cast("bigint")
+    rows = taken.withColumnRenamed("copies", "all_copies")
+    few = rows.where(F.col("n_rows") <= REPEATS_AT_A_TIME).withColumn("_at", F.explode(F.sequence(one, F.col("n_rows"))))
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_rows") - 1) / REPEATS_AT_A_TIME)))
+    many = rows.where(F.col("n_rows") > REPEATS_AT_A_TIME).withColumn("_block", blocks).repartition("doc_id", "digest", "_block")
+    first = F.col("_block") * REPEATS_AT_A_TIME
+    last = F.least(first + REPEATS_AT_A_TIME, F.col("n_rows"))
+    many = many.withColumn("_at", F.explode(F.sequence(first + one, last))).drop("_block")
+    return few.unionByName(many).withColumn("copies", even + extra).drop("_at", "all_copies")
 
 
 def sized_items(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

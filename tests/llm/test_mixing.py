@@ -82,6 +82,15 @@ def test_nulls_repeats_and_nothing(table_of, spark):
     assert mixing.mixed(mixing.sized_items(table_of([(1, None, "x")], DOCS))).first()["copies"] == 0
 
 
+def test_many_repeats_unfold_in_steps(spark, monkeypatch):
+    docs = [(1, "a b", "s")] * 23 + [(2, "c", "s")] * 4 + [(3, "d e f", "t")]
+    items = mixing.mixed(mixing.sized_items(spark.createDataFrame(docs, DOCS)))
+    found = lambda: sorted((r["doc_id"], r["copies"]) for r in mixing.spread(items).collect())
+    whole = found()
+    monkeypatch.setattr(mixing, "REPEATS_AT_A_TIME", 5)
+    assert found() == whole and len(whole) == len(docs)
+
+
 def test_no_python_in_the_plan(spark, plan_of):
     docs = spark.createDataFrame([(1, "a", "s")], DOCS)
     plan = plan_of(mixing.spread(mixing.mixed(mixing.sized_items(docs))))
