@@ -72,7 +72,7 @@ def judged(
 ) -> DataFrame:
     """Verdict on every page's URL: page_id, host, path, rule, verdict, score.
 
-    The models learn from at most ``labelled_per_class`` URLs that a rule accepts and as
+    The models learn from at most ``labelled_per_class`` different URLs that a rule accepts and as
     many that one rejects (those with the smallest hashes); half of them calibrate the
     threshold.  Everything else covers all rows.  ``score`` is the difference per character
     minus the threshold.  A null or empty URL, or one without ``://``, has empty host and path
@@ -89,6 +89,8 @@ def judged(
     marked = base.where(F.col("by_rule").isNotNull()).select(
         "url", (F.col("by_rule") == "allow").alias("good"), F.xxhash64("url", F.lit(8)).alias("draw")
     )
+    # different URLs, so that copies of one can't fill a class
+    marked = marked.distinct()
     pick = lambda good: marked.where(F.col("good") == good).orderBy("draw", "url").limit(labelled_per_class)
     labelled = staged(pick(True).union(pick(False)), "url-labelled")
     learn, check = labelled.where(F.col("draw") % 2 == 0), labelled.where(F.col("draw") % 2 != 0)
