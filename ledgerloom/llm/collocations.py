@@ -33,8 +33,8 @@ TOP = 2000
 RUNS = (2, 3)  # lengths of the runs that are counted by their hash
 FILTER_BITS = 27  # each bit set of frequent runs has 2 ** FILTER_BITS bits, 16 MB
 SLICE_BITS = 20
-RUNS_HELD = 4_000_000
-ROWS_HELD = 400_000
+RUNS_HELD = 2_500_000
+ROWS_HELD = 250_000
 UNKNOWN = "und"
 
 # Bytes that end a piece, and those between its words.
