@@ -26,12 +26,14 @@ LANGUAGES_AT_A_TIME = 100  # columns of a matrix, 26 MB
 PIECE = 500_000  # code points scored at a time
 UNKNOWN = "und"
 
+_NOT_WORDS = re.compile(r"[\W\d_]+")
+
+
 @cache
-def _not_letters() -> re.Pattern:
-    """Runs of anything but letters (category L): of what re calls a word character, these are the
-    underscore and numerals of all kinds, such as fractions and Roman numbers."""
-    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-    return re.compile(f"[\\W_{numerals}]+")
+def _numerals() -> re.Pattern:
+    """Runs of numerals that are no digits, such as fractions and Roman numbers: what re calls a word
+    character beside letters (category L), digits and the underscore."""
+    return re.compile(f"[{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())}]+")
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,10 @@ class Model:
 
 def letters_only(text: str | None) -> str:
     """Lower-cased letters; everything between words is one space, also at both ends."""
-    return f" {_not_letters().sub(' ', (text or '').lower()).strip()} "
+    clean = _NOT_WORDS.sub(" ", (text or "").lower()).strip()
+    if not clean.replace(" ", "a").isalpha():
+        clean = _NOT_WORDS.sub(" ", _numerals().sub(" ", clean)).strip()
+    return f" {clean} "
 
 
 def gram_buckets(codes: np.ndarray) -> list[np.ndarray]:
