@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-FEATURES = 2**12
+FEATURES = 2**13
 EPOCHS = 150
 RATE = 0.1
 PENALTY = 1e-3
@@ -56,9 +56,15 @@ def trained(chains: list[list[list[int]]], tags: list[list[str]]) -> Crf:
     gold_moves = np.einsum("ntk,ntl->kl", gold[:, :-1], gold[:, 1:])
     theta = [np.zeros((FEATURES + 1, k)), np.zeros((k, k)), np.zeros(k)]
     squares = [np.zeros_like(t) for t in theta]
+    # Features of real words only, and the words of each feature side by side.
+    known = x[inside]
+    order = np.argsort(known, axis=None, kind="stable")
+    owners = order // known.shape[1]
+    present, begins = np.unique(known.ravel()[order], return_index=True)
     for _ in range(EPOCHS):
         weights, moves, first = theta
-        score = weights[x].sum(axis=2)
+        score = np.zeros((n, steps, k))
+        score[inside] = weights[known].sum(axis=1)
         forward, backward = np.zeros((n, steps, k)), np.zeros((n, steps, k))
         forward[:, 0] = score[:, 0] + first
         for t in range(1, steps):
@@ -74,7 +80,7 @@ def trained(chains: list[list[list[int]]], tags: list[list[str]]) -> Crf:
         ) * inside[:, 1:, None, None]
         off = gold - chance
         up = np.zeros_like(weights)
-        np.add.at(up, x, np.broadcast_to(off[:, :, None, :], (*x.shape, k)))
+        up[present] = np.add.reduceat(off[inside][owners], begins, axis=0)
         up[FEATURES] = 0.0
         slopes = [up, gold_moves - pair.sum(axis=(0, 1)), off[:, 0].sum(axis=0)]
         for value, slope, square in zip(theta, slopes, squares):

@@ -16,12 +16,12 @@ from functools import cache
 
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm import crf
+from ledgerloom.llm import crf, labelled
 from ledgerloom.llm.common import over_texts
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
-AROUND = 2  # plain words on each side of a chain
+AROUND = 4  # plain words on each side of a chain
 GAP_CHARS = 100  # chains end where nothing of interest comes within so many characters
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -35,75 +35,31 @@ _TRIGGER = re.compile(r"[0-9@=]")
 _WORD = re.compile(r"\S+")
 _SPACE = re.compile(r"\s")
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
+_SECRET_NAME = re.compile(r"[A-Za-z0-9_.-]*=|[A-Za-z_-]+:")
+QUOTES = "\"'"
 
-# Labelled table (fixed values).  A marked span is [kind|text]; every line is used four times,
-# the digits in it replaced by a rule, so that shapes are learnt and not numbers.
-LABELLED = """
-write to [email|anna.berg7@mail.example.com] for more
-contact [email|j_lee42@site.example.org] or the office
-mail [email|sales@shop3.example.net] before noon
-[email|x9@mail1.example.com] was the sender
-und dann [email|kurt.w@post.example.de] geschrieben
-the host [ip|10.20.30.40] did not answer
-from [ip|192.168.17.4] to the server
-adresse [ip|85.214.132.117] du serveur
-[ip|172.16.254.1] is down
-paid with [card|4556 7375 8689 9855] last week
-card [card|4556-7375-8689-9855] was charged
-number [card|4556737586899855] and name
-la tarjeta [card|5500 0055 5555 5559] del cliente
-call [phone|+1 (415) 555-0134] today
-tel [phone|+49 30 901820] abends
-phone [phone|(415) 555-0134] during the day
-ring [phone|415-555-0134] after six
-or [phone|415.555.0134] in the evening
-his number (home) is [phone|(212) 555-0199] and the
-fax [phone|212-555-0187] is out of order
-token = [secret|"16c6d3c1dc28bad5aa7182d588bfc7ef85d341b1"] in the file
-token = [secret|"e11843671a2706b8500a79e6a0ed1a884af77d43"] was used
-the key = [secret|"a81f00b7c3d94e52"] must stay hidden
-api_key=[secret|9f8e7d6c5b4a39281706] here
-password=[secret|fc930bb8c5a78ce2d5] is old
-una password=[secret|0d82db9a40de89a262] en el texto
-secret: [secret|7c9e6679f7425e0eb4af12d0] stored
-in 1994 they moved to the north
-on 12 May 2003 and again in 2011
-version 2.10.3 was released
-the price is 1,299.00 euro or less
-see pages 12-18 and 43 of the book
-at 10:30 on the 4th day
-about 3.5 percent of 20,000 people
-x = 42 and y = 17 in the example
-room 217 on floor 3 of 12
-chapter 4 section 2.1 says
-a score of 3-2 after 90 minutes
-the year 2024-05-17 is a date
-order 66 came at 5pm
-GNU General Public License, version 3.
-Apache License, Version 2.0.
-Licensed under CC BY-NC 4.0.
-1 2 3 4 5 6 7 8 9 10
-item 15: 30 pieces, item 16: 45 pieces
-code 200 means success and 404 means missing
-the 1,000,000 inhabitants and 52 districts
-a = b and c = d in the proof
-width=300 height=200 in the page
-id=12345 name=test on the form
-it has 16 bits and 32 words
-from 1914 to 1918 and from 1939 to 1945
-10 km north of 48 degrees 12 minutes
-isbn 978 of 2005 by them
-meet @ the corner at 7
-about 555 people in 0134 groups
-(1998) and (2001) in brackets
-rated 4.5/5 by 120 users
-"""
-_MARK = re.compile(r"\[(email|ip|card|phone|secret)\|([^\]]*)\]")
-VARIANTS = 4
 _NAMES = frozenset(
-    "mail email contact write host server ip from address adresse card tarjeta number paid call tel phone fax ring token "
-    "key api_key password secret version page pages in on at of and the year chapter".split()
+    "mail email contact write host server ip from address adresse card karte visa tarjeta number no paid call tel telefon phone "
+    "mobile fax ring text reach numéro llama token key api secret password passwort aws bearer authorization commit sha1 checksum "
+    "uuid id isbn order part case flight model code rows data years population price version page pages chapter in on at of "
+    "and the year".split()
 )
+# Words that announce a kind, or a number that is nobody's (fixed values).
+_CUES = {
+    word: kind
+    for kind, words in {
+        "email": "mail email contact write e-mail",
+        "ip": "host server ip adresse ping",
+        "card": "card karte visa tarjeta mastercard carte",
+        "phone": "call tel telefon phone mobile cell home handy fax ring reach text dial numéro llama teléfono",
+        "secret": "token key apikey secret password passwort passwd pwd contraseña bearer credential",
+        "plain": "commit sha1 sha256 md5 checksum hash uuid id isbn order part case flight model code rows data years "
+        "population price version page pages chapter section room item",
+    }.items()
+    for word in words.split()
+}
+_CUE_REACH = AROUND
+_LAST_NAME = re.compile(r"[^_.-]*\Z")
 
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
@@ -156,58 +112,59 @@ def shape(word: str) -> str:
 
 
 def _features(words: list[str]) -> list[list[int]]:
-    """Numbers of the features of each word of a chain: its shape, name and make-up, and the
-    shapes and names of the words around it."""
-    own = []
+    """Numbers of the features of each word of a chain: its shape, name and make-up, the
+    shapes and names of the words around it, and the last word before it that announces a kind."""
+    own, cues, cue, since = [], [], "", 0
     for word in words:
         bare = word.strip(".,;:!?\"'()")
-        name, _, value = bare.partition("=")
+        name, sign, value = bare.partition("=")
+        if not sign:
+            name, _, value = bare.partition(":")
+        name = _LAST_NAME.search(name).group().lower()
+        cue, since = (_CUES[name], 0) if name in _CUES else (cue, since + 1)
+        cues.append(cue if since <= _CUE_REACH else "")
         digits = sum(c in "0123456789" for c in word)
+        marks = value or bare
         own.append(
             (
                 "s" + shape(word),
-                "n" + (name.lower() if name.lower() in _NAMES else "-"),
+                "n" + (name if name in _NAMES else "-"),
                 f"d{min(digits, 5)}{min(digits // 8, 3)}",
                 f"@{'@' in word}={'=' in word}{bool(value)}",
-                f"h{bool(_HEX.match((value or bare).strip(chr(34))))}{min(len(value or bare) // 6, 4)}",
+                f"h{bool(_HEX.match(marks.strip(QUOTES)))}{min(len(marks) // 6, 4)}",
                 f"p{word.count('.')}{word.count('-')}{'(' in word}{word[:1] == '+'}",
             )
         )
     edge = ("edge",)
     rows = []
     for i, mine in enumerate(own):
-        names = ["bias", *mine, mine[0] + mine[2], mine[1] + mine[4]]
+        names = ["bias", *mine, mine[0] + mine[2], mine[1] + mine[4], "c" + cues[i], "c" + cues[i] + mine[2], "c" + cues[i] + mine[4]]
         for step in (-2, -1, 1, 2):
             other = own[i + step] if 0 <= i + step < len(own) else edge
             names += [f"{step}{x}" for x in other[:3]]
+        before, after = own[i - 1][0] if i else edge[0], own[i + 1][0] if i + 1 < len(own) else edge[0]
+        names += [f"{before} {mine[0]}", f"{mine[0]} {after} ", f"{before} {mine[0]} {after}"]
         rows.append([crf.feature_number(n) for n in names])
     return rows
 
 
+def labelled_chain(text: str, kind: str | None, start: int, end: int) -> tuple[list[str], list[str]]:
+    """The words of a labelled line and their tags."""
+    words = list(_WORD.finditer(text))
+    hits = [bool(kind) and w.start() < end and start < w.end() for w in words]
+    tags = [f"{'I' if w.start() > start else 'B'}-{kind}" if hit else "O" for w, hit in zip(words, hits)]
+    return [w.group() for w in words], tags
+
+
+def trained_on(rows: Iterable[tuple[str, str | None, int, int]]) -> crf.Crf:
+    """The random field of labelled lines (text, kind or None, start, end of the value)."""
+    lines = [labelled_chain(*row) for row in rows]
+    return crf.trained([_features(words) for words, _ in lines], [tags for _, tags in lines])
+
+
 @cache
 def trained_model() -> crf.Crf:
-    chains, tags = [], []
-    for line in LABELLED.strip().splitlines():
-        for variant in range(VARIANTS):
-            plain, spans, at = "", [], 0
-            for m in _MARK.finditer(line):
-                plain += line[at : m.start()]
-                spans.append((len(plain), len(plain) + len(m.group(2)), m.group(1)))
-                plain += m.group(2)
-                at = m.end()
-            plain += line[at:]
-            plain = "".join(
-                str((int(c) + variant * (3 + i % 4)) % 10) if c in "0123456789" else c for i, c in enumerate(plain)
-            )
-            words = list(_WORD.finditer(plain))
-            labels = []
-            for w in words:
-                hit = next((s for s in spans if w.start() < s[1] and s[0] < w.end()), None)
-                inside = hit and hit[0] < w.start()
-                labels.append("O" if not hit else f"{'I' if inside else 'B'}-{hit[2]}")
-            chains.append(_features([w.group() for w in words]))
-            tags.append(labels)
-    return crf.trained(chains, tags)
+    return trained_on(labelled.table())
 
 
 def chains_of(text: str) -> list[list[tuple[int, int]]]:
@@ -250,9 +207,12 @@ def _after(text: str, begin: int, end: int) -> list[tuple[int, int]]:
 
 def _trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
     if kind == "secret":
-        name = text.find("=", start, end)
-        if name >= 0 and name + 1 < end:
-            start = name + 1
+        name = _SECRET_NAME.match(text, start, end)
+        if name and name.end() < end:
+            start = name.end()
+        if text[start] in QUOTES:  # what follows the closing quote is no part of it
+            close = text.find(text[start], start + 1, end)
+            end = close if close > 0 else end
     while end > start and text[end - 1] in ".,;:!?\"')]" and not (kind == "phone" and text[end - 1] == ")"):
         end -= 1
     while start < end and text[start] in "\"'[" + ("" if kind == "phone" else "("):
@@ -272,7 +232,7 @@ def _has_form(piece: str, kind: str) -> bool:
         return not letters and is_card(piece, 13)
     if kind == "phone":
         return not letters and 9 <= digits <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]*", piece))
-    return len(piece) >= 12 and digits >= 3 and letters >= 3 and not _SPACE.search(piece) and piece.isascii()
+    return len(piece) >= 12 and digits >= (3 if len(piece) < 16 else 1) and letters >= 3 and not _SPACE.search(piece) and piece.isascii()
 
 
 def spans_of(texts: list[str | None], model: crf.Crf | None = None) -> list[tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]]:
