@@ -4,7 +4,8 @@ Pages that a rule accepts or rejects teach two models of variable order, one per
 The probability of a character is that of its longest known context, smoothed step by step
 with shorter ones.  A URL that no rule covers is accepted if its log-likelihood under the
 accepted model minus that under the rejected model, per character, reaches a threshold that
-is calibrated on labelled URLs kept out of the models.
+is calibrated on labelled URLs kept out of the models.  Both halves are all such URLs of the
+input, copies counted once, so what the models gather grows with it.
 
 Contexts are hashed into a fixed number of buckets, so a model is two arrays of constant
 length, whatever the input: it fits in an expression and scoring is a projection without
@@ -31,7 +32,6 @@ ORDER = 4
 BUCKETS = 2**15
 SMOOTHING = 2.0
 ALPHABET = 256.0
-LABELLED_PER_CLASS = 20_000
 BIN = 0.005
 SPAN = 1000  # score bins on each side of 0
 
@@ -68,13 +68,11 @@ def judged(
     page_id: str = "page_id",
     url: str = "url",
     rules: Sequence[tuple[str, str, str]] = RULES,
-    labelled_per_class: int = LABELLED_PER_CLASS,
 ) -> DataFrame:
     """Verdict on every page's URL: page_id, host, path, rule, verdict, score.
 
-    The models learn from at most ``labelled_per_class`` different URLs that a rule accepts and as
-    many that one rejects (those with the smallest hashes); half of them calibrate the
-    threshold.  Everything else covers all rows.  ``score`` is the difference per character
+    The models count all different URLs that a rule accepts or rejects and whose hash is even;
+    those with an odd hash calibrate the threshold.  ``score`` is the difference per character
     minus the threshold.  A null or empty URL, or one without ``://``, has empty host and path
     and no rule; null and empty ones have no score and are blocked, since nothing can be
     fetched there.  If a class has no labelled URL, the models say nothing and URLs without
@@ -89,10 +87,8 @@ def judged(
     marked = base.where(F.col("by_rule").isNotNull()).select(
         "url", (F.col("by_rule") == "allow").alias("good"), F.xxhash64("url", F.lit(8)).alias("draw")
     )
-    # different URLs, so that copies of one can't fill a class
-    marked = marked.distinct()
-    pick = lambda good: marked.where(F.col("good") == good).orderBy("draw", "url").limit(labelled_per_class)
-    labelled = staged(pick(True).union(pick(False)), "url-labelled")
+    # different URLs, so that copies of one can't outweigh the others
+    labelled = staged(marked.distinct(), "url-labelled")
     learn, check = labelled.where(F.col("draw") % 2 == 0), labelled.where(F.col("draw") % 2 != 0)
     model = _counts(learn)
     threshold = _threshold(check.select("good", _difference(F.col("url"), model).alias("raw")))
@@ -140,7 +136,7 @@ def _difference(url: Column, model: list[list[int]]) -> Column:
     """Log-likelihood per character, accepted minus rejected."""
     total = [F.lit(sum(counts) / ORDER) for counts in model]
     # The models are constants, folded into arrays once per plan and bound once per row.
-    known = [F.split(F.lit(",".join(map(str, counts))), ",").cast("array<float>") for counts in model]
+    known = [F.split(F.lit(",".join(map(str, counts))), ",").cast("array<double>") for counts in model]
     models = F.array(F.struct(known[0].alias("m0"), known[1].alias("m1")))
 
     def log_p(grams, at, counts, total):

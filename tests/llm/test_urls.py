@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 from urllib.parse import quote
 
 import pytest
+import xxhash
 
 from ledgerloom.llm import urls
 
@@ -56,6 +59,80 @@ def test_models_tell_unruled_urls_apart(spark):
     assert right >= 114
 
 
+def spark_hash(*values):
+    seed = 42
+    for value in values:
+        data = value.to_bytes(4, "little") if isinstance(value, int) else value.encode()
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed
+
+
+def expected(made):
+    """Verdict and score of every URL, models learnt and scored one string at a time."""
+    ruled = {u: v == "allow" for u in made if (v := brute(u)[3])}
+    model = {True: Counter(), False: Counter()}
+    bucket = lambda chars: spark_hash(*chars) % urls.BUCKETS
+
+    def places(url):
+        chars = ["^"] * (urls.ORDER - 1) + list(url)
+        for at in range(len(chars)):
+            yield chars, at, [n for n in range(1, urls.ORDER + 1) if at >= n - 1]
+
+    for url, good in ruled.items():
+        if spark_hash(url, 8) % 2 == 0:
+            for chars, at, sizes in places(url):
+                model[good].update(bucket(chars[at - n + 1 : at + 1]) for n in sizes)
+
+    def raw(url):
+        parts = []
+        for chars, at, _ in places(url):
+            if at < urls.ORDER - 1:
+                continue
+            log = {}
+            for good, counts in model.items():
+                p = 1 / urls.ALPHABET
+                for n in range(1, urls.ORDER + 1):
+                    seen = sum(counts.values()) / urls.ORDER if n == 1 else counts[bucket(chars[at - n + 1 : at])]
+                    p = (counts[bucket(chars[at - n + 1 : at + 1])] + urls.SMOOTHING * p) / (seen + urls.SMOOTHING)
+                log[good] = math.log(p)
+            parts.append(log[True] - log[False])
+        return sum(parts) / len(parts)
+
+    check = [(math.floor(raw(u) / urls.BIN), good) for u, good in ruled.items() if spark_hash(u, 8) % 2]
+    of = Counter(good for _, good in check)
+
+    def rates(cut):
+        return sum(b >= cut for b, good in check if good) / of[True] + sum(b < cut for b, good in check if not good) / of[False]
+
+    cut = max(sorted({b for b, _ in check}), key=rates) * urls.BIN
+    out = []
+    for url in made:
+        score = None if not url or url in ruled else raw(url) - cut
+        out.append((brute(url)[3] or ("allow" if score is not None and score >= 0 else "block"), score))
+    return out
+
+
+def test_verdicts_and_scores_against_brute_force(spark):
+    rng = random.Random(21)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 9)))
+    made = [None, "", "no scheme"]
+    for _ in range(70):
+        made.append(f"https://{word('aeioutr')}.com/{word('lmnrae')}")
+        made.append(f"http://{word('xzqtr')}.net/fr/{word('wkjae')}?{word('01')}")
+        made.append(f"https://{word('aeioutr')}.org/{word('lmnrae')}")
+        made.append(f"http://{word('xzqaeiou')}.org/{word('lmnwkj')}/é")
+    made += [made[3]] * 200 + [made[4]] * 7  # copies don't outweigh other URLs
+    out = urls.judged(spark.createDataFrame(list(enumerate(made)), "page_id bigint, url string")).collect()
+    assert len(out) == len(made)
+    want = expected(made)
+    for row in out:
+        verdict, score = want[row["page_id"]]
+        assert (row["score"] is None) == (score is None)
+        assert score is None or math.isclose(row["score"], score, abs_tol=1e-9)
+        assert row["verdict"] == verdict or abs(score) < 1e-9
+    assert {v for v, score in want if score is not None} == {"allow", "block"}
+
+
 def test_long_null_repeated_and_no_urls(spark, plan_of):
     rows = [(1, "http://x.org/" + quote("é" * 3000)), (1, "http://x.org/" + quote("é" * 3000)), (None, None), (2, "")]
     frame = spark.createDataFrame(rows, "page_id bigint, url string")
