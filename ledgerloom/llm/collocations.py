@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerloom.llm.common import CHUNK_CHARS, staged
+from ledgerloom.llm.common import staged
 
 LEAST_COUNT = 30
 MOST_WORDS = 4
@@ -33,6 +33,7 @@ TOP = 2000
 RUNS = (2, 3)  # lengths of the runs that are counted by their hash
 FILTER_BITS = 27  # each bit set of frequent runs has 2 ** FILTER_BITS bits, 16 MB
 SLICE_BITS = 20
+BLOCK_BYTES = 1_000_000
 RUNS_HELD = 2_500_000
 ROWS_HELD = 250_000
 UNKNOWN = "und"
@@ -47,7 +48,7 @@ LEADS = [f"w{k}" for k in range(1, MOST_WORDS + 1)]
 WINDOWS = pa.schema([("lang", pa.string()), *[(w, pa.string()) for w in LEADS], ("n", pa.int64())])
 
 
-def blocks(texts: pa.Array, most: int = CHUNK_CHARS) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """The bytes of all texts in blocks of about ``most``, cut where a text or a piece ends, with the
     places in the block where a text begins and the number of the text it opens with."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -202,7 +203,7 @@ def _count_windows(words: pa.DictionaryArray, lang: np.ndarray, goes_on: Sequenc
         lead[: len(reach)] = np.where(reach, codes[k : k + len(reach)], -1)
         leads.append(lead)
     table = pa.table({"lang": pa.array(lang), **{name: pa.array(lead) for name, lead in zip(LEADS, leads)}})
-    found = table.group_by(["lang", *LEADS]).aggregate([([], "count_all")])
+    found = table.group_by(["lang", *LEADS], use_threads=False).aggregate([([], "count_all")])
     # the empty string, which no word is, pads
     names = pa.concat_arrays([words.dictionary, pa.array([""], pa.string())])
     spelled = []
@@ -222,7 +223,7 @@ def windows(texts: DataFrame, sets: Sequence[np.ndarray], bits: int = FILTER_BIT
         size = 0
 
         def merged():
-            return pa.concat_tables(held).group_by(["lang", *LEADS]).aggregate([("n", "sum")]).rename_columns(WINDOWS.names)
+            return pa.concat_tables(held).group_by(["lang", *LEADS], use_threads=False).aggregate([("n", "sum")]).rename_columns(WINDOWS.names)
 
         for batch in batches:
             for words, piece, code, lang, langs in _blocks_of_words(batch):
